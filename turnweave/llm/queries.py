@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import mixing, near_dedup, phrases, warc
 from .common import table
 
 
@@ -13,8 +13,69 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op2_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every window of 35 words that also starts elsewhere."""
+    return phrases.removal(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the capture index."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_fair_queue_mix": op2_fair_queue_mix,
+    "op6_phrase_automata": op6_phrase_automata,
+    "op10_warc_index": op10_warc_index,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_fair_queue_mix": r"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         md5(coalesce(doc_id::varchar, '') || ':mix') as key
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as number from sized group by source),
+weighed as (
+  select *, case number % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight, source_size * 2.0::double as cap from sources),
+levels as (
+  select *, (sum(source_size) over () * 1.5::double
+             - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+            / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from weighed),
+level as (
+  select min_by(level, (cap / weight, source is null, source)) as level from levels where level * weight < cap),
+goals as (
+  select source, source_size, case when (select level from level) * weight < cap then (select level from level) * weight else cap end as target from levels),
+placed as (
+  select s.*, source_size, target,
+         sum(size) over (partition by s.source order by key, doc_id, size rows unbounded preceding) as done
+  from sized s join goals g on s.source is not distinct from g.source),
+offers as (
+  select p.*, turn, (turn * source_size + done)::double / target as time from placed p, (values (0), (1)) t(turn) where size > 0 and target > 0),
+queue as (
+  select *, sum(size) over (order by time, source nulls first, key, turn, doc_id, size rows unbounded preceding) as run from offers),
+mixed as (
+  select doc_id, source, key, size, sum(size) as taken from queue
+  where run <= (select floor(sum(size) * 1.5::double) from sized) group by all)
+select p.doc_id, p.size, p.source_size::bigint as source_size, p.target, coalesce(m.taken, 0)::bigint as taken
+from placed p left join mixed m on p.doc_id is not distinct from m.doc_id and p.source is not distinct from m.source and p.key = m.key and p.size = m.size
+""",
+    "op10_warc_index": """
+with payloads as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+first as (
+  select payload_digest, max(page_id) as response from payloads where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, p.payload_digest,
+       case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
+       case when response <> page_id then response end as refers_to
+from payloads p left join first f on p.payload_digest = f.payload_digest
+""",
+}
