@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, phrases, warc
+from . import ann, decontam, mixing, near_dedup, phrases, warc
 from .common import table
 
 
@@ -18,11 +18,21 @@ def op2_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by inner product, of every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every window of 35 words that also starts elsewhere."""
     return phrases.removal(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item of which 0.8 or more is in it."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back through the capture index."""
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -31,7 +41,9 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_fair_queue_mix": op2_fair_queue_mix,
+    "op4_projection_forest": op4_projection_forest,
     "op6_phrase_automata": op6_phrase_automata,
+    "op8_minhash_containment": op8_minhash_containment,
     "op10_warc_index": op10_warc_index,
 }
 
@@ -67,6 +79,20 @@ mixed as (
   where run <= (select floor(sum(size) * 1.5::double) from sized) group by all)
 select p.doc_id, p.size, p.source_size::bigint as source_size, p.target, coalesce(m.taken, 0)::bigint as taken
 from placed p left join mixed m on p.doc_id is not distinct from m.doc_id and p.source is not distinct from m.source and p.key = m.key and p.size = m.size
+""",
+    "op8_minhash_containment": r"""
+with plain as (
+  select 0 as kind, doc_id as id, lower(text) as t from documents where text is not null
+  union all select 1, item_id, lower(text) from benchmark where text is not null),
+words as (
+  select kind, id, list_filter(regexp_split_to_array(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from plain),
+shingles as (
+  select distinct kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as s from words where len(w) >= 5),
+items as (
+  select id, s, count(*) over (partition by id) as n from shingles where kind = 1)
+select d.id as doc_id, i.id as item_id, count(*)::double / any_value(n) as containment
+from items i join shingles d on d.kind = 0 and d.s = i.s
+group by d.id, i.id having count(*)::double / any_value(n) >= 0.8
 """,
     "op10_warc_index": """
 with payloads as (
