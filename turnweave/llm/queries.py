@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, mixing, near_dedup, phrases, quality, warc
+from . import ann, chat, decontam, mixing, near_dedup, phrases, quality, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,11 @@ def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with disguised words restored."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back through the capture index."""
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_phrase_automata": op6_phrase_automata,
     "op7_positive_unlabelled": op7_positive_unlabelled,
     "op8_minhash_containment": op8_minhash_containment,
+    "op9_noisy_channel": op9_noisy_channel,
     "op10_warc_index": op10_warc_index,
 }
 
