@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, mixing, near_dedup, phrases, quality, toxicity, warc
+from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, quality, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data and secrets replaced by surrogates."""
+    return pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows, by inner product, of every twentieth vector."""
     return ann.search(table(spark, sf_dir, "embeddings"))
@@ -63,6 +68,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_fair_queue_mix": op2_fair_queue_mix,
+    "op3_surrogates": op3_surrogates,
     "op4_projection_forest": op4_projection_forest,
     "op5_chat_mask": op5_chat_mask,
     "op6_phrase_automata": op6_phrase_automata,
