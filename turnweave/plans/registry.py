@@ -1,6 +1,533 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries, each over its whole tables, and the same in DuckDB SQL.
+
+The tables hold no audio: users' events are spans and levels, vectors are voiceprints, conversations are words in time.
+Thresholds in seconds are scaled to events, which are hours apart.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnweave.operators import activity, clustering, export, frames, gate, intervals, signal, speakers, transcript, windows
+from turnweave.sources import tables
+from turnweave.streaming import sessions
+
+KINDS = ("click", "error", "purchase", "signup", "view")
+GAP, LEAST = 21_600.0, 1_800.0
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _with(*ctes: str) -> str:
+    return "with recursive " + ",\n".join(ctes) + "\n"
+
+
+SPANS = """spans as (
+  select user_id as rec, event_id as span_id, event_type as kind, value as level,
+         list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)::int - 1 as speaker,
+         epoch_us(ts) / 1000000.0::double - 1704067200 as s, epoch_us(ts) / 1000000.0::double - 1704067200 + value * 60 as e
+  from events)"""
+
+
+def merged_sql(source: str, gap: float, keys: str = "rec", out: str = "merged") -> str:
+    return f"""{out}_f as (
+  select *, case when s - max(e) over (partition by {keys} order by s, e rows between unbounded preceding and 1 preceding) <= {gap}::double then 0 else 1 end as fresh from {source}),
+{out}_g as (select *, sum(fresh) over (partition by {keys} order by s, e rows unbounded preceding) as island from {out}_f),
+{out} as (select {keys}, island::bigint as island, min(s) as s, max(e) as e, count(*) as n from {out}_g group by {keys}, island)"""
+
+
+def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    return tables.event_spans(spark, sf_dir).withColumn("speaker", kind)
+
+
+# intervals
+
+
+@query(_with(SPANS, merged_sql("spans", GAP)) + f"select rec, island, s as start, e as end, n from merged where e - s >= {LEAST}")
+def gap_merge(spark, sf_dir):
+    return intervals.merge_gaps(spans_of(spark, sf_dir), GAP, least=LEAST)
+
+
+@query(_with(SPANS, merged_sql("spans", 3600, "rec, kind")) + 'select rec, kind, s as start, e as "end", n from merged')
+def interval_merge(spark, sf_dir):
+    return intervals.merge_gaps(spans_of(spark, sf_dir), 3600.0, ("rec", "kind")).drop("island")
+
+
+@query(
+    _with(
+        SPANS,
+        "own as (select * from spans where kind in ('view', 'click'))",
+        "holes as (select * from spans where kind not in ('view', 'click') and e > s)",
+        merged_sql("holes", 0, out="cut"),
+        """points as (
+  select rec, span_id, s as p from own union select rec, span_id, e from own
+  union select o.rec, span_id, c.s from own o join cut c on o.rec = c.rec and c.s > o.s and c.s < o.e
+  union select o.rec, span_id, c.e from own o join cut c on o.rec = c.rec and c.e > o.s and c.e < o.e)""",
+        "pieces as (select *, lead(p) over (partition by rec, span_id order by p) as q from points)",
+    )
+    + "select rec, span_id, p as start, q as end from pieces where q - p > 0.001::double and not exists (select 1 from cut c where c.rec = pieces.rec and c.s <= p and c.e >= q)"
+)
+def interval_subtract(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)
+    own = F.col("kind").isin("view", "click")
+    return intervals.subtract(spans.where(own), spans.where(~own))
+
+
+GUARDS = """guards as (
+  select rec, speaker, s, s + 900 as e from (select *, lag(speaker) over (partition by rec order by s, span_id) as near from spans) where near <> speaker
+  union all
+  select rec, speaker, e - 900, e from (select *, lead(speaker) over (partition by rec order by s, span_id) as near from spans) where near <> speaker)"""
+DILATED = "dilated as (select o.rec, p.speaker, o.s - 600 as s, o.e + 600 as e from spans o join (select distinct rec, speaker from spans) p on o.rec = p.rec where o.kind = 'error')"
+
+
+@query(_with(SPANS, GUARDS) + "select rec, speaker, s as start, e as end from guards")
+def boundary_guards(spark, sf_dir):
+    return intervals.boundary_guards(spans_of(spark, sf_dir), 900.0)
+
+
+@query(_with(SPANS, DILATED) + "select rec, speaker, s as start, e as end from dilated")
+def overlap_dilate(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)
+    return intervals.dilate(spans.where("kind = 'error'"), 600.0, spans)
+
+
+@query(_with(SPANS, GUARDS, DILATED, "kills as (select * from guards union all select * from dilated)", merged_sql("kills", 60, "rec, speaker")) + "select rec, speaker, island, s as start, e as end, n from merged")
+def kill_union(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)
+    return intervals.deterministic_kills(spans, spans.where("kind = 'error'"), 600.0, 900.0, 60.0)
+
+
+@query(
+    _with(
+        SPANS,
+        merged_sql("spans", GAP),
+        "counted as (select rec, island, s, e, case when e - s <= 5400 then 1 else floor((e - s - 5400 + 1e-6::double) / 2700) + 1 end as k from merged)",
+        "numbered as (select *, unnest(range(0, k::bigint + case when e - s > 5400 and s + k * 2700 < e - 1e-3::double then 1 else 0 end)) as win_no from counted)",
+        """audio as (
+  select *, greatest(3600, e - s) as need, greatest(0, (s + e) * 0.5::double - greatest(3600, e - s) / 2) as a0 from numbered)""",
+    )
+    + """select rec, island as span_id, win_no::int as win_no,
+  case when e - s <= 5400 then s when win_no = k then greatest(s, e - 5400) else s + win_no * 2700 end as start,
+  case when e - s <= 5400 or win_no = k then e else s + win_no * 2700 + 5400 end as end,
+  case when e - s <= 5400 then greatest(0, a0 + need - need) when win_no = k then greatest(s, e - 5400) else s + win_no * 2700 end as audio_start,
+  case when e - s <= 5400 then a0 + need when win_no = k then e else s + win_no * 2700 + 5400 end as audio_end
+from audio"""
+)
+def sliding_windows(spark, sf_dir):
+    merged = intervals.merge_gaps(spans_of(spark, sf_dir), GAP).withColumnRenamed("island", "span_id")
+    return windows.sliding_windows(merged, 5400.0, 2700.0, 3600.0)
+
+
+@query(
+    _with(
+        SPANS,
+        "steps as (select *, unnest(range(0, greatest(0, ceil((e - 0.001::double - s) / 1800))::bigint)) as win_no from spans)",
+        "centred as (select *, least(e, s + win_no * 1800 + 900) as c from steps)",
+        "sliced as (select *, greatest(s, c - 900) as k0, least(e, c + 900) as k1, greatest(0, c - 1620) as a0 from centred)",
+    )
+    + "select rec, span_id, speaker, win_no::int as win_no, k0 as start, k1 as end, greatest(0, a0 + 3240 - 3240) as audio_start, a0 + 3240 as audio_end from sliced where k1 > k0"
+)
+def fine_windows(spark, sf_dir):
+    return windows.fine_windows(spans_of(spark, sf_dir), 1800.0, 3240.0)
+
+
+# frames
+
+PRINTS = """prints as (
+  select floor(vec_id / 50)::bigint as rec, vec_id % 50 as win_no, (vec_id % 50) * 0.75::double as s, (vec_id % 50) * 0.75::double + 1.5::double as e,
+         list_transform(embedding, lambda x: x::double) as v, (case when label % 4 = 3 then -2 else label % 4 end)::int as label
+  from embeddings)"""
+VOTES = """spread as (
+  select rec, label, unnest(range(greatest(0, floor(s / 0.01::double))::bigint, ceil(e / 0.01::double)::bigint)) as frame from prints),
+counts as (select rec, frame, label, count(*) as votes from spread group by all),
+best as (
+  select rec, frame, arg_max(label, votes * 100 - label) filter (label >= 0) as speaker, coalesce(max(votes) filter (label >= 0), 0) as most,
+         coalesce(max(votes) filter (label = -2), 0) as over from counts group by rec, frame),
+voted as (select rec, frame, (case when over > 0 and over >= most then -2 else speaker end)::int as label from best)"""
+RUNS = """grouped as (select *, frame - row_number() over (partition by rec, label order by frame) as g from voted),
+runs as (select rec, label, min(frame) as first, max(frame) + 1 as past from grouped group by rec, label, g)"""
+SMOOTH = """near as (
+  select *, lag(past) over w = first and lag(label) over w >= 0 as l_ok, lead(first) over w = past and lead(label) over w >= 0 as r_ok,
+         lag(label) over w as l, lead(label) over w as r, lag(past - first) over w as l_n, lead(past - first) over w as r_n
+  from runs window w as (partition by rec order by first)),
+smooth as (
+  select rec, first, past, (case when label < 0 or past - first >= 90 then label
+    when coalesce(l_ok, false) and (not coalesce(r_ok, false) or l_n >= r_n) then l when coalesce(r_ok, false) then r else label end)::int as label from near)"""
+SEGMENTS = """flagged as (
+  select *, case when lag(label) over w = label and lag(past) over w = first then 0 else 1 end as fresh from smooth window w as (partition by rec order by first)),
+numbered as (select *, sum(fresh) over (partition by rec order by first rows unbounded preceding) as run from flagged),
+segs as (select rec, label as speaker, min(first) * 0.01::double as s, max(past) * 0.01::double as e from numbered group by rec, run, label having label >= 0)"""
+CANON = """ids as (select rec, speaker as was, row_number() over (partition by rec order by min(s), speaker) - 1 as speaker from segs group by rec, speaker),
+canon as (select rec, ids.speaker::int as speaker, was, s, e from segs join ids using (rec) where segs.speaker = was)"""
+ALL_FRAMES = (PRINTS, VOTES, RUNS, SMOOTH, SEGMENTS, CANON)
+MIN_SEGMENT = 0.9
+
+
+def prints_of(spark, sf_dir):
+    label = F.when(F.col("label") % 4 == 3, -2).otherwise(F.col("label") % 4).cast("int")
+    return tables.voiceprints(spark, sf_dir).withColumn("label", label)
+
+
+def frames_of(spark, sf_dir):
+    return frames.frame_votes(prints_of(spark, sf_dir))
+
+
+def segments_of(spark, sf_dir):
+    return frames.canonical_ids(frames.segments(frames_of(spark, sf_dir), MIN_SEGMENT))
+
+
+@query(_with(PRINTS, VOTES) + "select rec, frame, label from voted")
+def frame_vote(spark, sf_dir):
+    return frames_of(spark, sf_dir)
+
+
+@query(_with(PRINTS, VOTES, RUNS) + "select rec, label, first, past from runs")
+def label_runs(spark, sf_dir):
+    return frames.label_runs(frames_of(spark, sf_dir))
+
+
+@query(_with(PRINTS, VOTES, RUNS, SMOOTH) + "select rec, label, first, past from smooth")
+def smooth_short_runs(spark, sf_dir):
+    return frames.smooth_short_runs(frames.label_runs(frames_of(spark, sf_dir)), 90)
+
+
+@query(_with(*ALL_FRAMES) + "select rec, speaker, was, s as start, e as end from canon")
+def canonical_segments(spark, sf_dir):
+    return segments_of(spark, sf_dir).select("rec", "speaker", "was", "start", "end")
+
+
+@query(_with(PRINTS, VOTES, RUNS) + "select rec, first * 0.01::double as start, past * 0.01::double as end from runs where label = -2")
+def overlap_spans(spark, sf_dir):
+    return frames.overlap_spans(frames_of(spark, sf_dir))
+
+
+# exports
+
+
+@query(_with(*ALL_FRAMES) + "select rec, speaker, round(sum(e - s), 6) as seconds, count(*) as segments from canon group by rec, speaker")
+def speaker_time(spark, sf_dir):
+    return rounded(export.speaker_time(segments_of(spark, sf_dir)), "seconds")
+
+
+@query(
+    _with(*ALL_FRAMES, "lengths as (select rec, max(e) as duration from prints group by rec)")
+    + "select rec, speaker, round(sum(e - s), 6) as seconds, count(*) as segments, duration, round(100 * sum(e - s) / duration, 6) as percent from canon join lengths using (rec) group by rec, speaker, duration"
+)
+def speaker_share(spark, sf_dir):
+    durations = prints_of(spark, sf_dir).groupBy("rec").agg(F.max("end").alias("duration"))
+    return rounded(export.speaker_share(segments_of(spark, sf_dir), durations), "seconds", "percent")
+
+
+@query(_with(*ALL_FRAMES) + "select rec, printf('%.3f', s) as start_sec, printf('%.3f', e) as end_sec, printf('%.3f', e - s) as duration_sec, 'SPEAKER_' || (speaker + 1) as speaker from canon")
+def timeline_csv(spark, sf_dir):
+    return export.csv_rows(segments_of(spark, sf_dir))
+
+
+@query(_with(*ALL_FRAMES) + "select rec, s as start, 'SPEAKER ' || rec || ' 1 ' || printf('%.3f', s) || ' ' || printf('%.3f', e - s) || ' <NA> <NA> SPEAKER_' || (speaker + 1) || ' <NA> <NA>' as line from canon")
+def rttm_lines(spark, sf_dir):
+    return export.rttm_lines(segments_of(spark, sf_dir))
+
+
+def _hms(t: str, places: int = 3) -> str:
+    return f"printf('%02d:%02d:%0{places + 3}.{places}f', floor({t} / 3600)::int, floor(({t} % 3600) / 60)::int, {t} % 60)"
+
+
+@query(
+    _with(*ALL_FRAMES)
+    + f"""select rec, 0 as part, row_number() over (partition by rec order by s, e, speaker)::int as place,
+  {_hms('s')} || ' --> ' || {_hms('e')} || '  [' || printf('%7.2f', e - s) || 's]  SPEAKER_' || (speaker + 1) as line from canon
+union all select rec, 1, speaker, 'SPEAKER_' || (speaker + 1) || ': ' || printf('%.2f', sum(e - s)) || 's' from canon group by rec, speaker"""
+)
+def timeline_text(spark, sf_dir):
+    return export.timeline_lines(segments_of(spark, sf_dir))
+
+
+# speakers
+
+UNIT = "unit as (select rec, win_no, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-9::double as n from prints)"
+PARTS = """parts as (select rec, label, i, avg(v[i] / n) as x from unit, range(1, 65) t(i) where label >= 0 group by rec, label, i),
+cents as (select rec, label as other, list(x order by i) as c, sqrt(sum(x * x)) as cn from parts group by rec, label)"""
+SIMS = "sims as (select u.rec, u.win_no, u.label, other, list_sum(list_transform(range(1, 65), lambda i: v[i] / n * c[i] / cn)) as sim from unit u join cents using (rec))"
+RANKED = "ranked as (select *, row_number() over (partition by rec, win_no order by sim desc, other) as r from sims)"
+
+
+@query(
+    _with(PRINTS, "raw as (select rec, label, i, avg(v[i]) as x, count(*) as n from prints, range(1, 65) t(i) where label >= 0 group by rec, label, i)")
+    + "select rec, label as speaker, (i - 1)::int as i, round(x / sqrt(sum(x * x) over (partition by rec, label)), 6) as x, n from raw"
+)
+def centroids(spark, sf_dir):
+    cents = speakers.centroids(prints_of(spark, sf_dir))
+    return rounded(cents.select("rec", "speaker", "n", F.posexplode("embedding").alias("i", "x")), "x")
+
+
+@query(
+    _with(PRINTS, UNIT, PARTS, SIMS, RANKED)
+    + """select rec, win_no, label, round(max(sim) filter (r = 1), 6) as top1, round(max(sim) filter (r = 2), 6) as top2,
+  round(max(sim) filter (r = 1) - max(sim) filter (r = 2), 6) as margin from ranked group by rec, win_no, label having count(*) > 1"""
+)
+def overlap_margin(spark, sf_dir):
+    return rounded(speakers.overlap_margins(prints_of(spark, sf_dir)), "top1", "top2", "margin")
+
+
+@query(
+    _with(PRINTS, UNIT, "sums as (select rec, i, sum(v[i] / n) as x from unit, range(1, 65) t(i) group by rec, i)", "own as (select rec, sum(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))) as o, count(*) as m from unit group by rec)")
+    + "select rec, round((sum(x * x) - any_value(o)) / greatest(1, any_value(m * m - m)) * 0.5::double, 6) as score from sums join own using (rec) group by rec"
+)
+def single_speaker_score(spark, sf_dir):
+    return rounded(speakers.single_speaker_score(prints_of(spark, sf_dir)), "score")
+
+
+@query(
+    _with(
+        PRINTS,
+        UNIT,
+        "d as (select a.rec, a.win_no, a.label as own, b.label as other, avg(1 - list_sum(list_transform(range(1, 65), lambda i: a.v[i] / a.n * b.v[i] / b.n))) filter (a.win_no <> b.win_no) as m, count(*) as size from unit a join unit b using (rec) group by all)",
+        "ab as (select rec, win_no, max(m) filter (own = other) as a, min(m) filter (own <> other) as b, max(size) filter (own = other) as size, count(*) as k from d group by rec, win_no)",
+    )
+    + "select rec, round(avg(case when size = 1 then 0 else (b - a) / greatest(a, b) end), 6) as score, max(k) as k from ab group by rec"
+)
+def silhouette_by_label(spark, sf_dir):
+    return rounded(speakers.silhouettes(prints_of(spark, sf_dir)), "score")
+
+
+@query(
+    _with(
+        PRINTS,
+        "raw as (select rec, label, i, avg(v[i]) as x from prints, range(1, 65) t(i) where label >= 0 group by rec, label, i)",
+        "cents as (select rec, label as other, list(x order by i) as c, sqrt(sum(x * x)) as cn from raw group by rec, label)",
+        UNIT,
+        SIMS,
+        "led as (select *, row_number() over w as r, lead(sim) over w as nxt from sims window w as (partition by rec, win_no order by sim desc, other))",
+        "best as (select rec, floor(win_no / 2)::bigint as chunk, (win_no % 2)::int as source, other as best, sim - nxt as lead from led where r = 1)",
+        "pair as (select *, count(*) over w as c, min(best) over w as lo, max(best) over w as hi from best window w as (partition by rec, chunk))",
+    )
+    + "select rec, chunk, source, best, round(lead, 6) as lead, case when c > 1 and lo = hi then 'same' when lead < 0.1::double then 'low' else 'ok' end as reason from pair"
+)
+def source_routing(spark, sf_dir):
+    prints = prints_of(spark, sf_dir)
+    sources = prints.select("rec", F.floor(F.col("win_no") / 2).alias("chunk"), (F.col("win_no") % 2).cast("int").alias("source"), "embedding")
+    return rounded(speakers.route_sources(sources, speakers.centroids(prints), 0.10), "lead")
+
+
+OWNED = """raw as (select rec, label, i, avg(v[i]) as x from prints, range(1, 65) t(i) where label >= 0 group by rec, label, i),
+cents as (select rec, label as other, list(x order by i) as c, sqrt(sum(x * x)) as cn from raw group by rec, label)"""
+MATCHED = """owned as (select rec, win_no, label as speaker, max(sim) filter (other = label) as me, max(sim) filter (other <> label) as them,
+  arg_max(other, (sim, -other)) filter (other <> label) as other from sims where label >= 0 group by rec, win_no, label),
+matched as (select * from owned where me is not null and them is not null)"""
+LEAN = """lean as (select m.*, them - me * list_sum(list_transform(range(1, 65), lambda i: a.c[i] / a.cn * b.c[i] / b.cn)) as lean
+  from matched m join cents a on m.rec = a.rec and a.other = speaker join cents b on m.rec = b.rec and b.other = m.other)"""
+
+
+def gate_parts(spark, sf_dir):
+    prints = prints_of(spark, sf_dir)
+    cents = speakers.centroids(prints)
+    return prints.where("label >= 0").withColumnRenamed("label", "speaker"), cents
+
+
+@query(
+    _with(PRINTS, UNIT, OWNED, SIMS, MATCHED, LEAN, "med as (select rec, speaker, median(lean) as med, 0.55::double * greatest(median(me), 0) as floor from lean group by rec, speaker)", "mad as (select rec, speaker, any_value(med) as med, any_value(floor) as floor, median(abs(lean - med)) as mad from lean join med using (rec, speaker) group by rec, speaker)")
+    + """select rec, win_no, speaker, other, round(me, 6) as sim_self, round(them, 6) as sim_other, round(floor, 6) as floor, me - them < 0.03::double as foreign, me < floor as weak,
+  lean > med + 1.5::double * 1.4826::double * (mad + 1e-6::double) as second, (me - them < 0.03::double) or me < floor or lean > med + 1.5::double * 1.4826::double * (mad + 1e-6::double) as drop
+from lean join mad using (rec, speaker)"""
+)
+def crosstalk_gate(spark, sf_dir):
+    rows, cents = gate_parts(spark, sf_dir)
+    out = gate.gate(rows, cents, 0.03, 0.55, 1.5)
+    return rounded(out, "sim_self", "sim_other", "floor").select("rec", "win_no", "speaker", "other", "sim_self", "sim_other", "floor", "foreign", "weak", "second", "drop")
+
+
+@query(_with(PRINTS, UNIT, OWNED, SIMS, MATCHED, LEAN) + "select rec, win_no, speaker, other, round(lean, 6) as lean from lean")
+def residual_lean(spark, sf_dir):
+    rows, cents = gate_parts(spark, sf_dir)
+    return rounded(gate.residual_lean(gate.own_and_other(rows, cents), cents), "lean").select("rec", "win_no", "speaker", "other", "lean")
+
+
+@query(
+    _with(SPANS, "med as (select rec, speaker, median(level) as med from spans group by rec, speaker)", "mad as (select rec, speaker, any_value(med) as med, median(abs(level - med)) as mad from spans join med using (rec, speaker) group by rec, speaker)")
+    + "select rec, span_id, speaker, round(med, 6) as med, round(mad, 6) as mad, level > med + 2.5::double * 1.4826::double * (mad + 1e-6::double) as outlier from spans join mad using (rec, speaker)"
+)
+def mad_outliers(spark, sf_dir):
+    return rounded(gate.mad_outliers(spans_of(spark, sf_dir), "level", 2.5), "med", "mad").select("rec", "span_id", "speaker", "med", "mad", "outlier")
+
+
+@query(
+    _with(PRINTS, UNIT, OWNED, SIMS, MATCHED, "cut as (select m.rec, m.speaker, p.s, p.e from matched m join prints p using (rec, win_no) where me - them < 0.03::double)", merged_sql("cut", 0.06, "rec, speaker"))
+    + "select rec, speaker, island, s as start, e as end, n from merged"
+)
+def gated_spans(spark, sf_dir):
+    rows, cents = gate_parts(spark, sf_dir)
+    return gate.gated_spans(gate.gate(rows, cents, 0.03, -2.0), rows)
+
+
+# activity
+
+LEVELS = """leveled as (select rec, floor(s / 21600)::bigint as frame, count(*) as n, avg(level * level) as ms from spans group by all),
+levels as (select rec, frame, n, sqrt(ms) as rms, 20 * log10(sqrt(ms + 1e-10::double) + 1e-10::double) as db from leveled)"""
+GATED = "tops as (select rec, quantile_cont(db, 0.95) - 6 as lim from levels group by rec), gated as (select l.*, lim, db > lim as active from levels l join tops using (rec))"
+
+
+@query(_with(SPANS, LEVELS) + "select rec, frame, n, round(rms, 6) as rms, round(db, 6) as db from levels")
+def rms_db(spark, sf_dir):
+    return rounded(activity.levels(spans_of(spark, sf_dir), GAP), "rms", "db")
+
+
+@query(_with(SPANS, LEVELS, GATED) + 'select rec, frame, n, round(rms, 6) as rms, round(db, 6) as db, round(lim, 6) as "limit", active from gated')
+def energy_gate(spark, sf_dir):
+    return rounded(activity.energy_gate(activity.levels(spans_of(spark, sf_dir), GAP), 6.0), "rms", "db", "limit")
+
+
+ACTIVE = """islands as (select rec, frame, frame - row_number() over (partition by rec order by frame) as g from gated where active),
+found as (select rec, min(frame) * 21600::double as s, (max(frame) + 1) * 21600::double as e from islands group by rec, g)"""
+
+
+@query(_with(SPANS, LEVELS, GATED, ACTIVE, merged_sql("found", 21600)) + "select rec, s as start, e as end from merged where e - s >= 43200")
+def active_spans(spark, sf_dir):
+    return activity.active_spans(activity.energy_gate(activity.levels(spans_of(spark, sf_dir), GAP), 6.0), GAP, GAP, 43_200.0)
+
+
+@query(
+    _with(
+        SPANS, LEVELS, GATED, ACTIVE, merged_sql("found", 21600), "long as (select rec, s, e from merged where e - s >= 43200)",
+        "recs as (select rec, max(e) as duration, sqrt(avg(level * level)) as rms from spans group by rec)",
+        "judged as (select r.rec, duration from recs r left join long using (rec) group by r.rec, duration, rms having coalesce(sum(long.e - long.s), 0) < 200000 and rms > 0.001::double)",
+    )
+    + "select rec, s as start, e as end from long where rec not in (select rec from judged) union all select rec, 0, duration from judged"
+)
+def silence_fallback(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)
+    recs = spans.groupBy("rec").agg(F.max("end").alias("duration"), F.sqrt(F.avg(F.col("level") * F.col("level"))).alias("rms"))
+    return activity.with_fallback(active_spans(spark, sf_dir), recs, 200_000.0)
+
+
+@query(_with(SPANS, "f as (select *, case when s - lag(s) over (partition by rec order by s) < 21600 then 0 else 1 end as fresh from spans)", "g as (select *, sum(fresh) over (partition by rec order by s rows unbounded preceding) as i from f)") + "select rec, to_timestamp(min(s) + 1704067200)::timestamp as start, count(*) as n, round(sum(level), 6) as level from g group by rec, i")
+def event_sessions(spark, sf_dir):
+    return rounded(sessions.sessions(tables.read(spark, sf_dir, "events"), "6 hours").select("rec", F.col("start").cast("timestamp_ntz").alias("start"), "n", "level"), "level")
+
+
+# transcripts
+
+WORDS = """said as (select conv_id as rec, turn, role, string_split(text, ' ') as w from conversations),
+counted as (select *, coalesce(sum(len(w)) over (partition by rec order by turn rows between unbounded preceding and 1 preceding), 0) as before from said),
+words as (
+  select rec, turn, role, (before + i - 1)::bigint as word_no, (before + i - 1) * 0.4::double as s, (before + i - 1) * 0.4::double + 0.35::double as e, ' ' || w[i] as text
+  from counted, unnest(range(1, len(w) + 1)) t(i)),
+turns_ as (select rec, turn as span_id, (case when role = 'user' then 0 else 1 end)::int as speaker, min(s) + 0.9::double as s, max(e) - 0.9::double as e from words where role <> 'system' group by rec, turn, role having max(e) - min(s) > 2),
+hits as (select w.rec, word_no, arg_min(speaker, (t.s, span_id)) as speaker from words w join turns_ t on w.rec = t.rec and (w.s + w.e) * 0.5::double between t.s and t.e group by w.rec, word_no),
+near as (select w.rec, word_no, arg_min(speaker, (least(abs((w.s + w.e) * 0.5::double - t.s), abs((w.s + w.e) * 0.5::double - t.e)), t.s, span_id)) as speaker from words w join turns_ t on w.rec = t.rec group by w.rec, word_no),
+labelled as (select w.*, coalesce(h.speaker, n.speaker, -1)::int as speaker from words w left join hits h using (rec, word_no) left join near n using (rec, word_no))"""
+CUES = """walk as (
+  select rec, word_no, s as at, 1 as n, e, speaker, true as new from labelled where word_no = 0
+  union all
+  select l.rec, l.word_no, case when l.speaker <> k.speaker or l.e - k.at > 6 or k.n >= 14 then l.s else k.at end,
+         case when l.speaker <> k.speaker or l.e - k.at > 6 or k.n >= 14 then 1 else k.n + 1 end, l.e, l.speaker, l.speaker <> k.speaker or l.e - k.at > 6 or k.n >= 14
+  from walk k join labelled l on l.rec = k.rec and l.word_no = k.word_no + 1),
+cued as (select rec, word_no, sum(new::int) over (partition by rec order by word_no rows unbounded preceding)::bigint as cue_no from walk),
+cues as (select l.rec, cue_no, min(l.s) as s, max(l.e) as e, l.speaker, trim(string_agg(text, '' order by l.word_no)) as text, count(*) as n_words from labelled l join cued using (rec, word_no) group by l.rec, cue_no, l.speaker having trim(string_agg(text, '' order by l.word_no)) <> '')"""
+TURNS = """turned_f as (select *, case when lag(speaker) over (partition by rec order by cue_no) = speaker then 0 else 1 end as fresh from cues),
+turned_g as (select *, sum(fresh) over (partition by rec order by cue_no rows unbounded preceding)::bigint as turn_no from turned_f),
+turned as (select rec, turn_no, min(s) as s, max(e) as e, speaker, string_agg(text, ' ' order by cue_no) as text from turned_g group by rec, turn_no, speaker)"""
+LABEL = "case when speaker < 0 then 'UNKNOWN' else 'SPEAKER_' || (speaker + 1) end"
+
+
+def labelled_of(spark, sf_dir):
+    words = tables.words(spark, sf_dir)
+    segs = words.where("role != 'system'").groupBy("rec", F.col("turn").alias("span_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("speaker")).agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    segs = segs.where("b - a > 2").select("rec", "span_id", "speaker", (F.col("a") + 0.9).alias("start"), (F.col("b") - 0.9).alias("end"))
+    return transcript.assign_words(words.select("rec", "word_no", "start", "end", "text"), segs)
+
+
+@query(_with(WORDS) + "select rec, word_no, s as start, e as end, text, speaker from labelled")
+def word_speaker(spark, sf_dir):
+    return labelled_of(spark, sf_dir)
+
+
+@query(_with(WORDS, CUES) + "select rec, cue_no, s as start, e as end, speaker, text, n_words from cues")
+def greedy_cues(spark, sf_dir):
+    return transcript.cues(labelled_of(spark, sf_dir))
+
+
+@query(_with(WORDS, CUES, TURNS) + "select rec, turn_no, s as start, e as end, speaker, text from turned")
+def turns(spark, sf_dir):
+    return transcript.turns(transcript.cues(labelled_of(spark, sf_dir)))
+
+
+def _sub(t: str, mark: str) -> str:
+    return f"printf('%02d:%02d:%02d{mark}%03d', floor({t} / 3600)::int, floor(({t} % 3600) / 60)::int, floor({t} % 60)::int, floor(({t} - floor({t})) * 1000)::int)"
+
+
+@query(_with(WORDS, CUES, "n as (select *, row_number() over (partition by rec order by cue_no)::int as number from cues)") + f"select rec, number, number || chr(10) || {_sub('s', ',')} || ' --> ' || {_sub('e', ',')} || chr(10) || '[' || {LABEL} || '] ' || text || chr(10) as block from n")
+def srt_blocks(spark, sf_dir):
+    return export.srt_blocks(transcript.cues(labelled_of(spark, sf_dir)))
+
+
+@query(_with(WORDS, CUES, "n as (select *, row_number() over (partition by rec order by cue_no)::int as number from cues)") + f"select rec, number, {_sub('s', '.')} || ' --> ' || {_sub('e', '.')} || chr(10) || '<v ' || {LABEL} || '>' || text || chr(10) as block from n")
+def vtt_blocks(spark, sf_dir):
+    return export.vtt_blocks(transcript.cues(labelled_of(spark, sf_dir)))
+
+
+@query(_with(WORDS, CUES, TURNS) + f"select rec, turn_no as number, '[' || {_hms('s', 2)} || '] ' || {LABEL} || ': ' || text as line from turned")
+def transcript_lines(spark, sf_dir):
+    return export.transcript_lines(transcript.turns(transcript.cues(labelled_of(spark, sf_dir))))
+
+
+@query(_with(WORDS) + "select rec, speaker, trim(string_agg(text, '' order by word_no)) as text from labelled where speaker >= 0 group by rec, speaker")
+def speaker_texts(spark, sf_dir):
+    return export.speaker_texts(labelled_of(spark, sf_dir))
+
+
+# clustering and signals: sequential by recording, tested against numpy
+
+
+@query()
+def agglomerative_k(spark, sf_dir):
+    return clustering.agglomerative(tables.voiceprints(spark, sf_dir), [3])
+
+
+@query()
+def auto_speaker_count(spark, sf_dir):
+    return rounded(clustering.choose_speakers(tables.voiceprints(spark, sf_dir), 1, 4), "score")
+
+
+def event_blocks(spark, sf_dir, size: int = 32):
+    """A user's event levels in time order as one sample each, scaled to [-1, 1], in blocks."""
+    from pyspark.sql import Window
+
+    rows = tables.event_spans(spark, sf_dir)
+    at = F.row_number().over(Window.partitionBy("rec").orderBy("start", "span_id")) - 1
+    rows = rows.select("rec", "level", at.alias("at")).withColumn("block_no", F.floor(F.col("at") / size))
+    listed = rows.groupBy("rec", "block_no").agg(F.array_sort(F.collect_list(F.struct("at", "level"))).alias("v"))
+    return listed.select("rec", F.lit(0).alias("channel"), "block_no", (F.col("block_no") * size).alias("start_sample"), F.transform("v", lambda v: (v["level"] / 500).cast("float")).alias("samples"))
+
+
+@query()
+def signal_highpass(spark, sf_dir):
+    out = signal.filter_blocks(event_blocks(spark, sf_dir), signal.high_pass(1000, 80.0))
+    return rounded(out.select("rec", "block_no", F.posexplode("samples").alias("i", "x")).withColumn("x", F.col("x").cast("double")), "x")
+
+
+@query()
+def signal_loudness(spark, sf_dir):
+    weighted = signal.filter_blocks(event_blocks(spark, sf_dir), signal.k_weighting(48_000))
+    return rounded(signal.loudness(signal.hop_squares(weighted, 40, 0.1)), "lufs")
+
+
+@query()
+def signal_frames(spark, sf_dir):
+    return rounded(signal.frame_levels(event_blocks(spark, sf_dir), 12, 4), "db")
