@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table outlives a lost executor, and later steps read it instead of computing it again.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

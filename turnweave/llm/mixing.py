@@ -97,7 +97,7 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights:
         limit = limit.agg(F.max(F.struct("time", F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("source"), "key", "turn", "doc_id", "size")).alias("x")).first().x
         taken = []
         for i in range(repeats):
-            time = (F.lit(i) * F.col("source_size") + F.col("done")) / F.col("target")
+            time = F.try_divide(F.lit(i) * F.col("source_size") + F.col("done"), F.col("target"))
             bin_ = F.least(F.floor(time * F.lit(TIME_BINS * TIME_BINS / 2)), F.lit(TIME_BINS * TIME_BINS - 1))
             ok = bin_ < edge
             if limit is not None:
