@@ -200,10 +200,13 @@ def loudness(squares: DataFrame, hop_sec: float = 0.1) -> DataFrame:
 
 
 def k_weighting(sr: int) -> list[np.ndarray]:
-    """Shelf and high-pass of ITU-R BS.1770 at any rate."""
-    w = 2 * np.pi * 38.13547 / sr
-    alpha, c = np.sin(w) / (2 * 0.5003270), np.cos(w)
-    return [high_shelf(sr, 1681.974, 3.999844), np.array([(1 + c) / 2, -(1 + c), (1 + c) / 2, -2 * c, 1 - alpha]) / (1 + alpha)]
+    """The two sections of ITU-R BS.1770, a shelf of 4 dB and a high-pass, at any sample rate."""
+    k, q, high = np.tan(np.pi * 1681.974450955533 / sr), 0.7071752369554196, 10 ** (3.999843853973347 / 20)
+    band = high**0.4996667741545416
+    shelf = np.array([high + band * k / q + k * k, 2 * (k * k - high), high - band * k / q + k * k, 2 * (k * k - 1), 1 - k / q + k * k]) / (1 + k / q + k * k)
+    k, q = np.tan(np.pi * 38.13547087602444 / sr), 0.5003270373238773
+    low = np.array([2 * (k * k - 1), 1 - k / q + k * k]) / (1 + k / q + k * k)
+    return [shelf, np.array([1.0, -2.0, 1.0, *low])]
 
 
 def hop_squares(blocks: DataFrame, sr: int, hop_sec: float = 0.1) -> DataFrame:

@@ -53,20 +53,23 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def diarize(blocks: DataFrame, cfg: Settings) -> Result:
-    """Segments by speaker of mono blocks (rec, channel 0, block_no, start_sample, samples) at 16 kHz."""
+    """Segments by speaker of mono blocks (rec, channel 0, block_no, start_sample, samples) at 16 kHz.
+
+    Labelled windows, segments and kills are used several times below and are persisted; lost parts are computed again.
+    """
     duration = blocks.groupBy("rec").agg((F.sum(F.size("samples")) / TARGET_SR).alias("duration"))
     spans = speech(blocks, cfg).withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start")))
     wins = numbered(windows.sliding_windows(spans.join(duration, "rec"), cfg.window_sec, cfg.hop_sec, cfg.min_window_sec, "duration"))
     backend = models.resolve("embedding", cfg.embedding_backend, "mfcc")
     prints = wins.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"])
-    labelled = clustering.cluster_windows(prints, cfg.num_speakers, cfg.min_speakers, cfg.max_speakers, cfg.remove_overlap, cfg.overlap_margin)
+    labelled = clustering.cluster_windows(prints, cfg.num_speakers, cfg.min_speakers, cfg.max_speakers, cfg.remove_overlap, cfg.overlap_margin).persist()
     voted = frames.frame_votes(labelled)
-    segs = frames.canonical_ids(frames.segments(voted, cfg.min_segment_sec))
+    segs = frames.canonical_ids(frames.segments(voted, cfg.min_segment_sec)).persist()
     over = frames.overlap_spans(voted)
     ids = segs.select("rec", F.col("was").alias("label"), "speaker").distinct()
     cents = speakers.centroids(labelled.join(ids, ["rec", "label"]).withColumn("label", F.col("speaker")))
     rows = segs.withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start")))
-    return Result(segs.select("rec", "speaker", "start", "end"), over, cents, labelled, kills(blocks, rows, over, cents, duration, backend, cfg))
+    return Result(segs.select("rec", "speaker", "start", "end"), over, cents, labelled, kills(blocks, rows, over, cents, duration, backend, cfg).persist())
 
 
 def kills(blocks: DataFrame, segs: DataFrame, over: DataFrame, cents: DataFrame, duration: DataFrame, backend: models.Backend, cfg: Settings) -> DataFrame:
