@@ -20,7 +20,7 @@ from .common import as_bytes, held_out, slices, written
 #: At most this many positives and unlabelled rows, those with the least hashes of doc_id, are fitted on.
 POSITIVES, UNLABELLED, THRESHOLD, HIDDEN = 20_000, 20_000, 0.7, 12
 _UPPER, _LOWER, _DIGIT, _HIGH, _MARK, _STOP, _LINE = range(1, 8)
-_CLASS = np.zeros(256, dtype=np.int64)
+_CLASS = np.zeros(256, dtype=np.int8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = _UPPER, _LOWER, _DIGIT, _HIGH
 for _c in b"#$%&*+<=>@[]\\^_`{|}~!":
     _CLASS[_c] = _MARK
@@ -36,8 +36,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(w.raw, dtype=np.uint8)
     kinds = _CLASS[data]
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    counts = np.bincount(doc * 8 + kinds, minlength=len(texts) * 8).reshape(-1, 8).astype(float)
+    counts = np.array([np.bincount(kinds[a:b], minlength=8) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], dtype=float).reshape(-1, 8)
     counts[:, _LINE] -= 1  # the line end that texts are laid end to end with
     n_bytes = np.maximum(1.0, np.diff(bounds) - 1)
     n = np.diff(w.first)
@@ -50,8 +49,9 @@ def features(texts: list[bytes]) -> np.ndarray:
     marked = _CLASS[last] == _MARK if len(of) else np.zeros(0, bool)
     alone = (length <= 2) & marked
     shout = (_CLASS[begin] == _UPPER) & (length > 1) & (_CLASS[data[np.minimum(w.start + 1, len(data) - 1)]] == _UPPER) if len(of) else np.zeros(0, bool)
-    pairs = np.unique(np.stack([of.astype(np.uint64), w.hash]), axis=1)[0].astype(np.int64) if len(of) else of
-    distinct = np.bincount(pairs, minlength=len(texts)) / words
+    # a word of a text is one number, so that one flat sort counts the distinct words of all texts
+    first = np.unique(w.hash ^ wordhash.mix(of.astype(np.uint64)), return_index=True)[1]
+    distinct = np.bincount(of[first], minlength=len(texts)) / words
     longest = np.zeros(len(texts))
     if len(of):
         np.maximum.at(longest, of, length)
