@@ -46,8 +46,16 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE)})\b\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: A cheap test that every text with a mention passes.
-MAY_HAVE = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|(?:{'|'.join(MALE + FEMALE)})\b\.? \p{{Lu}}"
+
+
+def _by_first_letter(words: tuple[str, ...]) -> str:
+    """Alternatives grouped by their first letter, so that most characters of a text fail one comparison."""
+    firsts = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in firsts)
+
+
+#: A cheap test that every text with a mention passes: a digit, @, = or :, the head of an access key, or a title.
+MAY_HAVE = rf"[0-9@=:]|A(?:KIA|SIA)|(?:{_by_first_letter(MALE + FEMALE)})\b\.? \p{{Lu}}"
 
 
 def _draw(*parts: Column) -> Column:
