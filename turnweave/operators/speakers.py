@@ -54,13 +54,13 @@ def single_speaker_score(windows: DataFrame) -> DataFrame:
 
 
 def silhouettes(windows: DataFrame, keys: tuple[str, ...] = ("rec",), cluster: str = "label") -> DataFrame:
-    """keys, score, k: mean cosine silhouette of a clustering; -1 for a single cluster or one for each window.
+    """keys, score, k: mean cosine silhouette of a clustering of windows (keys, win_no); -1 for a single cluster or one for each window.
 
     The mean distance from a window to a cluster is 1 minus its product with the cluster's mean, so sums
     for each cluster replace the distances of all pairs.
     """
     n = norm(F.col("embedding")) + 1e-9
-    rows = windows.select(*keys, F.col(cluster).alias("own"), F.transform("embedding", lambda x: x / n).alias("embedding"), F.monotonically_increasing_id().alias("_id"))
+    rows = windows.select(*keys, F.col(cluster).alias("own"), F.col("win_no").alias("_id"), F.transform("embedding", lambda x: x / n).alias("embedding"))
     sums = vector_sums(rows.drop("_id"), [*keys, "own"], "embedding").select(*keys, F.col("own").alias("other"), F.col("vector"), F.col("n"))
     per = rows.join(sums, list(keys))
     product = dot(F.col("embedding"), F.col("vector"))
