@@ -101,6 +101,20 @@ def test_surrogates_stay_distinct(spark):
     assert not set(new) & {r.thing for r in out}
 
 
+def test_surrogates_of_hardly_any_characters(spark):
+    rows = [(1, "Password: ________ and\nToken:\n-------- end", "s"), (2, "Password: -------0", "s"), (3, 'Password: "-------1"', "s")]
+    rows += [(10 + i, f"call 100-{i // 2 % 2}0{i // 4 % 2}-{i // 8 % 2}0{i // 16}{i % 2} now", "s") for i in range(32)]
+    text = {r.doc_id: r.text for r in pii.surrogates(docs_of(spark, rows)).collect()}
+    assert text[1] == rows[0][1]
+    new = [text[2].split(": ")[1], text[3].split(": ")[1].strip('"'), *(text[10 + i] for i in range(32))]
+    assert len(set(new)) == len(new) and not set(text[i] for i in text if i > 1) & {t for _, t, _ in rows}
+    assert text[3].startswith('Password: "-------') and text[3].endswith('"')
+    few = [("secret", "-------" + c) for c in "0123456789abcdefghijklmnopqrstuvwxyz"] + [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = pii.assigned(spark.createDataFrame(few, "kind string, thing string"), "k").collect()
+    assert len(out) == len({(r.kind, r.surrogate) for r in out}) == len(few)
+    assert not {(r.kind, r.surrogate) for r in out} & set(few)
+
+
 # neighbours
 
 

@@ -3,7 +3,8 @@
 Mentions are found by one pattern. Each is taken apart into what it names (a phone number is its digits, a person a given and a family
 name), and every distinct thing gets a surrogate from a keyed hash: the same type, script, gender, letter
 case and layout, the same in all documents. Surrogates are checked against each other and against
-everything that occurs, and drawn again until all are distinct, so different things stay different.
+everything that occurs, and drawn again until all are distinct, so different things stay different. After some
+attempts a thing draws from all letters and digits, after some more its surrogate grows, so that attempts come to an end.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import text_key, written
 #: Titles by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "г-жа")
+#: Attempts after which a surrogate keeps no classes of characters any more, and after which it gets one character longer each time.
+WIDER, LONGER = 3, 6
 #: Parts that names are made of, by script and gender.
 SYLLABLES = {
     "latin": ("ba", "be", "bo", "ca", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "he", "jo", "ka", "la", "le", "lo", "ma", "me", "mo", "na", "no", "pa", "ra", "re", "ro", "sa", "te", "va"),
@@ -36,7 +39,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is found, in order of preference where two could begin at the same place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9+/_-]{8,}\"?",
+    "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}\"?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}\"?",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\b\d{3}[.-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -77,9 +80,10 @@ def _characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _same_kind(text: Column, draw: Column) -> Column:
-    """Every ASCII letter and digit of a lower-case text exchanged; 0 and 1, 2 to 9, and hexadecimal strings stay so."""
-    hexadecimal = text.rlike("^[0-9a-f]+$")
+def _same_kind(text: Column, draw: Column, attempt: Column) -> Column:
+    """Every ASCII letter and digit of a lower-case text exchanged; 0 and 1, 2 to 9, and hexadecimal strings stay so for the first attempts."""
+    narrow = attempt < WIDER
+    hexadecimal = narrow & text.rlike("^[0-9a-f]+$")
     letters, few = "abcdefghijklmnopqrstuvwxyz", "abcdef"
 
     def one(c: Column, i: Column) -> Column:
@@ -87,8 +91,9 @@ def _same_kind(text: Column, draw: Column) -> Column:
         return (
             F.when(c.rlike("[a-f]") & hexadecimal, F.substring(F.lit(few), F.pmod(n, F.lit(6)) + 1, F.lit(1)))
             .when(c.rlike("[a-z]"), F.substring(F.lit(letters), F.pmod(n, F.lit(26)) + 1, F.lit(1)))
-            .when(c.rlike("[01]"), F.pmod(n, F.lit(2)).cast("string"))
-            .when(c.rlike("[0-9]"), (F.pmod(n, F.lit(8)) + 2).cast("string"))
+            .when(narrow & c.rlike("[01]"), F.pmod(n, F.lit(2)).cast("string"))
+            .when(narrow & c.rlike("[0-9]"), (F.pmod(n, F.lit(8)) + 2).cast("string"))
+            .when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
             .otherwise(c)
         )
 
@@ -102,20 +107,27 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, d: a + d), F.lit(10))
 
 
-def _card(digits: Column, draw: Column) -> Column:
+def _more(kind: Column, draw: Column, attempt: Column) -> Column:
+    """What a surrogate is longer by after many attempts: digits for phone and ssn, letters for the others."""
+    marks = F.transform(F.sequence(F.lit(LONGER), attempt), lambda i: F.when(kind.isin("phone", "ssn"), F.pmod(_number(draw, 31 - i), F.lit(10)).cast("string")).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", _number(draw, 31 - i))))
+    return F.when(attempt < LONGER, "").otherwise(F.array_join(marks, ""))
+
+
+def _card(digits: Column, draw: Column, attempt: Column) -> Column:
     """Same scheme (first digit), length and Luhn remainder."""
-    body = F.concat(F.substring(digits, 1, 1), _same_kind(F.expr("substring(thing, 2, length(thing) - 2)"), draw))
+    body = F.concat(F.substring(digits, 1, 1), _same_kind(F.expr("substring(thing, 2, length(thing) - 2)"), draw, attempt))
     return F.concat(body, F.pmod(_luhn(digits) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
 
-def _ip(text: Column, draw: Column) -> Column:
-    """Octets of the same number of digits; the first is public, unicast."""
+def _ip(text: Column, draw: Column, attempt: Column) -> Column:
+    """Octets of the same number of digits for the first attempts; the first is public, unicast."""
 
     def octet(x: Column, i: Column) -> Column:
         n, size = _number(draw, i), F.length(x)
         low = F.when(size == 3, F.lit(100)).when(size == 2, F.lit(11)).otherwise(F.lit(1))
         span = F.when(size == 3, F.when(i == 0, F.lit(26)).otherwise(F.lit(155))).when(size == 2, F.lit(89)).otherwise(F.lit(9))
-        return (low + F.pmod(n, span)).cast("string")
+        any_size = F.when(i == 0, F.pmod(n, F.lit(115)) + 11).otherwise(F.pmod(n, F.lit(256)))
+        return F.when(attempt < WIDER, low + F.pmod(n, span)).otherwise(any_size).cast("string")
 
     return F.array_join(F.transform(F.split(text, r"\."), octet), ".")
 
@@ -130,19 +142,21 @@ def surrogate(kind: Column, thing: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a thing of a kind; columns must be named so."""
     draw = _draw(F.lit(key), kind, thing, attempt.cast("string"))
     tail = F.regexp_extract(thing, r"\.[a-z]+$", 0)
-    out = F.when(kind == "email", F.concat(_same_kind(F.expr("left(thing, length(thing) - length(regexp_extract(thing, '[.][a-z]+$', 0)))"), draw), tail))
-    out = out.when(kind == "card", _card(thing, draw)).when(kind == "ip", _ip(thing, draw))
-    out = out.when(kind.isin("access_key", "iban"), F.concat(F.when(kind == "iban", F.substring(thing, 1, 2)).otherwise(F.substring(thing, 1, 4)), _same_kind(F.when(kind == "iban", F.expr("substring(thing, 3)")).otherwise(F.expr("substring(thing, 5)")), draw)))
+    more = _more(kind, draw, attempt)
+    out = F.when(kind == "email", F.concat(more, _same_kind(F.expr("left(thing, length(thing) - length(regexp_extract(thing, '[.][a-z]+$', 0)))"), draw, attempt), tail))
+    out = out.when(kind == "card", _card(thing, draw, attempt)).when(kind == "ip", _ip(thing, draw, attempt))
+    out = out.when(kind.isin("access_key", "iban"), F.concat(F.when(kind == "iban", F.substring(thing, 1, 2)).otherwise(F.substring(thing, 1, 4)), _same_kind(F.when(kind == "iban", F.expr("substring(thing, 3)")).otherwise(F.expr("substring(thing, 5)")), draw, attempt)))
     for k in ENDINGS:
         out = out.when(kind == "_".join(k), _name(k, draw, attempt))
-    return out.otherwise(_same_kind(thing, draw))
+    return out.otherwise(F.concat(_same_kind(thing, draw, attempt), more))
 
 
 def assigned(things: DataFrame, key: str) -> DataFrame:
     """(kind, thing, surrogate) for distinct things (kind, thing); surrogates of a kind are distinct and none is a thing.
 
     Of things that draw the same surrogate the least keeps it and the others draw again. Every attempt is one
-    aggregation of what is left; after the first that is hardly anything.
+    aggregation of what is left; after the first that is hardly anything. Where few surrogates of a layout are free, attempts widen
+    and then lengthen them, so that the number of rounds is bounded by the logarithm of the things.
     """
     things = written(things, "things")
     done = None
@@ -191,7 +205,7 @@ def _parts(mentions: DataFrame) -> DataFrame:
 
 
 def _laid_out(template: Column, characters: Column) -> Column:
-    """The surrogate's letters and digits in the template's layout and letter case."""
+    """The surrogate's letters and digits in the template's layout and letter case; what is longer goes to the end, within quotes."""
     clean = _characters(F.regexp_replace(characters, "[^0-9A-Za-z]", ""))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
@@ -200,7 +214,11 @@ def _laid_out(template: Column, characters: Column) -> Column:
         x = F.when(c.rlike("[A-Z]"), F.upper(x)).otherwise(x)
         return F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a.out, x).alias("out"), (a.i + 1).alias("i"))).otherwise(F.struct(F.concat(a.out, c).alias("out"), a.i.alias("i")))
 
-    return F.aggregate(_characters(template), start, place, lambda a: a.out)
+    def ended(a: Column) -> Column:
+        over = F.array_join(F.slice(clean, a.i, F.greatest(F.size(clean) - a.i + 1, F.lit(0))), "")
+        return F.when(over == "", a.out).otherwise(F.concat(F.regexp_replace(a.out, '"$', ""), over, F.regexp_extract(a.out, '"$', 0)))
+
+    return F.aggregate(_characters(template), start, place, ended)
 
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
@@ -209,7 +227,8 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     given = assigned(parts.select("kind", "thing").distinct(), key)
     joined = parts.join(given, ["kind", "thing"])
     is_name = F.col("kind").startswith("given_") | F.col("kind").startswith("family_")
-    new = F.when(is_name | (F.col("kind") == "ip"), F.col("surrogate")).otherwise(_laid_out(F.col("rest"), F.col("surrogate")))
+    grown = (F.col("kind") == "email") & (F.length("surrogate") > F.length("rest"))
+    new = F.when(is_name | grown | (F.col("kind") == "ip"), F.col("surrogate")).otherwise(_laid_out(F.col("rest"), F.col("surrogate")))
     own = joined.select("mention", "kept", F.struct("place", new.alias("new")).alias("x"))
     whole = own.groupBy("mention", "kept").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return whole.select("mention", F.concat("kept", F.array_join(F.transform("xs", lambda x: x.new), " ")).alias("replacement"))
