@@ -62,6 +62,21 @@ def test_classes_of_planted_copies(spark):
     assert ids == sorted({of[i] for i in want} | {1000, 1001, 1002, 1004, 1006, 1007, 1009, 1010}) + [None, None]
 
 
+def test_alike_texts_among_many_with_one_template(spark):
+    r = random.Random(8)
+    template, rows = words(r, 120), []
+    for g in range(900):
+        own = words(r, 60)
+        for second in range(1 + (g < 60)):
+            text = template + own
+            for i in r.sample(range(120, 180), 30 * second):
+                text[i] = f"x{r.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(text), None, None, None, "clash", 7))
+    of = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [g for g in range(60) if of[2 * g] != of[2 * g + 1]] == []
+    assert len(set(of.values())) == 900
+
+
 def test_empty_table(spark):
     assert near_dedup.classes(spark.createDataFrame([], DOCS)).count() == 0
 

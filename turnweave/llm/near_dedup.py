@@ -23,6 +23,8 @@ from .common import as_bytes, slices, text_key, written
 from .graph import components
 
 K, TAKEN, SKETCHES, LEAST, FINER, BINS = 5, 3, 64, 0.8, 8, 256
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 64
 
 
 def sketches(hashes: np.ndarray, k: int = K, taken: int = TAKEN, n: int = SKETCHES) -> np.ndarray | None:
@@ -90,6 +92,54 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_near_batches, "a binary, b binary")
 
 
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks the pairs of members in different components whose lengths and word histograms allow the similarity."""
+    for batch in batches:
+        a, b = [], []
+        for same, members in zip(batch.column("same").to_pylist(), batch.column("members"), strict=True):
+            own = members.values
+            key, left = own.field("key").to_pylist(), own.field("left").to_numpy(zero_copy_only=False)
+            root, n = own.field("root").to_numpy(), own.field("n").to_numpy()
+            i, j = (np.arange(len(key)), np.arange(len(key))) if same else (np.flatnonzero(left), np.flatnonzero(~left))
+            longest = np.maximum(n[i][:, None], n[j][None, :])
+            most = np.floor((1 - LEAST) * longest + 1e-9)
+            ok = (root[i][:, None] != root[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most)
+            if same:
+                ok = np.triu(ok, 1)
+            p, q = np.nonzero(ok)
+            if not len(p):
+                continue
+            x = np.frombuffer(b"".join(own.field("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+            for at in range(0, len(p), 4096):
+                u, v = p[at : at + 4096], q[at : at + 4096]
+                near = np.abs(x[i[u]] - x[j[v]]).sum(axis=1, dtype=np.int64) <= 2 * most[u, v]
+                for c, d in zip(i[u[near]].tolist(), j[v[near]].tolist(), strict=True):
+                    a.append(max(key[c], key[d]))
+                    b.append(min(key[c], key[d]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _across(items: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket that are not connected yet and whose lengths and histograms allow the similarity.
+
+    The members of a bucket are dealt over blocks by a hash, and every block meets every other one in a row of its own, so a bucket of
+    any size is the work of many tasks. Members of its largest component meet only the other members.
+    """
+    member = items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
+    held = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    held = held.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where("all > top.n and all > 2")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    held = held.select("bucket", F.col("top.root").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops"))
+    own = member.select("key", "bucket", "root").join(held, "bucket").withColumn("is_top", F.col("root") == F.col("top"))
+    salt = F.xxhash64("key", F.lit(5))
+    own = own.withColumn("block", F.when(F.col("is_top"), F.col("others") + F.pmod(salt, F.col("tops"))).otherwise(F.pmod(salt, F.col("others"))))
+    last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    own = own.join(nodes.select("key", "n", "bins"), "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    own = own.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("key", "root", "n", "bins", (F.col("block") <= F.col("other")).alias("left")).alias("x"))
+    met = own.groupBy("bucket", "lo", "hi").agg(F.collect_list("x").alias("members")).where("size(members) > 1")
+    return met.select((F.col("lo") == F.col("hi")).alias("same"), "members").mapInArrow(_block_batches, "a binary, b binary").distinct()
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [align.similar(a, b, LEAST) for a, b in zip(as_bytes(batch.column("a_text")), as_bytes(batch.column("b_text")), strict=True)]
@@ -110,11 +160,11 @@ def classes(docs: DataFrame) -> DataFrame:
     there on. In each bucket every node is aligned with the least one, unless they are connected already. A node's first
     comparison is with the least leader of all its buckets, which joins most copies, so a group of n near copies takes
     about n comparisons, not one for each pair. Buckets that hold several components after that are split by eight further sketches,
-    and the nodes of each part are aligned with its least one.
+    and the nodes of each part are aligned with its least one. In buckets that hold several components even then, all pairs
+    of nodes in different components are compared by length and histogram, and aligned where these allow it.
 
-    So two alike texts come together if they share a leader that is like both, or one of them leads a bucket or part of the other. Copies with
-    few changes agree in most sketches and have several hundred parts in common. Pairs at the very limit of 0.8, alike only in some
-    passage that is repeated within them, can stay apart.
+    So any two alike texts that agree in a sketch come together. Documents that share a sketch without being alike, such as many with
+    one long template, cost a comparison of lengths and histograms for each pair.
 
     Null texts: each row is its own class. Empty texts are copies of one another. A text of fewer than
     five words has no k-mer and joins only its exact copies. Repeated rows and other columns do not matter;
@@ -144,8 +194,12 @@ def classes(docs: DataFrame) -> DataFrame:
     split = items.join(mixed.select("bucket"), "bucket").join(nodes.select("key", "bands"), "key")
     other = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda d: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + d) % SKETCHES + 1)))
     leader = _to_leader(split.select("key", F.explode(other).alias("bucket"))).join(leader, ["a", "b"], "left_anti")
-    pairs = written(_near(_apart(leader, roots), nodes), "pairs")
-    roots = components(_verified(pairs, texts), roots)
+    more = written(_near(_apart(leader, roots), nodes), "pairs")
+    roots = components(_verified(more, texts), roots)
+    # what is left: all pairs of a bucket across its components that were not aligned yet
+    done = first.select("a", "b").unionByName(pairs).unionByName(more)
+    rest = written(_across(items, roots, nodes).join(done, ["a", "b"], "left_anti"), "pairs")
+    roots = components(_verified(rest, texts), roots)
     member = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     sized = rows.select("doc_id", "key").join(member.select("key", "root"), "key").join(named, "root")
