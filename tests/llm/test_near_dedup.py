@@ -77,6 +77,29 @@ def test_alike_texts_among_many_with_one_template(spark):
     assert len(set(of.values())) == 900
 
 
+def changed(r, text, n, middle=False):
+    own = list(text)
+    for i in [len(own) // 2] if middle else r.sample(range(len(own)), n):
+        own[i] = f"x{r.randint(0, 9999)}"
+    return own
+
+
+@pytest.mark.parametrize(("n", "edits", "least"), [(5, 0, 150), (7, 0, 150), (9, 0, 150), (11, 2, 149), (15, 3, 149), (45, 9, 149), (300, 60, 145), (300, 54, 148), (300, 45, 150)])
+def test_pairs_near_the_limit_agree_in_a_sketch(n, edits, least):
+    r = random.Random(n + edits)
+    of = lambda text: set(near_dedup.bands(near_dedup.wordhash.words([" ".join(text).encode()]).hash).tolist())
+    pairs = [(x, changed(r, x, edits, not edits)) for x in (words(r, n) for _ in range(150))]
+    assert sum(bool(of(x) & of(y)) for x, y in pairs) >= least
+
+
+def test_planted_pairs_near_the_limit(spark):
+    r = random.Random(4)
+    pairs = [(x, changed(r, x, int(n * 0.18), n < 10)) for n in (5, 7, 11, 20, 44, 49, 120, 300) for x in (words(r, n) for _ in range(20))]
+    rows = [(i, " ".join(t), None, None, None, "clash", 7) for i, t in enumerate(t for p in pairs for t in p)]
+    of = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert sum(of[2 * i] == of[2 * i + 1] for i in range(len(pairs))) >= len(pairs) - 3
+
+
 def test_empty_table(spark):
     assert near_dedup.classes(spark.createDataFrame([], DOCS)).count() == 0
 

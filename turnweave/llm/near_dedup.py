@@ -1,12 +1,12 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document's k-mers are its runs of five consecutive words, each labelled with its number among
-equal k-mers of that document. For every hash function the three k-mers with the least hashes
+A document's k-mers are its runs of four consecutive words (of two in texts of less than 50 words), each labelled with its number among
+equal k-mers of that document. For every hash function the two k-mers with the least hashes
 are taken and put back into text order; the sequence is one sketch (Marçais et al. 2019). Since
-order counts, two documents agree in a sketch about as often as their texts align. Documents that agree in any of 64
+order counts, two documents agree in a sketch about as often as their texts align. Documents that agree in any of 96
 sketches are candidates, and a link is a candidate pair whose banded word alignment leaves a similarity of 0.8 or more
-(1 - edits / longer length). A change in every tenth word leaves such a similarity but hardly half of the k-mers, hence
-many short sketches. Lengths and word histograms bound the edits from below and spare most other candidates the alignment.
+(1 - edits / longer length). A change in every sixth word leaves such a similarity but a third of the k-mers, hence
+many short sketches. Texts of 40 to 49 words have sketches of both kinds, so any two texts whose lengths allow a link share a kind. Lengths and word histograms bound the edits from below and spare most other candidates the alignment.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from . import align, wordhash
 from .common import as_bytes, slices, text_key, written
 from .graph import components
 
-K, TAKEN, SKETCHES, LEAST, FINER, BINS = 5, 3, 64, 0.8, 8, 256
+K, TAKEN, SKETCHES, LEAST, FINER, BINS = 4, 2, 96, 0.8, 8, 256
+#: Words of the k-mers of short texts, the length under which texts have them, and the length from which they have the others; texts of fewer words than LEAST_WORDS have none.
+SHORT_K, SHORT, LONG, LEAST_WORDS = 2, 50, 40, 5
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 64
 
@@ -59,19 +61,31 @@ def sketches(hashes: np.ndarray, k: int = K, taken: int = TAKEN, n: int = SKETCH
     return out
 
 
+def bands(hashes: np.ndarray) -> np.ndarray | None:
+    """All sketches of one document, each mixed with its number; None with fewer than five words."""
+    if len(hashes) < LEAST_WORDS:
+        return None
+    out = []
+    with np.errstate(over="ignore"):
+        if len(hashes) >= LONG:
+            out.append(wordhash.mix(sketches(hashes) + np.arange(SKETCHES, dtype=np.uint64)))
+        if len(hashes) < SHORT:
+            out.append(wordhash.mix(sketches(hashes, SHORT_K) + np.arange(SKETCHES, 2 * SKETCHES, dtype=np.uint64)))
+    return np.concatenate(out)
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "key", "n", "bins", "bands"]
     for batch in batches:
         for part in slices(batch, "text"):
             w = wordhash.words(as_bytes(part.column("text")))
-            bins, bands = [], []
+            bins, found = [], []
             for i in range(part.num_rows):
                 own = w.hash[w.first[i] : w.first[i + 1]]
                 bins.append(np.minimum(255, np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS)).astype(np.uint8).tobytes())
-                s = sketches(own)
-                with np.errstate(over="ignore"):
-                    bands.append(None if s is None else wordhash.mix(s + np.arange(SKETCHES, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(np.diff(w.first), pa.int64()), pa.array(bins, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names)
+                s = bands(own)
+                found.append(None if s is None else s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(np.diff(w.first), pa.int64()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names)
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +177,11 @@ def classes(docs: DataFrame) -> DataFrame:
     and the nodes of each part are aligned with its least one. In buckets that hold several components even then, all pairs
     of nodes in different components are compared by length and histogram, and aligned where these allow it.
 
-    So any two alike texts that agree in a sketch come together. Documents that share a sketch without being alike, such as many with
+    So any two alike texts that agree in a sketch come together. Nearly all do; the README has the measured recall by similarity. Documents that share a sketch without being alike, such as many with
     one long template, cost a comparison of lengths and histograms for each pair.
 
     Null texts: each row is its own class. Empty texts are copies of one another. A text of fewer than
-    five words has no k-mer and joins only its exact copies. Repeated rows and other columns do not matter;
+    five words has no sketch and joins only its exact copies. Repeated rows and other columns do not matter;
     a null doc_id yields a row too, and never names a class unless all its members lack one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -192,7 +206,7 @@ def classes(docs: DataFrame) -> DataFrame:
     member = items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = member.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r != s and n > 2")
     split = items.join(mixed.select("bucket"), "bucket").join(nodes.select("key", "bands"), "key")
-    other = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda d: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + d) % SKETCHES + 1)))
+    other = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda d: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + d) % F.size("bands") + 1)))
     leader = _to_leader(split.select("key", F.explode(other).alias("bucket"))).join(leader, ["a", "b"], "left_anti")
     more = written(_near(_apart(leader, roots), nodes), "pairs")
     roots = components(_verified(more, texts), roots)
