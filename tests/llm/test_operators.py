@@ -280,6 +280,22 @@ def test_disguises_are_undone():
     assert found["stupid"] == 2 and found["loser"] >= 2
 
 
+def trigrams(words):
+    grams = Counter()
+    for w, n in words.items():
+        for i in range(len(w) + 1):
+            grams[f"\n\n{w}\n"[i : i + 3]] += n
+    return grams
+
+
+def test_stretched_letters_outside_ascii():
+    words = {"idiöt": 40, "cabrón": 40, "дурак": 40, "the": 500, "naïve": 20}
+    rest = toxicity.Restorer(toxicity.Letters(trigrams(words)))
+    for text, word in (("the idiööööt", "idiöt"), ("the cabróóóón", "cabrón"), ("the дуууурак", "дурак"), ("ДУУУУРАК", "дурак")):
+        assert word in rest.words(text)
+    assert set(rest.words("the naïve дурак")) == {"the", "naïve", "дурак"}
+
+
 def test_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 3000)

@@ -136,8 +136,9 @@ class Restorer:
 
     def words(self, text: str) -> dict[str, int]:
         """Restored words with their counts. Letters that stand apart are also read together."""
-        tokens = text.lower().split()
-        data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
+        lower = text.lower()
+        tokens = lower.split()
+        data = np.frombuffer(lower.encode(), dtype=np.uint8) if lower.isascii() else np.frombuffer(lower.encode("utf-32-le"), dtype=np.uint32)
         triple = bool(((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] > 96)).any())
         out: dict[str, int] = {}
         for token, n in Counter(tokens).items():
