@@ -296,6 +296,17 @@ def test_stretched_letters_outside_ascii():
     assert set(rest.words("the naïve дурак")) == {"the", "naïve", "дурак"}
 
 
+def test_long_and_joined_disguises():
+    words = {"idiot": 40, "moron": 40, "stupid": 40, "useless": 40, "such": 90, "you": 300, "are": 300, "big": 80, "the": 500, "cat": 80}
+    rest = toxicity.Restorer(toxicity.Letters(trigrams(words)))
+    for text, word in (
+        ("y o u a r e s u c h a b i g u s e l e s s i d i o t", "idiot"), ("a s t u p i d", "stupid"), ("y o u i d i o t", "idiot"),
+        ("you.stupid.useless.big.m0ron", "moron"), ("you.stupid.useless.big.m0ron", "stupid"), ("stu" + "u" * 40 + "pid", "stupid"), ("i-d-i-o-t-" * 4, "idiot"),
+    ):
+        assert word in rest.words(text), text
+    assert len(toxicity.decode("1 " * 20_000, rest.letters)) <= 40_000
+
+
 def test_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 3000)

@@ -28,6 +28,8 @@ SUPPORT = 0.01
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "%": "aeiou", "#": "aeiou"}
 SEPARATORS = ".-_*~'`^,:;/\\+ "
 CHANNEL_COST, DROP_COST, KEEP_DIGIT_COST, SHRINK_COST = 0.7, 0.1, 6.0, 0.1
+#: In a lattice: the end of a word and the beginning of another.
+BREAK, BREAK_COST = "\n", 0.5
 _STRIP = " \t\r\n\"'.,;:!?()[]{}<>|/\\&%$#*+=~^_-`«»“”‘’…"
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _TRIPLE = re.compile(r"(.)\1\1")
@@ -76,6 +78,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if n > 1:
                 add(letter, cost + SHRINK_COST * (n > 2) + (0.5 if n == 2 else 0))
                 add(letter * 2, cost + SHRINK_COST * (n > 2))
+        if c in SEPARATORS:
+            add(BREAK, DROP_COST)
         if c in SEPARATORS or (c in STANDS_FOR and not c.isdigit() and i + n in (len(token),)):
             add("", DROP_COST)
         if not arcs:
@@ -87,26 +91,41 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, letters: Letters) -> str:
-    """The most likely plain word behind a token."""
-    best: dict[tuple[str, str], tuple[float, str]] = {("\n", "\n"): (0.0, "")}
-    for arcs in lattice(token):
-        after: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (cost, word) in best.items():
+def decode(token: str, letters: Letters, apart: bool = False) -> str:
+    """The most likely plain words behind a token, with a space between them. apart: a word may end after any letter."""
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("\n", "\n"): (0.0, None)}
+    steps = lattice(token)
+    if apart:
+        steps = [x for arcs in steps for x in (arcs, [("", 0.0), (BREAK, BREAK_COST)])]
+    for arcs in steps:
+        after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in best.items():
             for text, price in arcs:
                 total, x, y = cost + price, a, b
-                for c in text:
-                    total += letters(x, y, c)
-                    x, y = y, c
-                if total < after.get((x, y), (math.inf, ""))[0]:
-                    after[x, y] = (total, word + text)
+                if text == BREAK:
+                    if b != "\n":  # between words a further break changes nothing
+                        total += letters(a, b, "\n")
+                        x = y = "\n"
+                else:
+                    for c in text:
+                        total += letters(x, y, c)
+                        x, y = y, c
+                if total < after.get((x, y), (math.inf, None))[0]:
+                    after[x, y] = (total, (path, text) if text else path)
         best = after
-    return min(((cost + letters(a, b, "\n"), word) for (a, b), (cost, word) in best.items()), default=(0.0, token))[1]
+    path = min(((cost + letters(a, b, "\n") * (b != "\n"), i) for i, ((a, b), (cost, _)) in enumerate(best.items())), default=(0.0, -1))[1]
+    if path < 0:
+        return token
+    out, node = [], list(best.values())[path][1]
+    while node is not None:
+        node, text = node
+        out.append(text)
+    return " ".join("".join(reversed(out)).replace(BREAK, " ").split())
 
 
 def suspicious(token: str) -> bool:
-    """Not plain letters, but with one; or with a letter three times in a row. Numbers, addresses and long tokens are not words in disguise."""
-    if len(token) > LONGEST or len(token) < 3 or "://" in token or token.count("@") == 1 and "." in token.partition("@")[2]:
+    """Not plain letters, but with one; or with a letter three times in a row. Numbers and addresses are not words in disguise."""
+    if len(token) < 3 or "://" in token or token.count("@") == 1 and "." in token.partition("@")[2]:
         return False
     if _PLAIN.match(token):
         return bool(_TRIPLE.search(token))
@@ -131,7 +150,8 @@ class Restorer:
             word = decode(got, self.letters) if suspicious(got) else got
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[got] = word
+            if len(got) <= 4 * LONGEST:
+                self.known[got] = word
         return word
 
     def words(self, text: str) -> dict[str, int]:
@@ -143,10 +163,16 @@ class Restorer:
         out: dict[str, int] = {}
         for token, n in Counter(tokens).items():
             word = token if not triple and token.isalpha() else self.word(token, triple)
-            out[word] = out.get(word, 0) + n
+            for w in word.split() if " " in word else (word,):
+                out[w] = out.get(w, 0) + n
         for m in _SINGLES.finditer(bytes([len(t) == 1 or len(t) == 2 and not t.isalpha() for t in tokens])):
-            word = decode("".join([t[0] for t in tokens[m.start() : m.end()]])[:LONGEST], self.letters)
-            out[word] = out.get(word, 0) + 1
+            run = "".join([t[0] for t in tokens[m.start() : m.end()]])
+            # breaks are a guess of the letter model, so the run is also read as one word, from each of its letters on
+            whole = decode(run, self.letters)
+            parts = whole.split()
+            found = set(decode(run, self.letters, apart=True).split()) | {p[i : i + LONGEST] for p in parts for i in range(max(1, len(p) - 2))}
+            for w in found:
+                out[w] = out.get(w, 0) + 1
         return out
 
 
