@@ -52,6 +52,30 @@ def within(a: Sequence, b: Sequence, most: int) -> bool:
 
 def similar(a: bytes, b: bytes, least: float) -> bool:
     """1 - edits / longer length, over words, is at least ``least``; two wordless texts are alike."""
-    x, y = a.split(), b.split()
-    longer = max(len(x), len(y))
-    return within(x, y, int((1 - least) * longer + 1e-9))
+    return Texts(least).similar(a, b)
+
+
+class Texts:
+    """Compares texts and remembers the words of those it has met, up to a bound."""
+
+    def __init__(self, least: float, most_bytes: int = 30_000_000):
+        self.least, self.most_bytes, self.known, self.size = least, most_bytes, {}, 0
+
+    def _words(self, text: bytes) -> tuple[list[bytes], Counter]:
+        got = self.known.get(text)
+        if got is None:
+            words = text.split()
+            got = (words, Counter(words))
+            if self.size > self.most_bytes:
+                self.known.clear()
+                self.size = 0
+            self.known[text] = got
+            self.size += len(text)
+        return got
+
+    def similar(self, a: bytes, b: bytes) -> bool:
+        (x, in_x), (y, in_y) = self._words(a), self._words(b)
+        longer = max(len(x), len(y))
+        most = int((1 - self.least) * longer + 1e-9)
+        # words that have no partner at all are edits
+        return abs(len(x) - len(y)) <= most and longer - (in_x & in_y).total() <= most and within(x, y, most)

@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is set.
+    Where that setting is absent a folder of our own is set, but only in a local session (tests on one machine): the executors of
+    a cluster could not see it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="turnweave-", dir=os.environ.get("TMPDIR") or "/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -45,6 +48,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def heavy(df: DataFrame, on: list[str], share: float = 0.001, least: int = 200) -> list[int]:
+    """Hashes of the keys that hold over ``share`` of df's rows, and ``least`` at any rate: so at most 1 / share of them.
+
+    Rows are counted by 4,096 classes of hashes first, and by key only in the classes that are large enough; both counts are added up
+    before anything is shuffled.
+    """
+    h = F.xxhash64(*on)
+    classes = {r.c: r.n for r in df.groupBy(F.pmod(h, F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).collect()}
+    limit = max(least, share * sum(classes.values()))
+    large = sorted(c for c, n in classes.items() if n > limit)
+    if not large:
+        return []
+    counted = df.where(F.pmod(h, F.lit(4096)).isin(large)).groupBy(h.alias("h")).agg(F.count("*").alias("n"))
+    return sorted(r.h for r in counted.where(F.col("n") > limit).collect())
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None, hot: list[int] | None = None) -> DataFrame:
+    """left.join(right, on, how) that no heavy key of left puts into one task; left is best a written table.
+
+    Rows of left with a heavy key are dealt by a hash of ``by`` (all their columns, if None), and the rows of right with that key, of which there should be
+    few, are copied to every deal. Heavy keys are few by definition, so the copies are bounded. ``hot``: what ``heavy`` found, if that is known.
+    """
+    hot = heavy(left, on) if hot is None else hot
+    if not hot:
+        return left.join(right, on, how)
+    deals = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.xxhash64(*on).isin(hot)
+    deal = F.when(is_hot, F.pmod(F.xxhash64(*(by or left.columns), F.lit(11)), F.lit(deals))).otherwise(F.lit(0)).cast("long")
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    return left.withColumn("_deal", deal).join(right.withColumn("_deal", copies), [*on, "_deal"], how).drop("_deal")
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes that stand for a text (md5); null for null."""
     return F.unhex(F.md5(F.encode(text, "UTF-8")))

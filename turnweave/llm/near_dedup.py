@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import align, wordhash
-from .common import as_bytes, slices, text_key, written
+from .common import as_bytes, heavy, slices, spread_join, text_key, written
 from .graph import components
 
 K, TAKEN, SKETCHES, LEAST, FINER, BINS = 4, 2, 96, 0.8, 8, 256
@@ -75,9 +75,16 @@ def bands(hashes: np.ndarray) -> np.ndarray | None:
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "key", "n", "bins", "bands"]
+    """A row for each different text of a batch, with the doc_ids of all its rows there: copies are put together before anything is shuffled."""
+    names = ["key", "ids", "n", "bins", "bands"]
     for batch in batches:
-        for part in slices(batch, "text"):
+        ids: dict[bytes, list] = {}
+        fresh = []
+        for i, (key, doc_id) in enumerate(zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+            if key not in ids:
+                fresh.append(i)
+            ids.setdefault(key, []).append(doc_id)
+        for part in slices(batch.take(pa.array(fresh, pa.int64())), "text"):
             w = wordhash.words(as_bytes(part.column("text")))
             bins, found = [], []
             for i in range(part.num_rows):
@@ -85,7 +92,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 bins.append(np.minimum(255, np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS)).astype(np.uint8).tobytes())
                 s = bands(own)
                 found.append(None if s is None else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(np.diff(w.first), pa.int64()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names)
+            own_ids = pa.array([ids[k] for k in part.column("key").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("key"), own_ids, pa.array(np.diff(w.first), pa.int64()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names)
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +109,9 @@ def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("n").alias(f"{end}_n"), F.col("bins").alias(f"{end}_bins")), end)
+    """Those of the written pairs (a, b) that lengths and word histograms allow."""
+    for end, hot in [(end, heavy(pairs, [end])) for end in ("a", "b")]:
+        pairs = spread_join(pairs, nodes.select(F.col("key").alias(end), F.col("n").alias(f"{end}_n"), F.col("bins").alias(f"{end}_bins")), [end], by=["a", "b"], hot=hot)
     return pairs.mapInArrow(_near_batches, "a binary, b binary")
 
 
@@ -139,12 +148,12 @@ def _across(items: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     The members of a bucket are dealt over blocks by a hash, and every block meets every other one in a row of its own, so a bucket of
     any size is the work of many tasks. Members of its largest component meet only the other members.
     """
-    member = items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
+    member = written(items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key"))), "members")
     held = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     held = held.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where("all > top.n and all > 2")
     blocks = lambda n: F.ceil(n / BLOCK)
     held = held.select("bucket", F.col("top.root").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops"))
-    own = member.select("key", "bucket", "root").join(held, "bucket").withColumn("is_top", F.col("root") == F.col("top"))
+    own = spread_join(member.select("key", "bucket", "root"), held, ["bucket"], by=["key"]).withColumn("is_top", F.col("root") == F.col("top"))
     salt = F.xxhash64("key", F.lit(5))
     own = own.withColumn("block", F.when(F.col("is_top"), F.col("others") + F.pmod(salt, F.col("tops"))).otherwise(F.pmod(salt, F.col("others"))))
     last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
@@ -155,20 +164,22 @@ def _across(items: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = align.Texts(LEAST)
     for batch in batches:
-        ok = [align.similar(a, b, LEAST) for a, b in zip(as_bytes(batch.column("a_text")), as_bytes(batch.column("b_text")), strict=True)]
+        ok = [texts.similar(a, b) for a, b in zip(as_bytes(batch.column("a_text")), as_bytes(batch.column("b_text")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose texts align."""
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("a_text"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(_verify_batches, "a binary, b binary")
+    """Those of the written pairs (a, b) whose texts align."""
+    met = pairs.select("a", "b")
+    for end, hot in [(end, heavy(pairs, [end])) for end in ("a", "b")]:
+        met = spread_join(met, texts.select(F.col("key").alias(end), F.col("text").alias(f"{end}_text")), [end], by=["a", "b"], hot=hot)
+    return met.mapInArrow(_verify_batches, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, key, class_key, class_id (the least doc_id of its class), class_size.
+    """One row per row of docs (doc_id, text): doc_id, key, class_key, class_id (the least doc_id of its class).
 
     Exact copies are one node (their md5), so a group of copies of any size costs one row from
     there on. In each bucket every node is aligned with the least one, unless they are connected already. A node's first
@@ -182,21 +193,21 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Null texts: each row is its own class. Empty texts are copies of one another. A text of fewer than
     five words has no sketch and joins only its exact copies. Repeated rows and other columns do not matter;
-    a null doc_id yields a row too, and never names a class unless all its members lack one.
+    a null doc_id yields a row too, and never names a class unless all its members lack one. Rows that share a doc_id are rows of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.where("text is not null").withColumn("key", text_key(F.col("text")))
-    rows = written(keyed.mapInArrow(_sketch_batches, "doc_id long, key binary, n long, bins binary, bands array<long>"), "sketches")
-    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("bands").alias("bands")), "nodes")
+    rows = written(keyed.mapInArrow(_sketch_batches, "key binary, ids array<long>, n long, bins binary, bands array<long>"), "sketches")
+    nodes = written(rows.groupBy("key").agg(F.min(F.array_min("ids")).alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("bands").alias("bands")), "nodes")
     # one text for each node that shares a bucket
     items = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
     crowded = items.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    items = written(items.join(crowded, "bucket"), "items")
+    items = written(spread_join(items, crowded, ["bucket"], by=["key"]), "items")
     wanted = items.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
     texts = keyed.join(wanted, (keyed.doc_id.eqNullSafe(wanted.doc_id)) & (keyed.key == wanted.key), "left_semi")
     texts = written(texts.dropDuplicates(["key", "doc_id"]).select("key", "text"), "texts")
     # every node with the least of its buckets' leaders, then with the other leaders unless it is connected to them
-    leader = _to_leader(items)
+    leader = written(_to_leader(items), "leaders")
     near = written(_near(leader, nodes), "pairs")
     first = written(near.groupBy("a").agg(F.min("b").alias("b")), "pairs")
     roots = components(_verified(first, texts))
@@ -205,41 +216,43 @@ def classes(docs: DataFrame) -> DataFrame:
     # buckets that still hold several components are split by what else their members agree in
     member = items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = member.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r != s and n > 2")
-    split = items.join(mixed.select("bucket"), "bucket").join(nodes.select("key", "bands"), "key")
+    split = spread_join(items, mixed.select("bucket"), ["bucket"], by=["key"]).join(nodes.select("key", "bands"), "key")
     other = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda d: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + d) % F.size("bands") + 1)))
-    leader = _to_leader(split.select("key", F.explode(other).alias("bucket"))).join(leader, ["a", "b"], "left_anti")
-    more = written(_near(_apart(leader, roots), nodes), "pairs")
+    parts = written(split.select("key", F.explode(other).alias("bucket")), "parts")
+    more = written(_apart(_to_leader(parts).join(leader, ["a", "b"], "left_anti"), roots), "pairs")
+    more = written(_near(more, nodes), "pairs")
     roots = components(_verified(more, texts), roots)
     # what is left: all pairs of a bucket across its components that were not aligned yet
     done = first.select("a", "b").unionByName(pairs).unionByName(more)
     rest = written(_across(items, roots, nodes).join(done, ["a", "b"], "left_anti"), "pairs")
     roots = components(_verified(rest, texts), roots)
-    member = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    member = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    member = written(member.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "members")
     named = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    sized = rows.select("doc_id", "key").join(member.select("key", "root"), "key").join(named, "root")
-    size = sized.groupBy("root").agg(F.count("*").alias("class_size"))
-    out = sized.join(size, "root").select("doc_id", "key", F.col("root").alias("class_key"), "class_id", "class_size")
-    alone = docs.where("text is null").select("doc_id", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    named = spread_join(member.select("key", "root"), named, ["root"], by=["key"])
+    out = spread_join(rows.select("key", "ids"), named, ["key"]).select(F.explode("ids").alias("doc_id"), "key", F.col("root").alias("class_key"), "class_id")
+    alone = docs.where("text is null").select("doc_id", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"))
     return out.unionByName(alone)
 
 
 def _to_leader(items: DataFrame) -> DataFrame:
     """Each member of a bucket with its least one. That is a minimum, so no bucket need come together in a task."""
     least = items.groupBy("bucket").agg(F.min("key").alias("b"))
-    return items.join(least, "bucket").where("key > b").select(F.col("key").alias("a"), "b").distinct()
+    return spread_join(items, least, ["bucket"], by=["key"]).where("key > b").select(F.col("key").alias("a"), "b").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are not connected yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    for end, hot in [(end, heavy(pairs, [end])) for end in ("a", "b")]:
+        pairs = spread_join(pairs, roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), [end], "left", ["a", "b"], hot)
     return pairs.where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b")
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class: the one with the class's least doc_id.
 
-    All columns stay. Of rows that share that doc_id and text, one stays; null texts stay.
+    All columns stay. Of rows that share that doc_id and text, one stays; null texts stay. Of different texts of a class that share
+    its least doc_id, that with the least md5 stays.
     """
     found = classes(docs).where("key is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "class_key")
     first = found.groupBy("class_key").agg(F.min("_key").alias("_key"), F.min("_id").alias("_id")).drop("class_key")

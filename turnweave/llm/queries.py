@@ -10,8 +10,8 @@ from .common import table
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate classes of all documents: doc_id, class_id, class_size."""
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    """Near-duplicate classes of all documents: doc_id, class_id."""
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op2_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
