@@ -2,7 +2,7 @@
 
 Each tree splits the vectors at the median of a projection onto the difference of two random sample points, which three
 rounds of two-means have moved apart. One priority queue over all trees gives each query its leaves,
-nearest split first, until these hold a set share of the vectors; the leaves' vectors are then
+nearest split first, as many as the fitting sample shows to be needed for the recall that is asked for; the leaves' vectors are then
 scored exactly, in double precision. Equal vectors are indexed once, with their least ids.
 
 Inner products become angles by one more component, sqrt(M^2 - |x|^2) for the longest length M, 0 for queries.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TOP, EVERY, TREES, LEAF, MOST_LEAVES, SHARE, SAMPLE, BLOCK = 20, 20, 4, 64, 1024, 1.5, 20_000, 32_768
+TOP, EVERY, TREES, LEAF, SAMPLE, BLOCK = 20, 20, 4, 64, 20_000, 8_192
+#: Recall that the number of leaves is chosen for, by queries of the sample; vectors of the sample that a leaf has at least.
+RECALL, TRIED, FITTED = 0.94, 100, 16
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -68,6 +70,23 @@ class Forest:
                 out[t] = 2 * out[t] + 1 + ((x * self.normals[t, out[t]]).sum(axis=1) > self.splits[t, out[t]])
         return out
 
+    def needed(self, sample: np.ndarray, queries: np.ndarray, own: np.ndarray, top: int, recall: float) -> int:
+        """How many leaves the queue must give for ``recall`` of the ``top`` nearest: found by brute force in the sample, for queries (rows ``own`` of it).
+
+        The nearest of a sample lie further off than those of all vectors, so that the number is on the safe side.
+        """
+        at = self.leaves(sample)
+        places = []
+        for x, i in zip(queries, own, strict=True):
+            order = np.full((len(self.normals), self.inner * 2 + 1), np.iinfo(np.int64).max)
+            for place, (t, node) in enumerate(self.search(x, len(self.normals) * (self.inner + 1))):
+                order[t, node] = place + 1
+            near = sample @ x
+            near[i] = -np.inf
+            best = np.argsort(-near, kind="stable")[:top]
+            places.append(order[np.arange(len(at))[:, None], at[:, best]].min(axis=0))
+        return int(np.quantile(np.concatenate(places), recall, method="higher"))
+
     def search(self, x: np.ndarray, most: int) -> list[tuple[int, int]]:
         """The ``most`` first (tree, leaf) of the shared queue; a branch waits at the largest distance to a split that it is across."""
         margins = self.normals @ x - self.splits
@@ -88,14 +107,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` rows found for each row whose vec_id is divisible by ``every``.
 
-    The forest is fitted on at most ``sample`` vectors (those with the least hashes); every vector is indexed. ``share`` is the
-    part of all vectors that a query's leaves hold, repeats in several trees counted; what is in none of them can be missed. Rows with null ids, or
+    The forest is fitted on at most ``sample`` vectors (those with the least hashes); every vector is indexed. A query searches as
+    many leaves as ``recall`` takes in the sample: few where vectors have structure, most of the leaves where they have none. What is in no searched leaf can be missed; of equal scores in
+    the searched leaves none is. Rows with null ids, or
     vectors that are null, empty, zero, of another length than most or not finite take no part; repeated rows
     count once. Among equal scores the lesser vec_id is first; fewer candidates than ``top`` give fewer rows. Only the fitting sample
-    reaches the driver. Neighbouring leaves of a tree are dealt out together, 32,768 vectors at a time, and a larger leaf in
+    reaches the driver. Neighbouring leaves of a tree are dealt out together, 8,192 vectors at a time, and a larger leaf in
     several blocks, so none is too large for a task.
     """
     spark = vectors.sparkSession
@@ -110,12 +130,19 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     longest = float(items.agg(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)"))).first()[0] or 0.0)
     fit = items.orderBy(F.col("item.code"), F.col("item.item")).limit(sample).select("embedding").toArrow()
     wide = lambda x: np.column_stack([x, np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))])
-    depth = max(0, min(round(math.log2(MOST_LEAVES)), math.ceil(math.log2(max(1, n) / leaf))))
-    kept = spark.sparkContext.broadcast(Forest(wide(_matrix(fit.column("embedding").combine_chunks())), trees, depth) if n else None)
+    depth = max(0, min(math.floor(math.log2(max(1, sample / FITTED))), math.ceil(math.log2(max(1, n) / leaf))))
+    fitted = wide(_matrix(fit.column("embedding").combine_chunks())) if n else None
+    forest = Forest(fitted, trees, depth) if n else None
+    most = 1
+    if depth:
+        own = np.unique(np.linspace(0, len(fitted) - 1, TRIED).astype(int))
+        asked_of = fitted[own].copy()
+        asked_of[:, -1] = 0.0
+        most = forest.needed(fitted, asked_of, own, top, recall)
+    kept = spark.sparkContext.broadcast(forest)
     blocks = max(1, -(-n // (2**depth * BLOCK)))
     together = max(1, min(2**depth, BLOCK * 2**depth // max(1, n)))  # leaves that are dealt out as one
     inner = 2**depth - 1
-    most = max(1, math.ceil(share * 2**depth)) if depth else 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,22 +178,27 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
             return kind.empty_table()
         x, q = _matrix(left.column("embedding").combine_chunks()), _matrix(right.column("embedding").combine_chunks())
         first = left.column("item").combine_chunks().field("item").to_numpy()
-        own, place = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
+        own, leaf_of = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
         keep = min(want, len(x))
         qs, cs, ss = [], [], []
+        # all lengths at most 1, so that single precision neither overflows nor is off by more than this
+        unit = lambda v, n: (v / n).astype(np.float32)
+        rough, off = unit(x, np.linalg.norm(x, axis=1).max()), 2.5e-7 * x.shape[1]
         for lo in range(0, len(q), 128):
-            s = q[lo : lo + 128] @ x.T
+            s = unit(q[lo : lo + 128], np.linalg.norm(q[lo : lo + 128], axis=1, keepdims=True)) @ rough.T
             searched = np.array([np.isin(own, at) for at in right.column("leaves").slice(lo, 128).to_pylist()])
-            s[~searched[:, place]] = -np.inf
-            best = np.argpartition(-s, min(len(x) - 1, keep + 3), axis=1)[:, : keep + 4]
-            exact = (q[lo : lo + 128, None, :] * x[best]).sum(axis=2)
-            exact[np.isneginf(np.take_along_axis(s, best, axis=1))] = -np.inf
-            order = np.lexsort((first[best], -exact), axis=1)[:, :keep]
-            at, query = np.take_along_axis(exact, order, axis=1).ravel(), np.repeat(np.arange(lo, lo + len(s)), order.shape[1])
-            ok = ~np.isneginf(at)
-            qs.append(query[ok])
-            cs.append(np.take_along_axis(best, order, axis=1).ravel()[ok])
-            ss.append(at[ok])
+            s[~searched[:, leaf_of]] = -np.inf
+            # these products are rough, so all that could be among the best are scored again
+            limit = np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep]
+            row, col = np.nonzero(s >= np.maximum(limit - 2 * off, -2.0)[:, None])
+            exact = (q[lo + row] * x[col]).sum(axis=1)
+            order = np.lexsort((first[col], -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            ok = place < keep
+            qs.append(lo + row[ok])
+            cs.append(col[ok])
+            ss.append(exact[ok])
         return pa.table([right.column("query").take(np.concatenate(qs)), left.column("item").take(np.concatenate(cs)), pa.array(np.concatenate(ss))], schema=kind)
 
     found = indexed.groupBy("tree", "lot", "block").cogroup(queries.groupBy("tree", "lot", "block")).applyInArrow(score, f"query {name}, item {name}, score double")
