@@ -22,9 +22,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, written
+from .common import scratch_path, slices, spread_join, written
 
 REVISIT_BYTES, BLOCK_LINES, ARCHIVE_BYTES = 1000, 2000, 256_000_000
+#: Captures and archive bytes that a part of the index stands for at most; repeated payloads whose digests are sent to all tasks at most.
+PART_LINES, PART_BYTES, FEW = 500_000, 512_000_000, 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -111,46 +113,60 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
 
 
 def write_index(captures: DataFrame, root: str) -> DataFrame:
-    """Sort captures by key and write compressed blocks; the sparse directory: first, last, file, start, length, part."""
+    """Sort captures by key and write them in parts: first, last, file, one row for each part.
+
+    A part is a file of compressed blocks and, beside it, its sparse directory: a line with the first key, start and length of every block. There are as many parts
+    as the archives' bytes and the captures ask for, and one for each shuffle partition at least, so that reading them back is the work of many tasks.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _filesystem(root)
         store.create_dir(folder)
-        name, at, out, lines, rows = f"{uuid.uuid4().hex}.cdx", 0, None, [], []
+        name, at, out, book, lines, ends = f"{uuid.uuid4().hex}.cdx", 0, None, None, [], []
 
         def block() -> None:
-            nonlocal at, out, lines
+            nonlocal at, out, book, lines
             if lines:
                 out = out or store.open_output_stream(f"{folder}/{name}", compression=None)
+                book = book or store.open_output_stream(f"{folder}/{name}.dir", compression=None)
                 data = zlib.compress("\n".join(json.dumps(x, separators=(",", ":")) for x in lines).encode(), 6)
                 out.write(data)
-                rows.append((lines[0][0], lines[-1][0], name, at, len(data)))
+                book.write(json.dumps([lines[0][0], at, len(data)], separators=(",", ":")).encode() + b"\n")
+                ends[1:] = [lines[-1][0]]
                 at, lines = at + len(data), []
 
         for batch in batches:
             for x in zip(*(batch.column(c).to_pylist() for c in ("surt", "page_id", "archive", "start", "length")), strict=True):
+                ends = ends or [x[0]]
                 lines.append(x)
                 if len(lines) == BLOCK_LINES:
                     block()
         block()
         if out is not None:
             out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["first", "last", "file", "start", "length"])
+            book.close()
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (*ends, name)], ["first", "last", "file"])
 
-    ordered = captures.repartitionByRange("surt", "page_id", "archive", "start").sortWithinPartitions("surt", "page_id", "archive", "start")
-    return ordered.mapInArrow(write, "first string, last string, file string, start long, length long")
+    size = captures.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    parts = max(-(-size.n // PART_LINES), -(-(size.bytes or 0) // PART_BYTES), min(size.n, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    ordered = captures.repartitionByRange(parts, "surt", "page_id", "archive", "start").sortWithinPartitions("surt", "page_id", "archive", "start")
+    return ordered.mapInArrow(write, "first string, last string, file string")
 
 
 class Directory:
-    """The sparse directory of an index, opened where it is used: entries by key, read by range."""
+    """The sparse directory of one part of an index, opened where it is used: entries by key, read by range."""
 
-    def __init__(self, rows: list[tuple], index_root: str, archive_root: str):
-        rows = sorted(rows)
-        self.firsts, self.rows = [r[0] for r in rows], rows
+    def __init__(self, file: str, index_root: str, archive_root: str):
         self.store, self.index = _filesystem(index_root)
         _, self.archives = _filesystem(archive_root)
-        self.held: tuple = (None, [], [])
-        self.handles: dict = {}
+        self.file, self.handles, self.held = file, {}, (None, [], [])
+        with self.store.open_input_stream(f"{self.index}/{file}.dir", compression=None) as f:
+            self.rows = [json.loads(x) for x in f.read().splitlines()]
+        self.firsts = [r[0] for r in self.rows]
+
+    def close(self) -> None:
+        for h in self.handles.values():
+            h.close()
 
     def _read(self, path: str, start: int, length: int) -> bytes:
         if path not in self.handles:
@@ -161,8 +177,8 @@ class Directory:
 
     def _block(self, i: int) -> tuple[list, list]:
         if self.held[0] != i:
-            _, _, file, start, length = self.rows[i]
-            lines = [json.loads(x) for x in zlib.decompress(self._read(f"{self.index}/{file}", start, length)).split(b"\n")]
+            _, start, length = self.rows[i]
+            lines = [json.loads(x) for x in zlib.decompress(self._read(f"{self.index}/{self.file}", start, length)).split(b"\n")]
             self.held = (i, [x[0] for x in lines], lines)
         return self.held[1:]
 
@@ -181,24 +197,35 @@ class Directory:
 def lookup(keys: DataFrame, directory: DataFrame, index_root: str, archive_root: str) -> DataFrame:
     """Read back all captures of the distinct keys (surt): surt, page_id, payload_bytes, payload_digest, record_type, refers_to, read_bytes, read_digest.
 
-    A key goes to the parts of the index that can hold it, and a part's task has that part of the directory only;
-    no task or driver holds the whole of it.
+    A key goes to the parts of the index that can hold it. A task streams through its keys, part by part: it opens the
+    part's directory, searches it and its blocks, and reads records by range; it holds one block and a few records.
+    directory has a row for each part, of which there are few (half a gigabyte of archives each), and these are all that the driver sees.
     """
+    kinds = [("surt", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("read_bytes", pa.int64()), ("read_digest", pa.string())]
 
-    def find(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        names = ["first", "last", "file", "start", "length"]
-        book = Directory(list(zip(*(right.column(c).to_pylist() for c in names), strict=True)), index_root, archive_root)
-        for k in sorted(left.column("surt").to_pylist()):
-            for capture in book.captures(k):
-                headers, body = book.fetch(capture)
-                whole = headers["WARC-Type"] == "response"
-                out.append((k, int(x) if (x := headers["X-Page-ID"]) else None, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"], int(headers["X-Refers-To-Page-ID"]) if not whole else None, len(body) if whole else None, hashlib.sha1(body).hexdigest() if whole else None))
-        kinds = [("surt", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("read_bytes", pa.int64()), ("read_digest", pa.string())]
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds)})
-
-    # a part is one file of blocks: as many as the index had partitions, whatever the number of captures
-    parts = [tuple(r) for r in directory.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last", "file").orderBy("first", "last").collect()]
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, out = None, []
+        for batch in batches:
+            for file, k in zip(batch.column("file").to_pylist(), batch.column("surt").to_pylist(), strict=True):
+                if book is None or book.file != file:
+                    if book is not None:
+                        book.close()
+                    book = Directory(file, index_root, archive_root)
+                for capture in book.captures(k):
+                    headers, body = book.fetch(capture)
+                    whole = headers["WARC-Type"] == "response"
+                    out.append((k, int(x) if (x := headers["X-Page-ID"]) else None, int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"], int(headers["X-Refers-To-Page-ID"]) if not whole else None, len(body) if whole else None, hashlib.sha1(body).hexdigest() if whole else None))
+                    if len(out) == 1000:
+                        yield batch_of(out)
+                        out = []
+        if book is not None:
+            book.close()
+        yield batch_of(out)
+
+    parts = [tuple(r) for r in directory.select("first", "last", "file").orderBy("first", "last").collect()]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lasts = [p[1] for p in parts]  # parts follow each other in key order
@@ -213,7 +240,8 @@ def lookup(keys: DataFrame, directory: DataFrame, index_root: str, archive_root:
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(keys_, pa.string())], ["file", "surt"])
 
     wanted = keys.select("surt").distinct().mapInArrow(route, "file string, surt string")
-    return wanted.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(find, "surt string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, read_bytes long, read_digest string")
+    wanted = wanted.repartitionByRange(max(1, len(parts)), "file").sortWithinPartitions("file", "surt")
+    return wanted.mapInArrow(find, "surt string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, read_bytes long, read_digest string")
 
 
 def marked(pages: DataFrame) -> DataFrame:
@@ -221,20 +249,33 @@ def marked(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload. Rows tied at the largest page_id of equal payloads are all responses; a row without
     page_id is a response only if no equal payload has one. A null url has the empty key.
+
+    Which payloads repeat is decided on digests alone. These are few as a rule, and the pages stay where they are; where they are more than
+    a million, pages meet them in a shuffle that deals out the copies of one payload. Payloads under 1,000 bytes take no part in it.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    long_ones = pages.where(F.octet_length("html") >= REVISIT_BYTES)
-    first = long_ones.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    joined = pages.join(first, F.col("digest") == F.col("d"), "left")
+    long_ = F.octet_length("html") >= REVISIT_BYTES
+    first = pages.where(long_).groupBy(F.unhex("digest").alias("d")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = written(first.select("d", "first"), "repeated")
+    rows = pages.withColumn("d", F.when(long_, F.unhex("digest")))
+    if first.count() <= FEW:
+        joined = rows.join(F.broadcast(first), "d", "left")
+    else:
+        some = rows.where("d is not null")
+        joined = spread_join(some, first, ["d"], "left", ["page_id", "url"]).unionByName(rows.where("d is null").withColumn("first", F.lit(None).cast("long")))
     later = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     return joined.select("page_id", "url", "html", "digest", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to"))
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write archives and index for pages in the shared folder, then look every URL key up and read its records back."""
+    """Write archives and index for pages in the shared folder, then look every URL key up and read its records back.
+
+    What a response's payload is comes from the body that was read; a revisit has no body, so its header says.
+    """
     spark = pages.sparkSession
     root = scratch_path(spark, "warc")
     captures = written(write_archives(marked(pages), f"{root}/archive"), "captures")
     directory = written(write_index(captures, f"{root}/index"), "directory")
-    return lookup(captures, directory, f"{root}/index", f"{root}/archive")
+    found = lookup(captures, directory, f"{root}/index", f"{root}/archive")
+    return found.withColumn("payload_bytes", F.coalesce("read_bytes", "payload_bytes")).withColumn("payload_digest", F.coalesce("read_digest", "payload_digest"))
