@@ -152,6 +152,32 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id < 0")).count() == 0
 
 
+def test_equal_scores_keep_the_least_ids(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(400), rng.normal(size=(400, 3)) * 0.1])
+    x[0] = [1.0, 0.0, 0.0, 0.0]  # its product with every row is 1
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, leaf=1000).where("query_id = 0").orderBy("rank").toPandas()
+    assert list(got.vec_id) == list(range(1, 21)) and set(got.score) == {1.0}
+
+
+@pytest.mark.parametrize("n", [500, 5_000, 50_000])
+def test_recall_by_size(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 24)) + 3 * rng.normal(size=(20, 24))[rng.integers(0, 20, n)]
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = ann.search(df).where("query_id % 500 = 0").toPandas()
+    hits = total = 0
+    for q, g in got.groupby("query_id"):
+        near = x @ x[q]
+        near[q] = -np.inf
+        best = set(np.argsort(-near, kind="stable")[:20])
+        hits, total = hits + len(best & set(g.vec_id)), total + 20
+    assert total == 20 * -(-n // 500)
+    assert hits / total >= 0.9
+
+
 def test_recall_of_the_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     want = brute_neighbours(rows)
@@ -338,12 +364,14 @@ def test_containment_edges(spark):
     assert decontam.contaminated(docs_of(spark, []), bench).count() == 0
 
 
-def test_benchmark_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
-    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(5)], "item_id long, text string")
-    rows = [(i, f"x y a{i} b{i} c{i} d{i} e{i} f{i} z", "s") for i in range(5)]
-    assert {(g.doc_id, g.item_id) for g in decontam.contaminated(docs_of(spark, rows), bench).collect()} == {(i, i) for i in range(5)}
-    assert decontam.clean(docs_of(spark, rows), bench).count() == 0
+def test_short_items_and_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PLACES", 16)
+    bench = spark.createDataFrame([(1, "yes"), (2, "Deep blue"), (3, "the, quiet HARBOUR"), (4, "one two three four")] + [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(10, 40)], "item_id long, text string")
+    rows = [(1, "so yes", "s"), (2, "a deep blue sea", "s"), (3, "in the quiet harbour. then", "s"), (4, "one two three  four", "s"), (5, "quiet the harbour deep sea blue four three two one", "s"), (6, "yesterday", "s")]
+    rows += [(i, f"x y a{i} b{i} c{i} d{i} e{i} f{i} z", "s") for i in range(10, 40)]
+    got = {(g.doc_id, g.item_id) for g in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(i, i) for i in (1, 2, 3, 4, *range(10, 40))}
+    assert {x.doc_id for x in decontam.clean(docs_of(spark, rows), bench).collect()} == {1, 2, 5, 6}
 
 
 # WARC

@@ -141,7 +141,12 @@ with plain as (
 words as (
   select kind, id, list_filter(regexp_split_to_array(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from plain),
 shingles as (
-  select distinct kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as s from words where len(w) >= 5),
+  select distinct kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as s from words where len(w) >= 5
+  union all
+  select distinct kind, id, array_to_string(w, ' ') from words where kind = 1 and len(w) between 1 and 4
+  union all
+  select distinct 0, d.id, array_to_string(i.w, ' ') from words i join words d on i.kind = 1 and len(i.w) between 1 and 4 and d.kind = 0
+    and contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')),
 items as (
   select id, s, count(*) over (partition by id) as n from shingles where kind = 1)
 select d.id as doc_id, i.id as item_id, count(*)::double / any_value(n) as containment
