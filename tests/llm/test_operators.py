@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from conftest import same_rows
 from pyspark.sql import functions as F
 
@@ -101,6 +102,55 @@ def test_surrogates_stay_distinct(spark):
     assert not set(new) & {r.thing for r in out}
 
 
+def test_names_are_followed(spark):
+    rows = [
+        (1, "Dr. Jane Q. Smith met Mr John Paul Jones. Later Smith's boss and Jane saw Jones; Smithson left.", "s"),
+        (2, "κύριος Νίκος Παπαδόπουλος, κυρία Παπαδοπούλου. Ο Παπαδόπουλος", "s"), (3, "Prof Jane Smith", "s"), (4, "Jane Smith without a title", "s"), (5, "IBAN GB82 WEST 1234 5698 7654 32 and", "s"),
+    ]
+    text = {r.doc_id: r.text for r in pii.surrogates(docs_of(spark, rows)).collect()}
+    w = text[1].replace(".", " ").replace(";", " ").replace("'s", " ").split()
+    assert not {"Jane", "Smith", "John", "Paul", "Jones"} & set(w) and "Smithson" in w
+    jane, smith, jones = w[1], w[3], w[8]
+    assert w[10:] == [smith, "boss", "and", jane, "saw", jones, "Smithson", "left"]
+    assert text[3] == f"Prof {jane} {smith}" and text[4] == rows[3][1]
+    greek = text[2].replace(",", "").replace(".", "").split()
+    assert greek[0] == "κύριος" and greek[6] == greek[2] != "Παπαδόπουλος" and all("\u0370" <= c.lower() <= "\u03ff" for c in greek[1] + greek[2] + greek[4])
+    iban = text[5].removeprefix("IBAN ").removesuffix(" and").replace(" ", "")
+    assert iban[:2] == "GB" and iban != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_a_full_kind(spark):
+    things = spark.createDataFrame([("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)], "kind string, thing string")
+    out = pii.assigned(things, "k").collect()
+    assert len(out) == len({r.surrogate for r in out}) == 9**4 and not {r.surrogate for r in out} & {r.thing for r in out}
+
+
+def test_surrogates_of_the_table(spark, sf_dir):
+    """What stands between mentions is left alone, and mentions and replacements are one to one, by a plain search of every text."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    got = {r.doc_id: r for r in pii.surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    pattern, new, total = regex.compile(pii.PATTERN), {}, 0
+    for doc_id, text in rows.itertuples(index=False):
+        mentions = [m.group() for m in pattern.finditer(text)]
+        total += len(mentions)
+        assert got[doc_id].n_replaced == len(mentions)
+        if not mentions:
+            assert got[doc_id].text == text
+        elif not any(regex.match(pii.PATTERNS["name"], m) for m in mentions):
+            gaps = regex.split(pii.PATTERN, text)
+            put = regex.fullmatch("(.+?)".join(map(regex.escape, gaps)), got[doc_id].text, regex.DOTALL)
+            for m, x in zip(mentions, put.groups(), strict=True):
+                assert new.setdefault(m, x) == x != m
+    assert total > 20
+    plain = {}
+    for m, x in new.items():
+        one = lambda v: regex.sub("[^0-9a-z]", "", v.lower())
+        if regex.fullmatch(pii.PATTERNS["email"] + "|" + pii.PATTERNS["ip"], m):
+            assert plain.setdefault(x.lower(), m.lower()) == m.lower()
+        elif not regex.fullmatch(pii.PATTERNS["secret"], m):
+            assert plain.setdefault(one(x), one(m)) == one(m)
+
+
 def test_surrogates_of_hardly_any_characters(spark):
     rows = [(1, "Password: ________ and\nToken:\n-------- end", "s"), (2, "Password: -------0", "s"), (3, 'Password: "-------1"', "s")]
     rows += [(10 + i, f"call 100-{i // 2 % 2}0{i // 4 % 2}-{i // 8 % 2}0{i // 16}{i % 2} now", "s") for i in range(32)]

@@ -5,6 +5,7 @@ name), and every distinct thing gets a surrogate from a keyed hash: the same typ
 case and layout, the same in all documents. Surrogates are checked against each other and against
 everything that occurs, and drawn again until all are distinct, so different things stay different. After some
 attempts a thing draws from all letters and digits, after some more its surrogate grows, so that attempts come to an end.
+A person found once in a text is followed through it: later occurrences of the name, without a title, get the same surrogate.
 """
 
 from __future__ import annotations
@@ -12,29 +13,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import spread_join, text_key, written
 
 #: Titles by gender.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "г-жа")
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н", "Κύριος", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "г-жа", "Κυρία", "κυρία")
+ANYONE = ("Dr", "Prof", "Doctor", "Professor", "Doktor", "Professeur", "доктор", "профессор")
 #: Attempts after which a surrogate keeps no classes of characters any more, and after which it gets one character longer each time.
 WIDER, LONGER = 3, 6
 #: Parts that names are made of, by script and gender.
 SYLLABLES = {
     "latin": ("ba", "be", "bo", "ca", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "he", "jo", "ka", "la", "le", "lo", "ma", "me", "mo", "na", "no", "pa", "ra", "re", "ro", "sa", "te", "va"),
     "cyrillic": ("ба", "бе", "бо", "ва", "ве", "го", "да", "де", "до", "за", "ка", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "но", "па", "по", "ра", "ро", "са", "се", "со", "та", "те", "то"),
+    "greek": ("βα", "βε", "γα", "δα", "δε", "ζα", "θα", "θε", "κα", "κο", "λα", "λε", "μα", "με", "μι", "να", "νε", "νι", "πα", "πε", "ρα", "ρο", "σα", "σε", "τα", "τε", "φα", "φι", "χα", "χρι"),
 }
 ENDINGS = {
     ("given", "male", "latin"): ("n", "rd", "s", "l"),
+    ("given", "any", "latin"): ("ri", "ly", "sse", "que"),
     ("given", "female", "latin"): ("lia", "na", "ra", "tte"),
     ("family", "male", "latin"): ("ndt", "rs", "lt", "nn"),
     ("given", "male", "cyrillic"): ("н", "р", "с", "л"),
+    ("given", "any", "cyrillic"): ("ня", "ша", "ли", "ка"),
     ("given", "female", "cyrillic"): ("на", "ра", "ля", "я"),
     ("family", "male", "cyrillic"): ("ров", "нин", "лев", "хов"),
     ("family", "female", "cyrillic"): ("рова", "нина", "лева", "хова"),
+    ("given", "male", "greek"): ("ος", "ης", "ας", "ων"),
+    ("given", "female", "greek"): ("να", "νη", "ρα", "λη"),
+    ("given", "any", "greek"): ("λι", "ρι", "νι", "σι"),
+    ("family", "male", "greek"): ("ίδης", "άκης", "όπουλος", "έας"),
+    ("family", "female", "greek"): ("ίδου", "άκη", "οπούλου", "έα"),
 }
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Capital letters that initials are made of, by script.
+INITIALS = {"latin": "ABCDEFGHJKLMNOPRSTVW", "cyrillic": "АБВГДЕЗИКЛМНОПРСТФ", "greek": "ΑΒΓΔΕΖΗΘΚΛΜΝΠΡΣΤΦΧ"}
+
+#: A capitalised word of two letters at least, without a possessive 's.
+_NAME = r"(?=\p{Lu}[\p{L}'’-])\p{Lu}\p{L}*(?:['’-]\p{L}{2,})*"
+_PART = rf"(?:{_NAME}|\p{{Lu}}\.)"
+NAME_WORD = rf"(?<![\p{{L}}\p{{N}}_]){_NAME}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is found, in order of preference where two could begin at the same place.
 PATTERNS = {
@@ -46,7 +62,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\d.])(?:\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE)})\b\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE + ANYONE)})\b\.? {_PART}(?: {_PART}){{0,3}}",
 }
 PATTERN = "|".join(PATTERNS.values())
 
@@ -58,7 +74,7 @@ def _by_first_letter(words: tuple[str, ...]) -> str:
 
 
 #: A cheap test that every text with a mention passes: a digit, @, = or :, the head of an access key, or a title.
-MAY_HAVE = rf"[0-9@=:]|A(?:KIA|SIA)|(?:{_by_first_letter(MALE + FEMALE)})\b\.? \p{{Lu}}"
+MAY_HAVE = rf"[0-9@=:]|A(?:KIA|SIA)|(?:{_by_first_letter(MALE + FEMALE + ANYONE)})\b\.? \p{{Lu}}"
 
 
 def _draw(*parts: Column) -> Column:
@@ -119,6 +135,17 @@ def _card(digits: Column, draw: Column, attempt: Column) -> Column:
     return F.concat(body, F.pmod(_luhn(digits) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
 
+def _iban(thing: Column, draw: Column, attempt: Column) -> Column:
+    """Same country and layout, with the check digits (ISO 7064 modulo 97) that the new number needs."""
+    body = _same_kind(F.expr("substring(thing, 5)"), draw, attempt)
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 87, F.lit(97)))
+
+    left = F.aggregate(_characters(F.concat(body, F.substring(thing, 1, 2), F.lit("00"))), F.lit(0), step)
+    return F.concat(F.substring(thing, 1, 2), F.lpad((98 - left).cast("string"), 2, "0"), body)
+
+
 def _ip(text: Column, draw: Column, attempt: Column) -> Column:
     """Octets of the same number of digits for the first attempts; the first is public, unicast."""
 
@@ -145,7 +172,7 @@ def surrogate(kind: Column, thing: Column, attempt: Column, key: str) -> Column:
     more = _more(kind, draw, attempt)
     out = F.when(kind == "email", F.concat(more, _same_kind(F.expr("left(thing, length(thing) - length(regexp_extract(thing, '[.][a-z]+$', 0)))"), draw, attempt), tail))
     out = out.when(kind == "card", _card(thing, draw, attempt)).when(kind == "ip", _ip(thing, draw, attempt))
-    out = out.when(kind.isin("access_key", "iban"), F.concat(F.when(kind == "iban", F.substring(thing, 1, 2)).otherwise(F.substring(thing, 1, 4)), _same_kind(F.when(kind == "iban", F.expr("substring(thing, 3)")).otherwise(F.expr("substring(thing, 5)")), draw, attempt)))
+    out = out.when(kind == "iban", _iban(thing, draw, attempt)).when(kind == "access_key", F.concat(F.substring(thing, 1, 4), _same_kind(F.expr("substring(thing, 5)"), draw, attempt)))
     for k in ENDINGS:
         out = out.when(kind == "_".join(k), _name(k, draw, attempt))
     return out.otherwise(F.concat(_same_kind(thing, draw, attempt), more))
@@ -178,7 +205,8 @@ def _parts(mentions: DataFrame) -> DataFrame:
     """(mention, place, kind, thing, kept): what each distinct mention names. kept is the start of it that stays as it is."""
     mention = F.col("mention")
     title = F.regexp_extract(mention, r"^\S+? ", 0)
-    gender = F.when(F.regexp_replace(F.trim(title), r"\.$", "").isin(*FEMALE), "female").otherwise("male")
+    plain_title = F.regexp_replace(F.trim(title), r"\.$", "")
+    gender = F.when(plain_title.isin(*FEMALE), "female").when(plain_title.isin(*ANYONE), "any").otherwise("male")
     kind = F.lit("name")
     for k in reversed([k for k in PATTERNS if k != "name"]):
         kind = F.when(mention.rlike(f"^(?:{PATTERNS[k]})$"), k).otherwise(kind)
@@ -195,10 +223,11 @@ def _parts(mentions: DataFrame) -> DataFrame:
 
     def of_name(w: Column, i: Column) -> Column:
         role = F.when(i == F.size(words) - 1, "family").otherwise("given")
-        script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
         # a Latin family name is one thing whoever bears it
-        own = F.when((role == "family") & (script == "latin"), "male").otherwise(gender)
-        return F.struct(i.alias("place"), F.concat_ws("_", role, own, script).alias("kind"), w.alias("thing"))
+        own = F.when((role == "family") & ((script == "latin") | (gender == "any")), "male").otherwise(gender)
+        named = F.when(w.endswith("."), F.concat_ws("_", F.lit("initial"), script)).otherwise(F.concat_ws("_", role, own, script))
+        return F.struct(i.alias("place"), named.alias("kind"), w.alias("thing"))
 
     other = F.array(F.struct(F.lit(0).alias("place"), F.col("kind"), F.lower(plain).alias("thing")))
     return rows.select("mention", "kept", "rest", F.explode(F.when(F.col("kind") == "name", F.transform(words, of_name)).otherwise(other)).alias("x")).select("mention", "kept", "rest", "x.*")
@@ -222,36 +251,60 @@ def _laid_out(template: Column, characters: Column) -> Column:
 
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
-    """(mention, replacement) for distinct mentions."""
+    """(mention, replacement, names) for distinct mentions; names: what persons' given and family names (thing) become (new).
+
+    Initials are not things of their own: there are too few to be told apart. They get a keyed letter each.
+    """
     parts = written(_parts(mentions), "parts")
-    given = assigned(parts.select("kind", "thing").distinct(), key)
-    joined = parts.join(given, ["kind", "thing"])
+    initial = F.col("kind").startswith("initial_")
+    given = assigned(parts.where(~initial).select("kind", "thing").distinct(), key)
+    joined = spread_join(parts, given, ["kind", "thing"], "left", ["mention"])
+    letter = F.lit("")
+    for script, letters in INITIALS.items():
+        letter = F.when(F.col("kind") == f"initial_{script}", _pick(letters, _number(_draw(F.lit(key), F.col("kind"), F.col("thing")), 0))).otherwise(letter)
+    joined = joined.withColumn("surrogate", F.when(initial, F.concat(letter, F.lit("."))).otherwise(F.col("surrogate")))
     is_name = F.col("kind").startswith("given_") | F.col("kind").startswith("family_")
     grown = (F.col("kind") == "email") & (F.length("surrogate") > F.length("rest"))
-    new = F.when(is_name | grown | (F.col("kind") == "ip"), F.col("surrogate")).otherwise(_laid_out(F.col("rest"), F.col("surrogate")))
-    own = joined.select("mention", "kept", F.struct("place", new.alias("new")).alias("x"))
+    new = F.when(is_name | initial | grown | (F.col("kind") == "ip"), F.col("surrogate")).otherwise(_laid_out(F.col("rest"), F.col("surrogate")))
+    followed = F.when(is_name & (F.length("thing") > 2), F.col("thing"))
+    own = joined.select("mention", "kept", F.struct("place", new.alias("new"), followed.alias("thing")).alias("x"))
     whole = own.groupBy("mention", "kept").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return whole.select("mention", F.concat("kept", F.array_join(F.transform("xs", lambda x: x.new), " ")).alias("replacement"))
+    names = F.transform(F.filter("xs", lambda x: x.thing.isNotNull()), lambda x: F.struct(x.thing.alias("thing"), x.new.alias("new")))
+    return whole.select("mention", F.concat("kept", F.array_join(F.transform("xs", lambda x: x.new), " ")).alias("replacement"), names.alias("names"))
+
+
+def _woven(gaps: Column, between: Column) -> Column:
+    """Gaps and what lies between them, as one text."""
+    return F.array_join(F.flatten(F.zip_with(gaps, between, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
 
 
 def surrogates(docs: DataFrame, key: str = "surrogate key", column: str = "text") -> DataFrame:
-    """docs with every mention in ``column`` replaced, and n_replaced; all other columns stay.
+    """docs with every mention in ``column`` replaced, and n_replaced, the number of mentions; all other columns stay.
 
-    Null and empty texts stay, with 0. Texts that cannot hold a mention are not shuffled; of the others each distinct text is looked up
-    once. Repeated rows get equal texts. The pattern reads whole texts. ``key`` is a secret of the caller:
+    Null and empty texts stay, with 0. Texts without a mention are not shuffled; of the others each distinct text is looked up
+    once, and neither a mention that very many texts have nor a text of very many rows comes together in one task. Repeated rows get equal texts. The pattern reads whole texts. ``key`` is a secret of the caller:
     without it surrogates cannot be traced back, with it reruns agree.
     """
     text = F.col(column)
-    maybe = F.coalesce(text.rlike(MAY_HAVE), F.lit(False))
-    untouched = docs.where(~maybe).withColumn("n_replaced", F.lit(0).cast("long"))
-    found = docs.where(maybe).withColumn("_key", text_key(text)).withColumn("_mentions", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    per_text = found.where(F.size("_mentions") > 0).groupBy("_key").agg(F.first("_mentions").alias("_mentions"))
-    mentions = written(per_text.select("_key", F.explode(F.array_distinct("_mentions")).alias("mention")), "mentions")
+    has = F.coalesce(text.rlike(MAY_HAVE) & text.rlike(PATTERN), F.lit(False))
+    untouched = docs.where(~has).withColumn("n_replaced", F.lit(0).cast("long"))
+    found = docs.where(has).withColumn("_key", text_key(text)).withColumn("_mentions", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    per_text = found.groupBy("_key").agg(F.first("_mentions").alias("_mentions"), F.count("*").alias("n"))
+    per_text = written(per_text.select("_key", F.array_distinct("_mentions").alias("mentions"), "n"), "mentions")
+    mentions = per_text.select("_key", F.explode("mentions").alias("mention"))
     new = written(replacements(mentions.select("mention").distinct(), key), "replacements")
-    maps = mentions.join(new, "mention").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("_new"))
-    joined = found.join(maps, "_key", "left")
+    each = spread_join(mentions, new, ["mention"], by=["_key"])
+    maps = each.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("_new"))
+    names = each.select("_key", F.explode("names").alias("x")).groupBy("_key", F.col("x.thing").alias("thing")).agg(F.min("x.new").alias("new"))
+    names = names.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("thing", "new"))).alias("_names"))
+    maps = written(maps.join(names, "_key", "left"), "maps")
+    limit = max(200, (per_text.agg(F.sum("n")).first()[0] or 0) / 1000)
+    hot = [r.h for r in per_text.where(F.col("n") > limit).select(F.xxhash64("_key").alias("h")).collect()]
+    joined = spread_join(found.withColumn("_row", F.monotonically_increasing_id()), maps, ["_key"], by=["_row"], hot=hot)
     gaps = F.split(text, PATTERN, -1)
-    filled = F.array_join(F.flatten(F.zip_with(gaps, F.col("_mentions"), lambda g, m: F.array(g, F.coalesce(F.element_at("_new", m), F.lit(""))))), "")
-    joined = joined.withColumn("n_replaced", F.size("_mentions").cast("long"))
-    joined = joined.withColumn(column, F.when(F.col("n_replaced") > 0, filled).otherwise(text)).drop("_key", "_mentions", "_new")
-    return untouched.unionByName(joined)
+    word = F.lit(NAME_WORD)
+    follow = lambda g: _woven(F.split(g, NAME_WORD, -1), F.transform(F.regexp_extract_all(g, word, F.lit(0)), lambda w: F.coalesce(F.element_at("_names", w), w)))
+    followed = F.when(F.col("_names").isNull(), gaps).otherwise(F.transform(gaps, follow))
+    filled = _woven(followed, F.transform("_mentions", lambda m: F.element_at("_new", m)))
+    joined = joined.withColumn("n_replaced", F.size("_mentions").cast("long")).withColumn(column, filled)
+    return untouched.unionByName(joined.drop("_key", "_row", "_mentions", "_new", "_names"))
