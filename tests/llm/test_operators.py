@@ -10,7 +10,7 @@ import regex
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from turnweave.llm import ann, chat, decontam, mixing, phrases, pii, quality, queries, toxicity, warc
+from turnweave.llm import ann, chat, decontam, mixing, phrases, pii, quality, queries, toxicity, warc, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key int"
 
@@ -286,9 +286,9 @@ def brute_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [phrases.HOT, 0])
+@pytest.mark.parametrize("hot", [phrases.CROWDED, 0])
 def test_phrases(spark, monkeypatch, hot):
-    monkeypatch.setattr(phrases, "HOT", hot)
+    monkeypatch.setattr(phrases, "CROWDED", hot)
     r = random.Random(3)
     word = lambda: r.choice(["a", "b", "é", "the", f"w{r.randint(0, 400)}", f"v{r.randint(0, 4000)}"])
     shared = [[word() for _ in range(r.randint(30, 90))] for _ in range(6)]
@@ -307,6 +307,22 @@ def test_phrases(spark, monkeypatch, hot):
     assert Counter(got) == Counter(brute_removal(rows))
 
 
+def test_one_anchor_of_very_many_stretches(spark):
+    """Eight words of so small a hash that they anchor nearly all windows around them, in 3,000 contexts, some of which recur."""
+    r = random.Random(11)
+    names = [f"n{i}" for i in range(20_000)]
+    grams = wordhash.runs(wordhash.words([" ".join(names).encode()]).hash, phrases.GRAM)
+    at = int((grams & np.uint64(0xFFFFFFFFFFF00000)).argmin())
+    middle = names[at : at + phrases.GRAM]
+    side = lambda: [f"c{r.randint(0, 10**6)}" for _ in range(30)]
+    rows = [(i, side(), side()) for i in range(3000)]
+    rows += [(3000 + i, side()[:9] + a[9:], b[:25]) for i, a, b in rows[:40]]
+    rows = [(i, " ".join(a + middle + b)) for i, a, b in rows]
+    got = phrases.removal(docs_of(spark, [(i, t, None) for i, t in rows])).collect()
+    want = brute_removal(rows)
+    assert Counter(tuple(x) for x in got) == Counter(want) and sum(x[2] > 0 for x in want) == 80
+
+
 def test_phrases_of_the_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert Counter(tuple(x) for x in queries.op6_phrase_automata(spark, sf_dir).collect()) == Counter(brute_removal(rows))

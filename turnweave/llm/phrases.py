@@ -12,6 +12,9 @@ starts anywhere else, in the same text or another, is removed.
 3. Recurring passages are confirmed word by word among the stretches of an anchor, and compiled, shard by shard, into
    Aho-Corasick automata over word numbers. The shard's stretches stream through, which locates every
    occurrence; the spans go back to the texts.
+
+An anchor with very many different stretches is dealt over the shards by its windows: those that recur are confirmed, compiled and located in the
+same way, each as a passage of its own.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import as_bytes, slices, text_key, written
+from .common import as_bytes, slices, spread_join, text_key, written
 
-WINDOW, GRAM, SHARD_ROWS, HOT = 35, 8, 20_000, 2_000
+WINDOW, GRAM, SHARD_ROWS = 35, 8, 20_000
+#: Different stretches of an anchor that one shard holds at most; an anchor with more is dealt out by its windows.
+CROWDED = 2_000
 _BLOCK = 1 << 19
 
 
@@ -60,8 +65,15 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: i
     return h, a - first[text], b - first[text], edges
 
 
-def _lists(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
+def _by_anchor(h: np.ndarray, a: np.ndarray, b: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """For each text its different anchors, each with the places (a, b) that it has in the text."""
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    order = np.lexsort((a, h, text))
+    h, a, b, text = h[order], a[order], b[order], text[order]
+    begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)])
+    at = pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["a", "b"]))
+    groups = pa.StructArray.from_arrays([pa.array(h[begin].view(np.int64)), at], ["h", "at"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[begin], np.arange(len(edges))), pa.int32()), groups)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -80,11 +92,9 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     part.column("key"),
                     pa.array(np.diff(w.first), pa.int64()),
                     pa.array([_digest(t.split()) for t in texts]),
-                    _lists(h.view(np.int64), edges, pa.int64()),
-                    _lists(a, edges, pa.int32()),
-                    _lists(b, edges, pa.int32()),
+                    _by_anchor(h, a, b, edges),
                 ],
-                ["doc_id", "key", "n_words", "sha", "h", "a", "b"],
+                ["doc_id", "key", "n_words", "sha", "anchors"],
             )
 
 
@@ -95,11 +105,12 @@ def _stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for key, weight, text, found in zip(part.column("key").to_pylist(), part.column("weight").to_pylist(), as_bytes(part.column("text")), part.column("found"), strict=True):
                 words = text.split()
                 for x in found.as_py():
-                    keys.append(key)
-                    weights.append(weight)
-                    hs.append(x["h"])
-                    starts.append(x["a"])
-                    texts.append(b" ".join(words[x["a"] : x["b"] + WINDOW]))
+                    for at in x["at"]:
+                        keys.append(key)
+                        weights.append(weight)
+                        hs.append(x["h"])
+                        starts.append(at["a"])
+                        texts.append(b" ".join(words[at["a"] : at["b"] + WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(weights, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary())], ["key", "weight", "h", "a", "stretch"])
 
 
@@ -163,7 +174,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Each stretch cut into its single windows."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
-            ids, at, cut, times = [], [], [], []
+            ids, at, cut, times, texts = [], [], [], [], []
             part = batch.slice(lo, 500)
             for id_, n, text in zip(part.column("stretch_id").to_pylist(), part.column("times").to_pylist(), part.column("stretch").to_pylist(), strict=True):
                 words = text.split(b" ")
@@ -171,8 +182,9 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     ids.append(id_)
                     at.append(i)
                     times.append(n)
-                    cut.append(hashlib.md5(b" ".join(words[i : i + WINDOW])).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(at, pa.int32()), pa.array(times, pa.int64()), pa.array(cut, pa.binary())], ["stretch_id", "at", "times", "cut"])
+                    texts.append(b" ".join(words[i : i + WINDOW]))
+                    cut.append(hashlib.md5(texts[-1]).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(at, pa.int32()), pa.array(times, pa.int64()), pa.array(cut, pa.binary()), pa.array(texts, pa.binary())], ["stretch_id", "at", "times", "cut", "stretch"])
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,28 +207,32 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows: doc_id, key, n_words, sha of all words. copies: key, weight (2: the text occurs more than once).
     spans: key, spans (array of word positions s, e) for texts in which recurring passages were located.
     """
-    rows = written(docs.mapInArrow(_anchor_batches, "doc_id long, key binary, n_words long, sha string, h array<long>, a array<int>, b array<int>"), "anchors")
-    texts = rows.where(F.col("n_words") >= WINDOW).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.least(F.count("*"), F.lit(2)).alias("weight"), F.first("h").alias("h"), F.first("a").alias("a"), F.first("b").alias("b"))
+    places = "array<struct<h:long,at:array<struct<a:int,b:int>>>>"
+    rows = written(docs.mapInArrow(_anchor_batches, f"doc_id long, key binary, n_words long, sha string, anchors {places}"), "anchors")
+    texts = rows.where(F.col("n_words") >= WINDOW).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.least(F.count("*"), F.lit(2)).alias("weight"), F.first("anchors").alias("anchors"))
     texts = written(texts, "texts")
-    found = texts.select("key", "doc_id", "weight", F.explode(F.arrays_zip("h", "a", "b")).alias("x")).select("key", "doc_id", "weight", "x.*")
-    again = found.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")
-    found = found.join(again, "h").groupBy("key", "doc_id", "weight").agg(F.collect_list(F.struct("h", "a", "b")).alias("found"))
+    found = texts.select("key", "doc_id", "weight", F.explode("anchors").alias("x")).select("key", "doc_id", "weight", "x.*")
+    again = found.groupBy("h").agg(F.sum(F.col("weight") * F.size("at")).alias("n")).where("n > 1").select("h")
+    found = spread_join(found, again, ["h"], by=["key"]).groupBy("key", "doc_id", "weight").agg(F.collect_list(F.struct("h", "at")).alias("found"))
     joined = docs.join(found.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     stretches = joined.select("key", "weight", "text", "found").mapInArrow(_stretch_batches, "key binary, weight long, h long, a int, stretch binary")
     stretches = written(stretches.withColumn("stretch_id", F.unhex(F.md5("stretch"))), "stretches")
     distinct = stretches.groupBy("stretch_id", "h", "stretch").agg(F.sum("weight").alias("times"))
     distinct = written(distinct, "distinct")
     of_anchor = distinct.groupBy("h").agg(F.count("*").alias("n"), F.sum("times").alias("all")).where("all > 1")
-    distinct = distinct.join(of_anchor.select("h", "n"), "h")
-    shards = max(1, -(-distinct.count() // SHARD_ROWS))
-    few = distinct.where(F.col("n") <= HOT).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    located = few.groupBy("shard").applyInArrow(_located, "stretch_id binary, spans array<struct<s:int,e:int>>")
-    # anchors with very many different stretches: their windows are counted one by one, by all tasks
-    cut = distinct.where(F.col("n") > HOT).select("stretch_id", "times", "stretch").mapInArrow(_window_batches, "stretch_id binary, at int, times long, cut binary")
-    recurring = cut.groupBy("cut").agg(F.sum("times").alias("n")).where("n > 1").select("cut")
-    single = cut.join(recurring, "cut").select("stretch_id", F.array(F.struct(F.col("at").alias("s"), (F.col("at") + WINDOW).alias("e"))).alias("spans"))
-    located = written(located.unionByName(single), "located")
-    spans = stretches.join(located, "stretch_id").select("key", F.transform("spans", lambda x: F.struct((x.s + F.col("a")).alias("s"), (x.e + F.col("a")).alias("e"))).alias("spans"))
+    distinct = spread_join(distinct, of_anchor.select("h", "n"), ["h"], by=["stretch_id"])
+    few = distinct.where(F.col("n") <= CROWDED).select("stretch_id", "h", "times", "stretch")
+    cut = distinct.where(F.col("n") > CROWDED).select("stretch_id", "times", "stretch").mapInArrow(_window_batches, "stretch_id binary, at int, times long, cut binary, stretch binary")
+    cut = written(cut, "windows")
+    alone = cut.groupBy(F.col("cut").alias("stretch_id")).agg(F.sum("times").alias("times"), F.first("stretch").alias("stretch")).where("times > 1")
+    few = written(few.unionByName(alone.withColumn("h", F.xxhash64("stretch_id"))), "shards")
+    shards = max(1, -(-few.count() // SHARD_ROWS))
+    located = few.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInArrow(_located, "stretch_id binary, spans array<struct<s:int,e:int>>")
+    located = written(located, "located")
+    shifted = lambda by: F.transform("spans", lambda x: F.struct((x.s + F.col(by)).alias("s"), (x.e + F.col(by)).alias("e")))
+    single = spread_join(cut.select("stretch_id", "at", "cut"), located.withColumnRenamed("stretch_id", "cut"), ["cut"], by=["stretch_id"])
+    single = single.groupBy("stretch_id").agg(F.flatten(F.collect_list(shifted("at"))).alias("spans"))
+    spans = spread_join(stretches, located.unionByName(single), ["stretch_id"], by=["key"]).select("key", shifted("a").alias("spans"))
     spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return rows, texts.select("key", "weight"), spans
 
@@ -230,7 +246,7 @@ def removal(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", text_key(F.col("text")))
     rows, copies, spans = repeated_spans(docs)
-    light = rows.select("doc_id", "key", "n_words", "sha").join(copies, "key", "left")
+    light = spread_join(rows.select("doc_id", "key", "n_words", "sha"), copies, ["key"], "left", ["doc_id"])
     whole = light.where("coalesce(weight, 0) > 1").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(_digest([])).alias("kept_sha256"))
     once = written(light.where("coalesce(weight, 0) <= 1").join(spans, "key", "left"), "once")
     untouched = once.where("spans is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
