@@ -22,6 +22,8 @@ from .common import held_out, slices, written
 
 #: At most this many labelled rows, those with the least hashes of doc_id, and this many terms, those of most weight, are learned.
 ROWS, TERMS, THRESHOLD, LONGEST = 30_000, 20_000, 0.3, 24
+#: Kinds of trigrams, the most common ones, that the letter model holds at most; all words of all documents count in them.
+GRAMS = 500_000
 #: A term counts if at least three toxic rows and this share of them have it: less can be one text with its copies.
 SUPPORT = 0.01
 #: Letters that a character can stand for, besides itself.
@@ -37,25 +39,28 @@ _SINGLES = re.compile(rb"\x01{3,}")
 
 
 class Letters:
-    """Trigram model over the letters it was given; ends of words count as a letter, all unseen ones as another."""
+    """Trigram model over whatever letters its words have; the end of a word counts as a letter. Rare trigrams lean on their last two letters."""
 
     def __init__(self, trigrams: Counter[str]):
-        seen = Counter()
+        self.three, self.two, self.last, self.middle, letters = dict(trigrams), Counter(), Counter(), Counter(), set()
         for g, n in trigrams.items():
-            for c in g:
-                seen[c] += n
-        self.number = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:80]) if c != "\n"}
-        self.number["\n"] = 0
-        size = max(self.number.values(), default=1) + 1
-        counts = np.full((size, size, size), 0.02)
-        for g, n in trigrams.items():
-            counts[tuple(self.number.get(c, 1) for c in g)] += n
-        backed = counts + 5.0 * (counts.sum(axis=0, keepdims=True) + 0.1) / (counts.sum(axis=(0, 2), keepdims=True).transpose(0, 1, 2) + 0.1 * size)
-        self.cost = (-np.log(backed / backed.sum(axis=2, keepdims=True))).astype(np.float32)
+            self.two[g[:2]] += n
+            self.last[g[1:]] += n
+            self.middle[g[1]] += n
+            letters.update(g)
+        self.size = len(letters) + 1  # one more for all that was never seen
+        self.known: dict[str, float] = {}
 
     def __call__(self, a: str, b: str, c: str) -> float:
-        n = self.number
-        return float(self.cost[n.get(a, 1), n.get(b, 1), n.get(c, 1)])
+        g = a + b + c
+        cost = self.known.get(g)
+        if cost is None:
+            leant = 5.0 * (self.last.get(b + c, 0) + 0.1) / (self.middle.get(b, 0) + 0.1 * self.size)
+            cost = -math.log((self.three.get(g, 0) + 0.02 + leant) / (self.two.get(a + b, 0) + 0.02 * self.size + 5.0))
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            self.known[g] = cost
+        return cost
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -200,16 +205,16 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             merged: dict[str, int] = {}
             for token, n in count.items():
                 word = token if token.isalpha() else token.strip(_STRIP)
-                if 1 < len(word) <= LONGEST and word.isalpha():
+                if len(word) > 1 and word.isalpha():
                     merged[word] = merged.get(word, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(merged.keys(), pa.string()), pa.array(merged.values(), pa.int64())], ["word", "n"])
 
 
 def letter_model(docs: DataFrame) -> Letters:
-    """Counts all plain words of all documents; the trigrams of the most common 200,000 kinds reach the driver."""
+    """Counts all plain words of all documents; the trigrams of the most common 500,000 kinds reach the driver."""
     words = docs.select("text").mapInArrow(_word_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     grams = words.mapInArrow(_trigram_batches, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = grams.orderBy(F.desc("n"), "gram").limit(200_000).toArrow()
+    got = grams.orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
     return Letters(Counter(dict(zip(got.column("gram").to_pylist(), got.column("n").to_pylist(), strict=True))))
 
 
@@ -265,7 +270,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("half"), part.column("toxic"), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int64()))], ["half", "toxic", "words", "times"])
 
     # copies of a text fall into the same half
-    half = F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(2)).cast("int").alias("half")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")
     # the sample is bounded, so its broadcast is
     rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").select(half, "toxic", "text")
     rows = written(rows.mapInArrow(restore, "half int, toxic int, words array<string>, times array<long>"), "restored")
