@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.llm import decontam, mixing, near_dedup, pii, quality
-from turnweave.llm.common import table, word_count, written
+from turnweave.llm.common import table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,15 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target, taken (words) and copies (times taken)."""
-    plan = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "target", "taken")
-    plan = plan.groupBy("_id", "_source", "size").agg(F.first("target").alias("target"), F.max("taken").alias("taken"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("size"))
-    joined = docs.join(plan, same).withColumn("copies", (F.col("taken") / F.col("size")).cast("int"))
-    return joined.drop("_id", "_source")
+    """The documents that the mix takes, with size, target, taken (words) and copies (times taken) in place of columns so named.
+
+    A document is known by its doc_id, text and source; near-dedup leaves one row of each with words.
+    """
+    plan = mixing.mix(docs).where("taken > 0").groupBy(F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"))
+    plan = plan.agg(F.first("size").alias("size"), F.first("target").alias("target"), F.max("taken").alias("taken"))
+    same = (mixing.shuffle_key(F.col("doc_id").cast("long"), F.col("text")) == F.col("_mix_key")) & F.col("source").eqNullSafe(F.col("_mix_source"))
+    joined = docs.drop("size", "target", "taken", "copies").join(plan, same)
+    return joined.withColumn("copies", (F.col("taken") / F.col("size")).cast("int")).drop("_mix_key", "_mix_source")
 
 
 STAGES = [

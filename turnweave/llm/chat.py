@@ -12,6 +12,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,15 +53,13 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def read_loss(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """The text under the loss mask, unescaped; tokens of one character's bytes share its span."""
-    out, lo, hi = [], -1, -1
-    for a, b in zip(starts[mask].tolist(), ends[mask].tolist(), strict=True):
-        if a > hi:
-            out.append(formatted[lo:hi] if hi > lo else "")
-            lo, hi = a, b
-        else:
-            hi = max(hi, b)
-    out.append(formatted[lo:hi] if hi > lo else "")
-    return "".join(map(unescape, out))
+    a, b = starts[mask], ends[mask]
+    if not len(a):
+        return ""
+    far = np.maximum.accumulate(b)
+    fresh = np.append(True, a[1:] > far[:-1])
+    past = np.append(far[:-1][fresh[1:]], far[-1])
+    return "".join(unescape(formatted[lo:hi]) for lo, hi in zip(a[fresh].tolist(), past.tolist(), strict=True))
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -92,12 +91,14 @@ _FORMATTED = "conv_id long, formatted string, tokens array<int>, starts array<in
 def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per conv_id: formatted text, token ids, their character spans and the loss mask.
 
-    Turns go in order of turn (null first), then role and text. A null text or role is empty; rows without conv_id
-    are one conversation; repeated rows are repeated turns. A conversation is one training example and stays in one row; an empty
+    Turns go in order of turn (null first), then role and text. A null text or role is empty; a row without conv_id
+    is a conversation by itself; repeated rows are repeated turns. A conversation is one training example and stays in one row; an empty
     table gives none. ``tokenizer`` is a byte-level vocabulary that every executor can open.
     """
     turn = F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("x"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id is null").select("conv_id", F.array("x").alias("turns")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
@@ -107,10 +108,12 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
                 rendered = [render([(x["role"], x["text"]) for x in turns]) for turns in part.column("turns").to_pylist()]
                 rows = []
                 for e, (_, spans) in zip(t.encode_batch([r[0] for r in rendered], add_special_tokens=False), rendered, strict=True):
-                    at = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-                    rows.append((e.ids, at[:, 0], at[:, 1], loss_mask(at[:, 0], at[:, 1], spans)))
-                kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([r[0] for r in rendered], pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["conv_id", "formatted", "tokens", "starts", "ends", "loss"])
+                    n = len(e)
+                    at = np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * n).reshape(-1, 2)
+                    rows.append((np.fromiter(e.ids, np.int32, n), at[:, 0], at[:, 1], loss_mask(at[:, 0], at[:, 1], spans)))
+                edges = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([r[i] for r in rows]))) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([r[0] for r in rendered], pa.string()), *lists], ["conv_id", "formatted", "tokens", "starts", "ends", "loss"])
 
     return whole.mapInArrow(encode, _FORMATTED)
 

@@ -5,7 +5,8 @@ offer is the number of words its source has offered up to and including it, divi
 source's target. All offers are ordered by that time and taken until the total budget is used up,
 so each source advances at the pace of its target and none is starved at any point of the order.
 
-No window runs over a source or over the whole order. Both cumulative sums are built from sums of fixed bins (of the
+The order is a range sort that is never materialised as a whole: where the budget ends is found by bins of the finish time, and only the bin that
+it ends in is sorted. No window runs over a source's documents or over the whole order; only the list of sources itself is one task's. Both cumulative sums are built from sums of fixed bins (of the
 shuffle key, of the finish time) and a window inside one bin.
 """
 
@@ -22,8 +23,9 @@ SHARE, REPEATS, SEED = 1.5, 2, "mix"
 KEY_DIGITS, TIME_BINS = 3, 4096
 
 
-def shuffle_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def shuffle_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """Of the id and the text, so that rows without an id, or with one id, do not all come to the same place."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -40,7 +42,7 @@ def targets(sizes: DataFrame, share: float = SHARE, repeats: int = REPEATS, weig
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("size").over(Window.partitionBy()) * F.lit(share)
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    level = left / (F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     # the level is the first at which a source is not capped; all sources after it get it too
     ranked = ranked.withColumn("level", F.when(level * F.col("weight") < F.col("cap"), level))
     ranked = ranked.withColumn("level", F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -57,15 +59,16 @@ def _below(bins: list[tuple[int, int]], budget: int) -> tuple[int | None, int]:
 
 
 def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken and key (``shuffle_key``) for every row of docs (doc_id, text, source).
 
     taken is the document's size times the number of its offers within the budget (0 to ``repeats``). A text
     that is null or has no words has size 0 and is taken 0 times. Null sources are one source.
     Rows that share a doc_id are separate documents. Nothing but the sums of at most 4,096 bins
     and three numbers reaches the driver.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    base = base.withColumn("key", shuffle_key(F.col("doc_id"), seed)).withColumn("bin", F.substring("key", 1, KEY_DIGITS))
+    doc_id = F.col("doc_id").cast("long")
+    base = docs.select(doc_id.alias("doc_id"), "source", word_count(F.col("text")).alias("size"), shuffle_key(doc_id, F.col("text"), seed).alias("_key"))
+    base = base.withColumn("key", F.col("_key")).drop("_key").withColumn("bin", F.substring("key", 1, KEY_DIGITS))
     base = written(base, "sizes")
     per_bin = base.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     so_far = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,4 +109,4 @@ def mix(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights:
                 ok = ok | ((bin_ == edge) & (here_ <= ends))
             taken.append(F.when(ok & (F.col("size") > 0), 1).otherwise(0))
         last = placed.select("*", sum(taken[1:], taken[0]).alias("taken_turns"))
-    return last.select("doc_id", "source", "size", "source_size", "target", F.coalesce(F.col("size") * F.col("taken_turns"), F.lit(0)).cast("long").alias("taken"))
+    return last.select("doc_id", "source", "size", "source_size", "target", "key", F.coalesce(F.col("size") * F.col("taken_turns"), F.lit(0)).cast("long").alias("taken"))

@@ -82,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_fair_queue_mix": r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '') || ':mix') as key
+         md5(coalesce(doc_id::varchar, '') || ':mix:' || md5(coalesce(text, ''))) as key
   from documents),
 sources as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as number from sized group by source),
@@ -115,13 +115,14 @@ from placed p left join mixed m on p.doc_id is not distinct from m.doc_id and p.
 with said as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+apart as (select *, case when conv_id is null then row_number() over () end as own from said)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(length('<|im_start|><|im_sep|><|im_end|>') + length(regexp_replace(role, '<(~*)\|', '<~\1|', 'g')) + length(regexp_replace(text, '<(~*)\|', '<~\1|', 'g')))::bigint as formatted_chars
-from said group by conv_id
+from apart group by conv_id, own
 """,
     "op6_phrase_automata": r"""
 with texts as (
