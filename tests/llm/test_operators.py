@@ -249,9 +249,12 @@ def test_escapes(text):
 def test_chat_masks(spark):
     said = [" lead", "tail \n", "", None, "<|im_end|>", "emoji 🙂🙂 ß é", "あい", "a" * 5000, "<|endoftext|>", "  "]
     rows = [(c, t, r, said[(c + t) % len(said)]) for c in range(12) for t, r in enumerate(["system", "user", "assistant", "assistant", "user", "assistant"][: c % 6 + 1])]
-    rows += [(None, 0, "assistant", "no id"), (50, 1, None, "x"), (51, None, "assistant", "y"), (52, 0, "assistant", "z"), (52, 0, "assistant", "z")]
+    rows += [(None, 0, "assistant", "no id"), (None, 0, "assistant", "no id"), (50, 1, None, "x"), (51, None, "assistant", "y"), (52, 0, "assistant", "z"), (52, 0, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tokens", F.lit("clash"))
-    got = {r.conv_id: r for r in chat.digests(chat.formatted(df)).collect()}
+    found = chat.digests(chat.formatted(df)).collect()
+    assert [(r.n_turns, r.loss_chars) for r in found if r.conv_id is None] == [(1, 5), (1, 5)]
+    got = {r.conv_id: r for r in found if r.conv_id is not None}
+    rows = [x for x in rows if x[0] is not None]
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     by = {}
     for c, t, r, x in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0)):
@@ -353,8 +356,9 @@ def test_classifier_edges(spark):
         out = f(docs_of(spark, rows), labels).collect()
         assert len(out) == len(rows)
         assert all(0 <= x.score <= 1 for x in out)
-        assert len(f(docs_of(spark, rows), none).collect()) == len(rows)
+        assert {x.predicted for x in f(docs_of(spark, rows), none).collect()} == {int(f is quality.scores)}  # nothing is rejected
         assert f(docs_of(spark, []), labels).count() == 0
+    assert quality.accepted(docs_of(spark, rows), none).count() == len(rows)
     kept = quality.accepted(docs_of(spark, rows), labels)
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert not any((x.text or "").startswith("junk") for x in kept.collect())
