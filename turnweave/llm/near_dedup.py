@@ -22,11 +22,11 @@ from . import align, wordhash
 from .common import as_bytes, heavy, slices, spread_join, text_key, written
 from .graph import components
 
-K, TAKEN, SKETCHES, LEAST, FINER, BINS = 4, 2, 96, 0.8, 8, 256
+K, TAKEN, SKETCHES, LEAST, BINS = 4, 2, 96, 0.8, 256
 #: Words of the k-mers of short texts, the length under which texts have them, and the length from which they have the others; texts of fewer words than LEAST_WORDS have none.
 SHORT_K, SHORT, LONG, LEAST_WORDS = 2, 50, 40, 5
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 64
+#: Members of a bucket that are compared with as many others at once, and their words.
+BLOCK, BLOCK_WORDS = 256, 1_000_000
 
 
 def sketches(hashes: np.ndarray, k: int = K, taken: int = TAKEN, n: int = SKETCHES) -> np.ndarray | None:
@@ -105,28 +105,29 @@ def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = [np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int64) for c in ("a_bins", "b_bins")]
             most = np.floor((1 - LEAST) * np.maximum(*n) + 1e-9)
             ok = (np.abs(n[0] - n[1]) <= most) & (np.abs(x[0] - x[1]).sum(axis=1) <= 2 * most)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "b", "b_no")], ["a", "b", "b_no"]).filter(pa.array(ok))
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the written pairs (a, b) that lengths and word histograms allow."""
-    for end, hot in [(end, heavy(pairs, [end])) for end in ("a", "b")]:
-        pairs = spread_join(pairs, nodes.select(F.col("key").alias(end), F.col("n").alias(f"{end}_n"), F.col("bins").alias(f"{end}_bins")), [end], by=["a", "b"], hot=hot)
-    return pairs.mapInArrow(_near_batches, "a binary, b binary")
+    """Those of the written pairs of numbers (a_no, b_no) that lengths and word histograms allow, as pairs of keys (a, b) with b_no."""
+    for end, hot in [(end, heavy(pairs, [f"{end}_no"])) for end in ("a", "b")]:
+        own = nodes.select(F.col("no").alias(f"{end}_no"), F.col("key").alias(end), F.col("n").alias(f"{end}_n"), F.col("bins").alias(f"{end}_bins"))
+        pairs = spread_join(pairs, own, [f"{end}_no"], by=["a_no", "b_no"], hot=hot)
+    return pairs.mapInArrow(_near_batches, "a binary, b binary, b_no long")
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair of blocks the pairs of members in different components whose lengths and word histograms allow the similarity."""
+    """Of each pair of blocks the pairs of members with different marks and roots whose lengths and word histograms allow the similarity."""
     for batch in batches:
-        a, b = [], []
-        for same, members in zip(batch.column("same").to_pylist(), batch.column("members"), strict=True):
+        a, b, at_ = [], [], []
+        for same, group, members in zip(batch.column("same").to_pylist(), batch.column("group").to_pylist(), batch.column("members"), strict=True):
             own = members.values
-            key, left = own.field("key").to_pylist(), own.field("left").to_numpy(zero_copy_only=False)
-            root, n = own.field("root").to_numpy(), own.field("n").to_numpy()
-            i, j = (np.arange(len(key)), np.arange(len(key))) if same else (np.flatnonzero(left), np.flatnonzero(~left))
+            no, left = own.field("no").to_numpy(), own.field("left").to_numpy(zero_copy_only=False)
+            root, mark, n = own.field("root").to_numpy(), own.field("mark").to_numpy(), own.field("n").to_numpy()
+            i, j = (np.arange(len(no)), np.arange(len(no))) if same else (np.flatnonzero(left), np.flatnonzero(~left))
             longest = np.maximum(n[i][:, None], n[j][None, :])
             most = np.floor((1 - LEAST) * longest + 1e-9)
-            ok = (root[i][:, None] != root[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most)
+            ok = (mark[i][:, None] != mark[j][None, :]) & (root[i][:, None] != root[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most)
             if same:
                 ok = np.triu(ok, 1)
             p, q = np.nonzero(ok)
@@ -136,31 +137,54 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for at in range(0, len(p), 4096):
                 u, v = p[at : at + 4096], q[at : at + 4096]
                 near = np.abs(x[i[u]] - x[j[v]]).sum(axis=1, dtype=np.int64) <= 2 * most[u, v]
-                for c, d in zip(i[u[near]].tolist(), j[v[near]].tolist(), strict=True):
-                    a.append(max(key[c], key[d]))
-                    b.append(min(key[c], key[d]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                c, d = no[i[u[near]]], no[j[v[near]]]
+                a.append(np.maximum(c, d))
+                b.append(np.minimum(c, d))
+                at_.append(np.full(len(c), group))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b, at_)], ["a_no", "b_no", "group"])
 
 
 def _across(items: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket that are not connected yet and whose lengths and histograms allow the similarity.
+    """All pairs (a_no, b_no, group) of a bucket that are not connected yet and whose lengths and histograms allow the similarity.
 
-    The members of a bucket are dealt over blocks by a hash, and every block meets every other one in a row of its own, so a bucket of
-    any size is the work of many tasks. Members of its largest component meet only the other members.
+    Documents with one long template share many buckets. A node's pairs within its largest mixed bucket are made there and nowhere else, so
+    that members of a bucket whose largest one is the same do not meet in it again. The members of a bucket are dealt over blocks by a hash, and every block meets every other one in a row of its own, so a bucket of
+    any size is the work of many tasks. Members with the mark most have meet only the other members.
     """
-    member = written(items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.xxhash64(F.coalesce("root", "key"))), "members")
-    held = member.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    held = held.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top")).where("all > top.n and all > 2")
-    blocks = lambda n: F.ceil(n / BLOCK)
-    held = held.select("bucket", F.col("top.root").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops"))
-    own = spread_join(member.select("key", "bucket", "root"), held, ["bucket"], by=["key"]).withColumn("is_top", F.col("root") == F.col("top"))
-    salt = F.xxhash64("key", F.lit(5))
+    of_root = roots.select(F.xxhash64("node").alias("no"), F.xxhash64("root").alias("root"))
+    member = written(items.join(of_root, "no", "left").withColumn("root", F.coalesce("root", "no")), "members")
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("all"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s and all > 2")
+    member = spread_join(member, sizes.select("bucket", "all"), ["bucket"], by=["no"])
+    home = member.groupBy("no").agg(F.max(F.struct("all", "bucket")).alias("x")).select("no", F.col("x.bucket").alias("home"))
+    member = member.join(home, "no").withColumn("mark", F.when(F.col("home") == F.col("bucket"), F.col("root")).otherwise(F.col("home")))
+    member = written(member.join(nodes.select("no", "n", "bins"), "no").select("no", "bucket", "root", "mark", "n", "bins"), "members")
+    held = member.groupBy("bucket", "mark").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
+    held = held.groupBy("bucket").agg(F.sum("m").alias("all"), F.sum("words").alias("words"), F.max(F.struct("m", "mark", "words")).alias("top")).where("all > top.m")
+    blocks = lambda m, words: F.greatest(F.ceil(m / BLOCK), F.ceil(words / BLOCK_WORDS), F.lit(1))
+    held = held.select("bucket", F.col("top.mark").alias("top"), blocks(F.col("all") - F.col("top.m"), F.col("words") - F.col("top.words")).alias("others"), blocks(F.col("top.m"), F.col("top.words")).alias("tops"))
+    own = spread_join(member, held, ["bucket"], by=["no"]).withColumn("is_top", F.col("mark") == F.col("top"))
+    salt = F.xxhash64("no", F.lit(5))
     own = own.withColumn("block", F.when(F.col("is_top"), F.col("others") + F.pmod(salt, F.col("tops"))).otherwise(F.pmod(salt, F.col("others"))))
     last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
-    own = own.join(nodes.select("key", "n", "bins"), "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    own = own.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("key", "root", "n", "bins", (F.col("block") <= F.col("other")).alias("left")).alias("x"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    own = own.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("no", "root", "mark", "n", "bins", (F.col("block") <= F.col("other")).alias("left")).alias("x"))
     met = own.groupBy("bucket", "lo", "hi").agg(F.collect_list("x").alias("members")).where("size(members) > 1")
-    return met.select((F.col("lo") == F.col("hi")).alias("same"), "members").mapInArrow(_block_batches, "a binary, b binary").distinct()
+    met = met.select((F.col("lo") == F.col("hi")).alias("same"), F.xxhash64("bucket", "lo", "hi").alias("group"), "members")
+    return met.mapInArrow(_block_batches, "a_no long, b_no long, group long").groupBy("a_no", "b_no").agg(F.min("group").alias("group"))
+
+
+def _verified_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """As ``_verified`` for written pairs (a, b, group): a group's pairs come from two blocks, so each of its texts is sent there once, not once for each pair."""
+    wanted = pairs.select("group", F.col("a").alias("key")).unionByName(pairs.select("group", F.col("b").alias("key"))).distinct()
+    wanted = spread_join(written(wanted, "wanted"), texts, ["key"], by=["group"])
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = dict(zip(right.column("key").to_pylist(), right.column("text").to_pylist(), strict=True))
+        known = align.Texts(LEAST, 1 << 40)
+        ok = [known.similar(text[a].encode(), text[b].encode()) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
+        return left.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.groupBy("group").cogroup(wanted.groupBy("group")).applyInArrow(verify, "a binary, b binary")
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +208,7 @@ def classes(docs: DataFrame) -> DataFrame:
     Exact copies are one node (their md5), so a group of copies of any size costs one row from
     there on. In each bucket every node is aligned with the least one, unless they are connected already. A node's first
     comparison is with the least leader of all its buckets, which joins most copies, so a group of n near copies takes
-    about n comparisons, not one for each pair. Buckets that hold several components after that are split by eight further sketches,
-    and the nodes of each part are aligned with its least one. In buckets that hold several components even then, all pairs
+    about n comparisons, not one for each pair. In buckets that hold several components after that, all pairs
     of nodes in different components are compared by length and histogram, and aligned where these allow it.
 
     So any two alike texts that agree in a sketch come together. Nearly all do; the README has the measured recall by similarity. Documents that share a sketch without being alike, such as many with
@@ -198,34 +221,30 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.where("text is not null").withColumn("key", text_key(F.col("text")))
     rows = written(keyed.mapInArrow(_sketch_batches, "key binary, ids array<long>, n long, bins binary, bands array<long>"), "sketches")
-    nodes = written(rows.groupBy("key").agg(F.min(F.array_min("ids")).alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("bands").alias("bands")), "nodes")
-    # one text for each node that shares a bucket
-    items = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
+    nodes = rows.groupBy("key").agg(F.min(F.array_min("ids")).alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("no", F.xxhash64("key")), "nodes")
+    # the search for candidates knows a node by a short number; what shares it by chance is only one more candidate
+    items = nodes.where("bands is not null").select("no", F.explode("bands").alias("bucket"))
     crowded = items.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    items = written(spread_join(items, crowded, ["bucket"], by=["key"]), "items")
-    wanted = items.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
+    items = written(spread_join(items, crowded, ["bucket"], by=["no"]), "items")
+    # one text for each node that shares a bucket
+    wanted = nodes.join(items.select("no").distinct(), "no", "left_semi").select("key", "doc_id")
     texts = keyed.join(wanted, (keyed.doc_id.eqNullSafe(wanted.doc_id)) & (keyed.key == wanted.key), "left_semi")
     texts = written(texts.dropDuplicates(["key", "doc_id"]).select("key", "text"), "texts")
     # every node with the least of its buckets' leaders, then with the other leaders unless it is connected to them
-    leader = written(_to_leader(items), "leaders")
-    near = written(_near(leader, nodes), "pairs")
-    first = written(near.groupBy("a").agg(F.min("b").alias("b")), "pairs")
+    near = written(_near(written(_to_leader(items), "leaders"), nodes), "pairs")
+    first = written(near.groupBy("a").agg(F.min_by("b", "b_no").alias("b")), "pairs")
     roots = components(_verified(first, texts))
     pairs = written(_apart(near.join(first, ["a", "b"], "left_anti"), roots), "pairs")
     roots = components(_verified(pairs, texts), roots)
-    # buckets that still hold several components are split by what else their members agree in
-    member = items.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = member.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r != s and n > 2")
-    split = spread_join(items, mixed.select("bucket"), ["bucket"], by=["key"]).join(nodes.select("key", "bands"), "key")
-    other = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda d: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + d) % F.size("bands") + 1)))
-    parts = written(split.select("key", F.explode(other).alias("bucket")), "parts")
-    more = written(_apart(_to_leader(parts).join(leader, ["a", "b"], "left_anti"), roots), "pairs")
-    more = written(_near(more, nodes), "pairs")
-    roots = components(_verified(more, texts), roots)
     # what is left: all pairs of a bucket across its components that were not aligned yet
-    done = first.select("a", "b").unionByName(pairs).unionByName(more)
-    rest = written(_across(items, roots, nodes).join(done, ["a", "b"], "left_anti"), "pairs")
-    roots = components(_verified(rest, texts), roots)
+    rest = _across(items, roots, nodes)
+    for end in ("a", "b"):
+        rest = rest.join(nodes.select(F.col("no").alias(f"{end}_no"), F.col("key").alias(end)), f"{end}_no")
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "group")
+    for done in (first, pairs):
+        rest = rest.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    roots = components(_verified_blocks(written(rest, "pairs"), texts), roots)
     member = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left")
     member = written(member.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "members")
     named = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -237,8 +256,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _to_leader(items: DataFrame) -> DataFrame:
     """Each member of a bucket with its least one. That is a minimum, so no bucket need come together in a task."""
-    least = items.groupBy("bucket").agg(F.min("key").alias("b"))
-    return spread_join(items, least, ["bucket"], by=["key"]).where("key > b").select(F.col("key").alias("a"), "b").distinct()
+    least = items.groupBy("bucket").agg(F.min("no").alias("b_no"))
+    return spread_join(items, least, ["bucket"], by=["no"]).where("no > b_no").select(F.col("no").alias("a_no"), "b_no").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
