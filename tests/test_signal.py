@@ -73,10 +73,33 @@ def test_masks_and_overlap_add(spark):
         for a, b in on:
             want[a:b] = 1
         assert np.array_equal(track, want)
-    chunks = spark.createDataFrame([(1, 0, 0, 0, [1.0] * 60), (1, 0, 1, 40, [1.0] * 60)], "rec long, channel int, chunk int, start_sample long, samples array<double>")
-    got = [r.x for r in signal.overlap_add(chunks, 20).orderBy("sample").collect()]
-    assert len(got) == 100
-    assert np.allclose(got, 1.0)
+    chunks = spark.createDataFrame([(1, 0, 0, 0, [1.0] * 60), (1, 0, 1, 40, [3.0] * 60)], "rec long, channel int, chunk int, start_sample long, samples array<double>")
+    got = samples_of(signal.overlap_add(chunks, 20, 32), "rec")
+    w = lambda i, n: np.minimum(1.0, np.minimum(i + 1, n - i) / 21)
+    at = np.arange(40, 60)
+    want = np.concatenate([np.ones(40), (w(at, 60) + 3 * w(at - 40, 60)) / (w(at, 60) + w(at - 40, 60)), np.full(40, 3.0)])
+    assert np.allclose(got, want, atol=1e-6)
+
+
+@pytest.mark.parametrize(("old", "new"), [(44_100, 16_000), (8_000, 16_000), (16_000, 16_000)])
+def test_analysis_copy(spark, old, new):
+    rng = np.random.default_rng(8)
+    left, right = rng.normal(size=(2, 5003)).astype(np.float32)
+    blocks = blocks_of(spark, left, 640).unionByName(blocks_of(spark, right, 640).withColumn("channel", F.lit(1)))
+    both = ((left.astype(float) + right) / 2).astype(np.float32)
+    assert np.allclose(samples_of(signal.mono(blocks), "rec"), both)
+    got = signal.resampled(signal.mono(blocks), old, new)
+    assert np.allclose(samples_of(got, "rec"), signal.resample(both, old, new), atol=1e-5)
+    assert [r.start_sample for r in got.orderBy("block_no").collect()][1] == int(np.ceil(640 / (5003 / np.rint(5003 / old * new))))
+
+
+def test_compressor():
+    rng, sr = np.random.default_rng(9), 1000
+    x = rng.normal(size=400)
+    gain = [-max(0.0, 20 * np.log10(abs(v) + 1e-9) + 22) * (1 - 1 / 3) for v in x]
+    at = lambda i: gain[min(max(i, 0), 399)]
+    want = [v * 10 ** (np.mean([at(i - 12 + j) for j in range(25)]) / 20) for i, v in enumerate(x)]
+    assert np.allclose(signal.compress(x, sr, -22.0, 3.0), want)
 
 
 def test_spectral_gate_and_loudness(spark):
@@ -86,6 +109,8 @@ def test_spectral_gate_and_loudness(spark):
     assert signal.spectral_gate(noise, 0.85).std() < 0.7 * noise.std()  # about 0.64 for white noise
     weighted = signal.filter_blocks(blocks_of(spark, tone, 48_000), signal.k_weighting(sr))
     assert abs(signal.loudness(signal.hop_squares(weighted, sr)).first().lufs - -3.01) < 0.15
+    odd = {r.hop: r.ms for r in signal.hop_squares(blocks_of(spark, tone[:1000], 77), 1000, 0.1).collect()}
+    assert np.allclose([odd[i] for i in range(10)], (tone[:1000].astype(np.float32).astype(float).reshape(10, 100) ** 2).mean(axis=1))
 
 
 def test_resample_and_limits():
@@ -128,17 +153,21 @@ def test_diarizes_a_recording(spark, tmp_path):
         mine = sum(max(0, min(b, s.end) - max(a, s.start)) for s in segs if s.speaker == who)
         assert mine > 0.7 * (b - a)
     tracks = plan.tracks(blocks.select("rec", "channel", "block_no", "start_sample", "samples"), result, sr, cfg)
+    cents = plan.turn_centroids(blocks, result.segments, cfg).collect()
+    assert {c.speaker for c in cents} == {0, 1} and all(abs(np.linalg.norm(c.embedding) - 1) < 1e-9 for c in cents)
     files = audio.write_wav(tracks, f"file://{tmp_path}/out", sr).collect()
     assert {f.speaker for f in files} == {0, 1}
     with wave.open(files[0].path.removeprefix("file://")) as w:
         assert w.getnframes() == files[0].n_samples > 0
+        x = np.frombuffer(w.readframes(w.getnframes()), "<i2") / 32767
+    assert 0.1 < np.abs(x).max() <= 10 ** (cfg.ceiling_db / 20) + 1e-3
 
 
 def test_silence_gives_nothing(spark):
     levels = signal.frame_levels(blocks_of(spark, np.zeros(16_000), 8000))
     gated = activity.energy_gate(levels, 30.0)
     recs = spark.createDataFrame([(1, 1.0, 0.0)], "rec long, duration double, rms double")
-    spans = activity.with_fallback(activity.active_spans(gated.where("db > -150"), 0.01, 0.2, 0.25), recs)
+    spans = activity.with_fallback(activity.active_spans(gated, 0.01, 0.2, 0.25), recs)
     assert spans.count() == 0
 
 

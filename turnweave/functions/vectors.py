@@ -14,10 +14,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def scaled(a: Column, n: Column) -> Column:
+    """a / n, with n computed once for the vector and not again for each of its components."""
+    return F.element_at(F.transform(F.array(F.struct(a.alias("v"), n.alias("n"))), lambda s: F.transform(s["v"], lambda x: x / s["n"])), 1)
+
+
 def l2_normalised(a: Column) -> Column:
     """Unit length; a zero vector stays."""
     n = norm(a)
-    return F.transform(a, lambda x: x / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    return scaled(a, F.when(n > 0, n).otherwise(F.lit(1.0)))
 
 
 def vector_sums(rows: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:

@@ -19,10 +19,17 @@ def levels(samples: DataFrame, frame: float) -> DataFrame:
     return out.select("rec", "frame", "n", F.sqrt("_ms").alias("rms"), decibels(F.col("_ms")).alias("db"))
 
 
-def energy_gate(frames: DataFrame, below_db: float) -> DataFrame:
-    """frames with limit and active: db over the recording's 95th percentile (interpolated, exact) less ``below_db``."""
+#: Level in dB under which a frame is digital silence.
+SILENT_DB = -99.0
+
+
+def energy_gate(frames: DataFrame, below_db: float, silent_db: float = SILENT_DB) -> DataFrame:
+    """frames with limit and active: db over the recording's 95th percentile (interpolated, exact) less ``below_db``, and over ``silent_db``.
+
+    Without that floor a recording of digital silence, all of it equally loud, would be active throughout.
+    """
     top = frames.groupBy("rec").agg((F.percentile("db", F.lit(0.95)) - below_db).alias("limit"))
-    return frames.join(top, "rec").withColumn("active", F.col("db") > F.col("limit"))
+    return frames.join(top, "rec").withColumn("active", (F.col("db") > F.col("limit")) & (F.col("db") > silent_db))
 
 
 def active_spans(gated: DataFrame, frame: float, gap: float, least: float) -> DataFrame:

@@ -22,12 +22,16 @@ def merge_gaps(spans: DataFrame, gap: float, keys: Sequence[str] = ("rec",), lea
     return out if least is None else out.where(F.col("end") - F.col("start") >= F.lit(least))
 
 
-def subtract(spans: DataFrame, holes: DataFrame, id_col: str = "span_id", least: float = 1e-3, bucket: float = 86_400.0) -> DataFrame:
+def subtract(spans: DataFrame, holes: DataFrame, id_col: str = "span_id", least: float = 1e-3, bucket: float | None = None) -> DataFrame:
     """What is left of each span (rec, id, start, end) outside all holes (rec, start, end): rec, id, start, end of every piece over ``least``.
 
     Holes are merged first, so that a span's pieces lie between neighbouring holes. Spans meet holes by recording and time
-    bucket, each side copied to the buckets it touches, instead of by a nested loop over all pairs of a recording.
+    bucket, each side copied to the buckets it touches, instead of by a nested loop over all pairs of a recording. Unless ``bucket``
+    is given, it is four times the longer of the two mean lengths, so that most spans touch one or two buckets and a bucket holds few.
     """
+    if bucket is None:
+        mean = lambda df: df.agg(F.avg(F.greatest(F.col("end") - F.col("start"), F.lit(0.0)))).first()[0] or 0.0
+        bucket = 4 * max(mean(spans), mean(holes)) or 1.0
     merged = merge_gaps(holes.where("end > start"), 0.0).select("rec", F.col("start").alias("h0"), F.col("end").alias("h1"))
     touch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.greatest(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
     own = spans.select("rec", id_col, "start", "end")

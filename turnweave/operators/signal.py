@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.settings import TARGET_SR
+
 BLOCKS = "rec long, channel int, block_no long, start_sample long, samples array<float>"
 
 
@@ -24,12 +26,41 @@ def resample(x: np.ndarray, old: int, new: int) -> np.ndarray:
     return np.interp(np.linspace(0, len(x) / old, n, endpoint=False), np.linspace(0, len(x) / old, len(x), endpoint=False), x).astype(np.float32)
 
 
+def resampled(blocks: DataFrame, old: int, new: int) -> DataFrame:
+    """Blocks at another rate, as ``resample`` of the whole channel would give: each block makes the samples that begin in it and needs one sample of the next."""
+    if old == new:
+        return blocks.select("rec", "channel", "block_no", "start_sample", "samples")
+    total = blocks.groupBy("rec", "channel").agg(F.sum(F.size("samples")).alias("total"))
+    order = Window.partitionBy("rec", "channel").orderBy("block_no")
+    rows = blocks.withColumn("after", F.lead(F.col("samples")[0]).over(order)).join(total, ["rec", "channel"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            starts, out = [], []
+            for r in b.itertuples():
+                n = int(np.rint(r.total / old * new))
+                step, x = r.total / max(1, n), np.asarray(r.samples, dtype=np.float64)
+                j = np.arange(int(np.ceil(r.start_sample / step)), min(n, int(np.ceil((r.start_sample + len(x)) / step))))
+                x = np.append(x, x[-1:] if pd.isna(r.after) else r.after)
+                starts.append(int(np.ceil(r.start_sample / step)))
+                out.append(np.interp(j * step - r.start_sample, np.arange(len(x)), x).astype(np.float32))
+            yield b.assign(start_sample=starts, samples=out)[["rec", "channel", "block_no", "start_sample", "samples"]]
+
+    return rows.mapInPandas(run, BLOCKS)
+
+
 def mono(blocks: DataFrame) -> DataFrame:
-    """Mean over channels, block by block."""
-    each = blocks.select("rec", "block_no", "start_sample", F.posexplode("samples").alias("i", "x"))
-    avg = each.groupBy("rec", "block_no", "start_sample", "i").agg(F.avg("x").alias("x"))
-    listed = avg.groupBy("rec", "block_no", "start_sample").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return listed.select("rec", F.lit(0).alias("channel"), "block_no", "start_sample", F.transform("v", lambda v: v["x"].cast("float")).alias("samples"))
+    """Mean over channels, block by block: the channels of a block are one small group."""
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(channel=0, samples=[np.mean(np.stack(pdf.samples.to_list()), axis=0, dtype=np.float64).astype(np.float32)])
+
+    return blocks.select("rec", "channel", "block_no", "start_sample", "samples").groupBy("rec", "block_no").applyInPandas(average, BLOCKS)
+
+
+def analysis_copy(blocks: DataFrame, sr: int) -> DataFrame:
+    """The mono copy at 16 kHz that activity and voiceprints are measured on."""
+    return resampled(mono(blocks), sr, TARGET_SR)
 
 
 def frame_levels(blocks: DataFrame, size: int = 480, hop: int = 160) -> DataFrame:
@@ -159,9 +190,10 @@ def moving_average(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def compress(x: np.ndarray, sr: int, threshold_db: float, ratio: float, makeup_db: float = 0.0) -> np.ndarray:
-    level = 20 * np.log10(np.sqrt(moving_average(x * x, max(1, int(0.025 * sr)))) + 1e-9)
-    over = np.maximum(0.0, level - threshold_db)
-    return x * 10 ** ((makeup_db - over * (1 - 1 / ratio)) / 20)
+    """Gain from the level of each sample, in dB, averaged over 25 ms before it is applied."""
+    level = 20 * np.log10(np.abs(x) + 1e-9)
+    gain = -np.maximum(0.0, level - threshold_db) * (1 - 1 / max(ratio, 1.0))
+    return x * 10 ** ((moving_average(gain, max(1, round(0.025 * sr))) + makeup_db) / 20)
 
 
 def limit(x: np.ndarray, ceiling: float) -> np.ndarray:
@@ -210,10 +242,19 @@ def k_weighting(sr: int) -> list[np.ndarray]:
 
 
 def hop_squares(blocks: DataFrame, sr: int, hop_sec: float = 0.1) -> DataFrame:
-    """rec, hop, ms: mean squares of hops of samples, summed where they lie."""
+    """rec, hop, ms: mean squares of hops of samples. A block's sums leave its task, not its samples; a hop across two blocks is added up."""
     hop = int(hop_sec * sr)
-    each = blocks.select("rec", "start_sample", F.posexplode("samples").alias("i", "x"))
-    return each.groupBy("rec", F.floor((F.col("start_sample") + F.col("i")) / hop).alias("hop")).agg((F.sum(F.col("x").cast("double") * F.col("x")) / hop).alias("ms"))
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                x = np.asarray(r.samples, dtype=np.float64)
+                at = (r.start_sample + np.arange(len(x))) // hop
+                if len(x):
+                    yield pd.DataFrame({"rec": r.rec, "hop": np.arange(at[0], at[-1] + 1), "s": np.bincount(at - at[0], weights=x * x)})
+
+    sums = blocks.select("rec", "start_sample", "samples").mapInPandas(add_up, "rec long, hop long, s double")
+    return sums.groupBy("rec", "hop").agg((F.sum("s") / hop).alias("ms"))
 
 
 def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame:
@@ -245,14 +286,29 @@ def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame
     return joined.mapInPandas(run, "rec long, speaker int, channel int, block_no long, start_sample long, samples array<float>")
 
 
-def overlap_add(chunks: DataFrame, fade: int) -> DataFrame:
-    """Join overlapping processed chunks (rec, channel, chunk, start_sample, samples): weights rise and fall over ``fade`` samples, sums are divided by their weights."""
-    n = F.size("samples")
-    each = chunks.select("rec", "channel", "start_sample", n.alias("n"), F.posexplode("samples").alias("i", "x"))
-    up = (F.col("i") + 1) / F.lit(float(fade + 1))
-    down = (F.col("n") - F.col("i")) / F.lit(float(fade + 1))
-    w = F.least(F.lit(1.0), up, down)
-    return each.groupBy("rec", "channel", (F.col("start_sample") + F.col("i")).alias("sample")).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"))
+def overlap_add(chunks: DataFrame, fade: int, size: int = 65_536) -> DataFrame:
+    """Join overlapping processed chunks (rec, channel, start_sample, samples) to blocks of ``size``: weights rise and fall over ``fade`` samples, sums are divided by their weights."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                x, i = np.asarray(r.samples, dtype=np.float64), np.arange(len(r.samples))
+                w = np.minimum(1.0, np.minimum(i + 1, len(x) - i) / (fade + 1))
+                for no in range(r.start_sample // size, -(-(r.start_sample + len(x)) // size)):
+                    lo, hi = max(0, no * size - r.start_sample), min(len(x), (no + 1) * size - r.start_sample)
+                    yield pd.DataFrame({"rec": [r.rec], "channel": [r.channel], "block_no": [no], "at": [r.start_sample + lo - no * size], "x": [(w * x)[lo:hi]], "w": [w[lo:hi]]})
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = max(r.at + len(r.x) for r in pdf.itertuples())
+        x, w = np.zeros(n), np.zeros(n)
+        for r in pdf.sort_values("at").itertuples():
+            x[r.at : r.at + len(r.x)] += r.x
+            w[r.at : r.at + len(r.x)] += r.w
+        no = int(pdf.block_no.iloc[0])
+        return pd.DataFrame({"rec": pdf.rec.iloc[:1], "channel": pdf.channel.iloc[:1], "block_no": no, "start_sample": no * size, "samples": [(x / np.maximum(w, 1e-12)).astype(np.float32)]})
+
+    pieces = chunks.select("rec", "channel", "start_sample", "samples").mapInPandas(deal, "rec long, channel int, block_no long, at long, x array<double>, w array<double>")
+    return pieces.groupBy("rec", "channel", "block_no").applyInPandas(add_up, BLOCKS)
 
 
 def stripped_spans(levels: DataFrame, frame_sec: float = 0.04, least_rms: float = 0.004, pad: float = 0.06, gap: float = 0.12) -> DataFrame:

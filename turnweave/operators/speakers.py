@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.functions.vectors import dot, l2_normalised, norm, vector_sums
+from turnweave.functions.vectors import dot, l2_normalised, norm, scaled, vector_sums
 from turnweave.settings import OVERLAP
 
 
@@ -16,17 +16,16 @@ def centroids(windows: DataFrame, normalise_rows: bool = False) -> DataFrame:
     """
     rows = windows.where("label >= 0").select("rec", F.col("label").alias("speaker"), "embedding")
     if normalise_rows:
-        n = norm(F.col("embedding")) + 1e-9
-        rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x / n))
+        rows = rows.withColumn("embedding", scaled(F.col("embedding"), norm(F.col("embedding")) + 1e-9))
     sums = vector_sums(rows, ["rec", "speaker"], "embedding", "embedding")
-    return sums.select("rec", "speaker", l2_normalised(F.transform("embedding", lambda x: x / F.col("n"))).alias("embedding"), "n")
+    return sums.select("rec", "speaker", l2_normalised(scaled(F.col("embedding"), F.col("n"))).alias("embedding"), "n")
 
 
 def similarities(windows: DataFrame, cents: DataFrame) -> DataFrame:
     """Every window (rec, id columns, embedding) with every centroid of its recording: + other, sim. There are few speakers to a recording."""
     c = cents.select("rec", F.col("speaker").alias("other"), F.col("embedding").alias("_c"))
-    n = norm(F.col("embedding")) + 1e-9
-    return windows.join(c, "rec").withColumn("sim", dot(F.transform("embedding", lambda x: x / n), F.col("_c"))).drop("_c")
+    unit = windows.withColumn("_u", scaled(F.col("embedding"), norm(F.col("embedding")) + 1e-9))
+    return unit.join(c, "rec").withColumn("sim", dot(F.col("_u"), F.col("_c"))).drop("_c", "_u")
 
 
 def overlap_margins(windows: DataFrame, keys: tuple[str, ...] = ("rec", "win_no")) -> DataFrame:
@@ -45,8 +44,7 @@ def mark_overlaps(windows: DataFrame, margin: float, keys: tuple[str, ...] = ("r
 
 def single_speaker_score(windows: DataFrame) -> DataFrame:
     """rec, score: half the mean cosine of all pairs of windows, from the length of their sum; no pairs are made."""
-    n = norm(F.col("embedding")) + 1e-9
-    rows = windows.select("rec", F.transform("embedding", lambda x: x / n).alias("embedding"))
+    rows = windows.select("rec", scaled(F.col("embedding"), norm(F.col("embedding")) + 1e-9).alias("embedding"))
     own = rows.groupBy("rec").agg(F.sum(dot(F.col("embedding"), F.col("embedding"))).alias("own"))
     sums = vector_sums(rows, ["rec"], "embedding").join(own, "rec")
     pairs = F.greatest(F.lit(1), F.col("n") * F.col("n") - F.col("n"))
@@ -59,8 +57,7 @@ def silhouettes(windows: DataFrame, keys: tuple[str, ...] = ("rec",), cluster: s
     The mean distance from a window to a cluster is 1 minus its product with the cluster's mean, so sums
     for each cluster replace the distances of all pairs.
     """
-    n = norm(F.col("embedding")) + 1e-9
-    rows = windows.select(*keys, F.col(cluster).alias("own"), F.col("win_no").alias("_id"), F.transform("embedding", lambda x: x / n).alias("embedding"))
+    rows = windows.select(*keys, F.col(cluster).alias("own"), F.col("win_no").alias("_id"), scaled(F.col("embedding"), norm(F.col("embedding")) + 1e-9).alias("embedding"))
     sums = vector_sums(rows.drop("_id"), [*keys, "own"], "embedding").select(*keys, F.col("own").alias("other"), F.col("vector"), F.col("n"))
     per = rows.join(sums, list(keys))
     product = dot(F.col("embedding"), F.col("vector"))
@@ -76,12 +73,15 @@ def silhouettes(windows: DataFrame, keys: tuple[str, ...] = ("rec",), cluster: s
 def route_sources(sources: DataFrame, cents: DataFrame, margin: float) -> DataFrame:
     """Two separated sources of a chunk (rec, chunk, source, embedding) to speakers: best, lead and reason.
 
-    reason: ``same`` if both are nearest to one speaker, else ``low`` where the lead over the next speaker is under the margin, else ``ok``.
+    reason: ``short`` for both sources of a chunk where either has no voiceprint, as in chunks under 0.2 s (best and lead are null there); ``same`` if both are nearest to one speaker, else ``low`` where the lead over the next speaker is under the margin, else ``ok``.
     """
-    sims = similarities(sources, cents)
+    silent = sources.groupBy("rec", "chunk").agg(F.max(F.col("embedding").isNull()).alias("_silent"))
+    judged = sources.join(silent, ["rec", "chunk"])
+    short = judged.where("_silent").select("rec", "chunk", "source", F.lit(None).cast("int").alias("best"), F.lit(None).cast("double").alias("lead"), F.lit("short").alias("reason"))
+    sims = similarities(judged.where("not _silent").drop("_silent"), cents)
     order = Window.partitionBy("rec", "chunk", "source").orderBy(F.desc("sim"), "other")
     top = sims.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("sim").over(order)).where("_r = 1")
     top = top.select("rec", "chunk", "source", F.col("other").alias("best"), (F.col("sim") - F.col("_next")).alias("lead"))
     both = Window.partitionBy("rec", "chunk")
     same = (F.count("*").over(both) > 1) & (F.min("best").over(both) == F.max("best").over(both))
-    return top.withColumn("reason", F.when(same, "same").when(F.col("lead") < margin, "low").otherwise("ok"))
+    return top.withColumn("reason", F.when(same, "same").when(F.col("lead") < margin, "low").otherwise("ok")).unionByName(short)

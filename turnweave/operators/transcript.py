@@ -26,8 +26,8 @@ def assign_words(words: DataFrame, segments: DataFrame, bucket: float = 30.0) ->
     ends = ends.withColumn("_end", F.col("_end").cast("struct<_e:double,ns:double,nid:bigint,_spk:int>"))
     asks = lost.select("rec", F.col("_mid").alias("_t"), F.lit(1).alias("_o"), "word_no", F.lit(None).cast("struct<_e:double,ns:double,nid:bigint,_spk:int>").alias("_end"), F.lit(None).cast("struct<_s:double,_sid:bigint,_spk:int>").alias("_start"))
     line = ends.unionByName(starts).unionByName(asks)
-    order = Window.partitionBy("rec").orderBy("_t", "_o")
-    line = line.withColumn("_before", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.min("_start").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    order, back_order = Window.partitionBy("rec").orderBy("_t", "_o"), Window.partitionBy("rec").orderBy(F.desc("_t"), F.desc("_o"))
+    line = line.withColumn("_before", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.min("_start").over(back_order.rowsBetween(Window.unboundedPreceding, -1)))
     near = line.where("word_no is not null")
     back, ahead = F.col("_t") - F.col("_before._e"), F.col("_after._s") - F.col("_t")
     first_is_back = F.coalesce(ahead.isNull() | (back < ahead) | ((back == ahead) & (-F.col("_before.ns") <= F.col("_after._s"))), F.lit(False)) & back.isNotNull()

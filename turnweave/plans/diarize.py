@@ -1,4 +1,8 @@
-"""Who spoke when, from blocks of samples to segments, voiceprints and kill spans: one lazily composed plan for all recordings."""
+"""Who spoke when, from blocks of samples to segments, voiceprints and kill spans: for all recordings at once.
+
+Each step is written as a table that the next ones read. A step names its input several times, so in one lazy plan the
+tree would grow by a factor with every step, and no part of it would be kept.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from turnweave.operators import activity, clustering, frames, gate, intervals, models, signal, speakers, windows
 from turnweave.settings import TARGET_SR, Settings
+from turnweave.sources.scratch import written
 
 #: Frames of 30 ms every 10 ms at 16 kHz.
 FRAME, HOP = 480, 160
@@ -25,7 +30,7 @@ class Result:
 
 def speech(blocks: DataFrame, cfg: Settings) -> DataFrame:
     """Spans of activity (rec, start, end) of mono blocks at 16 kHz."""
-    levels = signal.frame_levels(blocks, FRAME, HOP)
+    levels = written(signal.frame_levels(blocks, FRAME, HOP), "levels")
     gated = activity.energy_gate(levels, cfg.energy_vad_threshold_db)
     found = activity.active_spans(gated, HOP / TARGET_SR, cfg.vad_min_silence_sec, cfg.vad_min_speech_sec)
     squares = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
@@ -53,50 +58,66 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def diarize(blocks: DataFrame, cfg: Settings) -> Result:
-    """Segments by speaker of mono blocks (rec, channel 0, block_no, start_sample, samples) at 16 kHz.
+    """Segments by speaker of mono blocks (rec, channel 0, block_no, start_sample, samples) at 16 kHz (``signal.analysis_copy``); blocks are best a table."""
+    duration = written(blocks.groupBy("rec").agg((F.sum(F.size("samples")) / TARGET_SR).alias("duration")), "durations")
+    spans = written(speech(blocks, cfg).withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start"))), "speech")
+    wins = windows.sliding_windows(spans.join(duration, "rec"), cfg.window_sec, cfg.hop_sec, cfg.min_window_sec, "duration")
+    wins = written(numbered(wins), "windows")
+    backend = models.resolve("embedding", cfg.embedding_backend, "mfcc")
+    prints = written(wins.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"]), "prints")
+    labelled = written(clustering.cluster_windows(prints, cfg.num_speakers, cfg.min_speakers, cfg.max_speakers, cfg.remove_overlap, cfg.overlap_margin), "labelled")
+    voted = written(frames.frame_votes(labelled), "votes")
+    segs = written(frames.canonical_ids(frames.segments(voted, cfg.min_segment_sec)), "segments")
+    over = written(frames.overlap_spans(voted), "overlaps")
+    ids = segs.select("rec", F.col("was").alias("label"), "speaker").distinct()
+    cents = written(speakers.centroids(labelled.join(ids, ["rec", "label"]).withColumn("label", F.col("speaker"))), "centroids")
+    rows = written(segs.withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start"))), "spans")
+    return Result(segs.select("rec", "speaker", "start", "end"), over, cents, labelled, kills(blocks, rows, over, cents, duration, backend, cfg))
 
-    Labelled windows, segments and kills are used several times below and are persisted; lost parts are computed again.
+
+def turn_centroids(blocks: DataFrame, segs: DataFrame, cfg: Settings) -> DataFrame:
+    """Centroids (rec, speaker, embedding, n) of another engine's segments (rec, speaker, start, end): windows over them, as over speech, and their mean voiceprints.
+
+    A speaker without any usable window has none.
     """
     duration = blocks.groupBy("rec").agg((F.sum(F.size("samples")) / TARGET_SR).alias("duration"))
-    spans = speech(blocks, cfg).withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start")))
-    wins = numbered(windows.sliding_windows(spans.join(duration, "rec"), cfg.window_sec, cfg.hop_sec, cfg.min_window_sec, "duration"))
+    spans = segs.withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start", "end", "speaker")))
+    wins = written(numbered(windows.sliding_windows(spans.join(duration, "rec"), cfg.window_sec, cfg.hop_sec, cfg.min_window_sec, "duration")), "windows")
     backend = models.resolve("embedding", cfg.embedding_backend, "mfcc")
-    prints = wins.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"])
-    labelled = clustering.cluster_windows(prints, cfg.num_speakers, cfg.min_speakers, cfg.max_speakers, cfg.remove_overlap, cfg.overlap_margin).persist()
-    voted = frames.frame_votes(labelled)
-    segs = frames.canonical_ids(frames.segments(voted, cfg.min_segment_sec)).persist()
-    over = frames.overlap_spans(voted)
-    ids = segs.select("rec", F.col("was").alias("label"), "speaker").distinct()
-    cents = speakers.centroids(labelled.join(ids, ["rec", "label"]).withColumn("label", F.col("speaker")))
-    rows = segs.withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start")))
-    return Result(segs.select("rec", "speaker", "start", "end"), over, cents, labelled, kills(blocks, rows, over, cents, duration, backend, cfg).persist())
+    own = wins.join(spans.select("rec", "span_id", F.col("speaker").alias("label")), ["rec", "span_id"])
+    return speakers.centroids(own.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"]))
 
 
 def kills(blocks: DataFrame, segs: DataFrame, over: DataFrame, cents: DataFrame, duration: DataFrame, backend: models.Backend, cfg: Settings) -> DataFrame:
     """Spans to silence in each speaker's track; none where the gate is off."""
     if not cfg.crosstalk_gate:
         return intervals.kill_union(segs.where(F.lit(False)))
-    fine = numbered(windows.fine_windows(segs.join(duration, "rec"), cfg.crosstalk_hop, max(cfg.crosstalk_win, 0.9), "duration"))
-    heard = cut(blocks, fine)
+    fine = written(numbered(windows.fine_windows(segs.join(duration, "rec"), cfg.crosstalk_hop, max(cfg.crosstalk_win, 0.9), "duration")), "slices")
     loud = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.size("samples")) >= cfg.crosstalk_min_rms
-    prints = fine.join(models.embed(heard.where(loud), backend), ["rec", "win_no"])
-    found = gate.gate(prints, cents, cfg.crosstalk_keep_margin, cfg.crosstalk_self_floor, cfg.crosstalk_second_factor if cfg.crosstalk_second_speaker else None)
+    prints = written(fine.join(models.embed(cut(blocks, fine).where(loud), backend), ["rec", "win_no"]), "prints")
+    found = written(gate.gate(prints, cents, cfg.crosstalk_keep_margin, cfg.crosstalk_self_floor, cfg.crosstalk_second_factor if cfg.crosstalk_second_speaker else None), "gate")
     gated = gate.gated_spans(found, fine)
     fixed = intervals.deterministic_kills(segs, over, cfg.overlap_dilate_sec, cfg.boundary_guard_sec)
-    return intervals.kill_union(gated, fixed)
+    return written(intervals.kill_union(gated, fixed), "kills")
 
 
 def tracks(blocks: DataFrame, result: Result, sr: int, cfg: Settings) -> DataFrame:
-    """Each speaker's samples: segments less kills, faded, filtered, compressed and limited."""
-    own = result.segments.withColumn("span_id", F.row_number().over(Window.partitionBy("rec", "speaker").orderBy("start")))
+    """Each speaker's samples: segments less kills, faded, filtered, compressed, brought to the target loudness and limited."""
+    own = written(result.segments, "segments").withColumn("span_id", F.row_number().over(Window.partitionBy("rec", "speaker").orderBy("start")))
     per = own.select(F.xxhash64("rec", "speaker").alias("rec"), "span_id", "start", "end")
     cuts = result.kills.select(F.xxhash64("rec", "speaker").alias("rec"), "start", "end")
     names = own.select(F.xxhash64("rec", "speaker").alias("_k"), F.col("rec").alias("_rec"), "speaker").distinct()
     kept = intervals.subtract(per, cuts).withColumnRenamed("rec", "_k").join(names, "_k").select(F.col("_rec").alias("rec"), "speaker", "start", "end")
-    out = signal.masked(blocks, kept, sr, max(1, int(cfg.boundary_fade_ms / 1000 * sr)))
+    out = signal.masked(blocks, written(kept, "kept"), sr, max(1, int(cfg.boundary_fade_ms / 1000 * sr)))
+    keyed = written(out.select(F.xxhash64("rec", "speaker").alias("rec"), "channel", "block_no", "start_sample", "samples"), "masked")
     sections = [*signal.high_pass(sr, cfg.highpass_hz), signal.peaking(sr, cfg.presence_hz, cfg.presence_db, 1.0), signal.high_shelf(sr, min(cfg.air_hz, 0.45 * sr), cfg.air_db)]
-    keyed = out.select(F.xxhash64("rec", "speaker").alias("rec"), "channel", "block_no", "start_sample", "samples")
-    shaped = signal.filter_blocks(keyed, sections)
     ceiling = 10 ** (cfg.ceiling_db / 20)
-    loud = signal.map_blocks(shaped, lambda x: signal.limit(signal.compress(x, sr, cfg.compressor_threshold_db, cfg.compressor_ratio), ceiling))
+    shaped = signal.map_blocks(signal.filter_blocks(keyed, sections), lambda x: signal.compress(x, sr, cfg.compressor_threshold_db, cfg.compressor_ratio))
+    # one gain for a track: to the target loudness, or to the ceiling where it is too quiet to be measured
+    lufs = signal.loudness(signal.hop_squares(signal.filter_blocks(keyed, signal.k_weighting(sr)), sr))
+    peak = keyed.groupBy("rec").agg(F.max(F.array_max(F.transform("samples", F.abs))).alias("peak"))
+    gain = F.coalesce(F.pow(F.lit(10.0), (cfg.target_lufs - F.col("lufs")) / 20), ceiling / (F.col("peak") + 1e-9))
+    gains = peak.join(lufs, "rec", "left").select("rec", gain.alias("gain"))
+    louder = shaped.join(written(gains, "gains"), "rec").withColumn("samples", F.transform("samples", lambda x: (x * F.col("gain")).cast("float")))
+    loud = signal.map_blocks(louder, lambda x: signal.limit(x, ceiling))
     return loud.withColumnRenamed("rec", "_k").join(names, "_k").select(F.col("_rec").alias("rec"), "speaker", "channel", "block_no", "start_sample", "samples")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnweave.operators import activity, clustering, export, frames, gate, intervals, signal, speakers, transcript, windows
 from turnweave.sources import tables
+from turnweave.sources.scratch import written
 from turnweave.streaming import sessions
 
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -450,7 +451,12 @@ def labelled_of(spark, sf_dir):
     words = tables.words(spark, sf_dir)
     segs = words.where("role != 'system'").groupBy("rec", F.col("turn").alias("span_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("speaker")).agg(F.min("start").alias("a"), F.max("end").alias("b"))
     segs = segs.where("b - a > 2").select("rec", "span_id", "speaker", (F.col("a") + 0.9).alias("start"), (F.col("b") - 0.9).alias("end"))
-    return transcript.assign_words(words.select("rec", "word_no", "start", "end", "text"), segs)
+    return transcript.assign_words(words.select("rec", "word_no", "start", "end", "text"), written(segs, "turns"))
+
+
+def cues_of(spark, sf_dir):
+    # cues look at the words twice
+    return transcript.cues(written(labelled_of(spark, sf_dir), "words"))
 
 
 @query(_with(WORDS) + "select rec, word_no, s as start, e as end, text, speaker from labelled")
@@ -460,12 +466,12 @@ def word_speaker(spark, sf_dir):
 
 @query(_with(WORDS, CUES) + "select rec, cue_no, s as start, e as end, speaker, text, n_words from cues")
 def greedy_cues(spark, sf_dir):
-    return transcript.cues(labelled_of(spark, sf_dir))
+    return cues_of(spark, sf_dir)
 
 
 @query(_with(WORDS, CUES, TURNS) + "select rec, turn_no, s as start, e as end, speaker, text from turned")
 def turns(spark, sf_dir):
-    return transcript.turns(transcript.cues(labelled_of(spark, sf_dir)))
+    return transcript.turns(cues_of(spark, sf_dir))
 
 
 def _sub(t: str, mark: str) -> str:
@@ -474,17 +480,17 @@ def _sub(t: str, mark: str) -> str:
 
 @query(_with(WORDS, CUES, "n as (select *, row_number() over (partition by rec order by cue_no)::int as number from cues)") + f"select rec, number, number || chr(10) || {_sub('s', ',')} || ' --> ' || {_sub('e', ',')} || chr(10) || '[' || {LABEL} || '] ' || text || chr(10) as block from n")
 def srt_blocks(spark, sf_dir):
-    return export.srt_blocks(transcript.cues(labelled_of(spark, sf_dir)))
+    return export.srt_blocks(cues_of(spark, sf_dir))
 
 
 @query(_with(WORDS, CUES, "n as (select *, row_number() over (partition by rec order by cue_no)::int as number from cues)") + f"select rec, number, {_sub('s', '.')} || ' --> ' || {_sub('e', '.')} || chr(10) || '<v ' || {LABEL} || '>' || text || chr(10) as block from n")
 def vtt_blocks(spark, sf_dir):
-    return export.vtt_blocks(transcript.cues(labelled_of(spark, sf_dir)))
+    return export.vtt_blocks(cues_of(spark, sf_dir))
 
 
 @query(_with(WORDS, CUES, TURNS) + f"select rec, turn_no as number, '[' || {_hms('s', 2)} || '] ' || {LABEL} || ': ' || text as line from turned")
 def transcript_lines(spark, sf_dir):
-    return export.transcript_lines(transcript.turns(transcript.cues(labelled_of(spark, sf_dir))))
+    return export.transcript_lines(transcript.turns(cues_of(spark, sf_dir)))
 
 
 @query(_with(WORDS) + "select rec, speaker, trim(string_agg(text, '' order by word_no)) as text from labelled where speaker >= 0 group by rec, speaker")

@@ -51,7 +51,7 @@ class Settings:
     presence_db: float = 3.0
     presence_hz: float = 4000.0
     air_db: float = 1.5
-    air_hz: float = 10_000.0
+    air_hz: float = 8_000.0
     compressor_threshold_db: float = -22.0
     compressor_ratio: float = 3.0
     target_lufs: float = -16.0
