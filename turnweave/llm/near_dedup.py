@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import align, wordhash
@@ -151,18 +151,20 @@ def _across(items: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     that members of a bucket whose largest one is the same do not meet in it again. The members of a bucket are dealt over blocks by a hash, and every block meets every other one in a row of its own, so a bucket of
     any size is the work of many tasks. Members with the mark most have meet only the other members.
     """
-    of_root = roots.select(F.xxhash64("node").alias("no"), F.xxhash64("root").alias("root"))
-    member = written(items.join(of_root, "no", "left").withColumn("root", F.coalesce("root", "no")), "members")
+    of_node = nodes.select("no", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").select("no", "n", F.xxhash64(F.coalesce("root", "key")).alias("root"))
+    member = written(items.join(of_node, "no"), "members")
     sizes = member.groupBy("bucket").agg(F.count("*").alias("all"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s and all > 2")
     member = spread_join(member, sizes.select("bucket", "all"), ["bucket"], by=["no"])
-    home = member.groupBy("no").agg(F.max(F.struct("all", "bucket")).alias("x")).select("no", F.col("x.bucket").alias("home"))
-    member = member.join(home, "no").withColumn("mark", F.when(F.col("home") == F.col("bucket"), F.col("root")).otherwise(F.col("home")))
-    member = written(member.join(nodes.select("no", "n", "bins"), "no").select("no", "bucket", "root", "mark", "n", "bins"), "members")
+    # a node is in as many buckets as it has sketches at most
+    home = F.max(F.struct("all", "bucket")).over(Window.partitionBy("no")).getField("bucket")
+    member = member.withColumn("mark", F.when(home == F.col("bucket"), F.col("root")).otherwise(home))
+    member = written(member.select("no", "bucket", "root", "mark", "n"), "members")
     held = member.groupBy("bucket", "mark").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
     held = held.groupBy("bucket").agg(F.sum("m").alias("all"), F.sum("words").alias("words"), F.max(F.struct("m", "mark", "words")).alias("top")).where("all > top.m")
     blocks = lambda m, words: F.greatest(F.ceil(m / BLOCK), F.ceil(words / BLOCK_WORDS), F.lit(1))
     held = held.select("bucket", F.col("top.mark").alias("top"), blocks(F.col("all") - F.col("top.m"), F.col("words") - F.col("top.words")).alias("others"), blocks(F.col("top.m"), F.col("top.words")).alias("tops"))
     own = spread_join(member, held, ["bucket"], by=["no"]).withColumn("is_top", F.col("mark") == F.col("top"))
+    own = own.join(nodes.select("no", "bins"), "no")
     salt = F.xxhash64("no", F.lit(5))
     own = own.withColumn("block", F.when(F.col("is_top"), F.col("others") + F.pmod(salt, F.col("tops"))).otherwise(F.pmod(salt, F.col("others"))))
     last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
