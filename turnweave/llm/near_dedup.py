@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import align, wordhash
@@ -25,8 +25,8 @@ from .graph import components
 K, TAKEN, SKETCHES, LEAST, BINS = 4, 2, 96, 0.8, 256
 #: Words of the k-mers of short texts, the length under which texts have them, and the length from which they have the others; texts of fewer words than LEAST_WORDS have none.
 SHORT_K, SHORT, LONG, LEAST_WORDS = 2, 50, 40, 5
-#: Members of a bucket that are compared with as many others at once, and their words.
-BLOCK, BLOCK_WORDS = 256, 1_000_000
+#: Nodes of a block that are compared with those of another one at once, and their words.
+BLOCK, BLOCK_WORDS = 512, 1_000_000
 
 
 def sketches(hashes: np.ndarray, k: int = K, taken: int = TAKEN, n: int = SKETCHES) -> np.ndarray | None:
@@ -117,76 +117,102 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair of blocks the pairs of members with different marks and roots whose lengths and word histograms allow the similarity."""
+    """Of each pair of blocks the members to be aligned, each with those of the others whose roots differ and whose lengths and word histograms allow the similarity."""
     for batch in batches:
-        a, b, at_ = [], [], []
-        for same, group, members in zip(batch.column("same").to_pylist(), batch.column("group").to_pylist(), batch.column("members"), strict=True):
+        for group, same, members in zip(batch.column("group").to_pylist(), batch.column("same").to_pylist(), batch.column("members"), strict=True):
             own = members.values
             no, left = own.field("no").to_numpy(), own.field("left").to_numpy(zero_copy_only=False)
-            root, mark, n = own.field("root").to_numpy(), own.field("mark").to_numpy(), own.field("n").to_numpy()
+            root, n = own.field("root").to_numpy(), own.field("n").to_numpy()
             i, j = (np.arange(len(no)), np.arange(len(no))) if same else (np.flatnonzero(left), np.flatnonzero(~left))
-            longest = np.maximum(n[i][:, None], n[j][None, :])
-            most = np.floor((1 - LEAST) * longest + 1e-9)
-            ok = (mark[i][:, None] != mark[j][None, :]) & (root[i][:, None] != root[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most)
+            most = np.floor((1 - LEAST) * np.maximum(n[i][:, None], n[j][None, :]) + 1e-9)
+            ok = (root[i][:, None] != root[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most)
             if same:
                 ok = np.triu(ok, 1)
             p, q = np.nonzero(ok)
-            if not len(p):
-                continue
             x = np.frombuffer(b"".join(own.field("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+            near = np.zeros(len(p), dtype=bool)
             for at in range(0, len(p), 4096):
                 u, v = p[at : at + 4096], q[at : at + 4096]
-                near = np.abs(x[i[u]] - x[j[v]]).sum(axis=1, dtype=np.int64) <= 2 * most[u, v]
-                c, d = no[i[u[near]]], no[j[v[near]]]
-                a.append(np.maximum(c, d))
-                b.append(np.minimum(c, d))
-                at_.append(np.full(len(c), group))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b, at_)], ["a_no", "b_no", "group"])
+                near[at : at + 4096] = np.abs(x[i[u]] - x[j[v]]).sum(axis=1, dtype=np.int64) <= 2 * most[u, v]
+            a, b = i[p[near]], j[q[near]]
+            partners = [no[part] for part in np.split(b, np.searchsorted(a, np.arange(1, len(no))))]
+            met = np.union1d(a, b)
+            if len(met):
+                columns = [pa.array(np.full(len(met), group)), pa.array(no[met]), pa.array(root[met]), pa.array([partners[k] for k in met], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "no", "root", "partners"])
 
 
 def _across(items: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs (a_no, b_no, group) of a bucket that are not connected yet and whose lengths and histograms allow the similarity.
+    """What is left to align in buckets that hold several components: rows (group, no, root, partners), a node in a group with its partners there.
 
-    Documents with one long template share many buckets. A node's pairs within its largest mixed bucket are made there and nowhere else, so
-    that members of a bucket whose largest one is the same do not meet in it again. The members of a bucket are dealt over blocks by a hash, and every block meets every other one in a row of its own, so a bucket of
-    any size is the work of many tasks. Members with the mark most have meet only the other members.
+    Documents with one long template share many buckets, most of them with the same partners. So each node belongs to the largest of its buckets, its home.
+    Two homes (and each home with itself) meet once, however many buckets have nodes of both: all their nodes where these buckets hold most of their pairs anyway, else only
+    those in such a bucket. The nodes that meet are dealt over blocks by a hash, and two blocks are a row of their own, so homes of any size are the work of many tasks.
     """
     of_node = nodes.select("no", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").select("no", "n", F.xxhash64(F.coalesce("root", "key")).alias("root"))
-    member = written(items.join(of_node, "no"), "members")
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("all"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s and all > 2")
-    member = spread_join(member, sizes.select("bucket", "all"), ["bucket"], by=["no"])
-    # a node is in as many buckets as it has sketches at most
-    home = F.max(F.struct("all", "bucket")).over(Window.partitionBy("no")).getField("bucket")
-    member = member.withColumn("mark", F.when(home == F.col("bucket"), F.col("root")).otherwise(home))
-    member = written(member.select("no", "bucket", "root", "mark", "n"), "members")
-    held = member.groupBy("bucket", "mark").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
-    held = held.groupBy("bucket").agg(F.sum("m").alias("all"), F.sum("words").alias("words"), F.max(F.struct("m", "mark", "words")).alias("top")).where("all > top.m")
-    blocks = lambda m, words: F.greatest(F.ceil(m / BLOCK), F.ceil(words / BLOCK_WORDS), F.lit(1))
-    held = held.select("bucket", F.col("top.mark").alias("top"), blocks(F.col("all") - F.col("top.m"), F.col("words") - F.col("top.words")).alias("others"), blocks(F.col("top.m"), F.col("top.words")).alias("tops"))
-    own = spread_join(member, held, ["bucket"], by=["no"]).withColumn("is_top", F.col("mark") == F.col("top"))
-    own = own.join(nodes.select("no", "bins"), "no")
-    salt = F.xxhash64("no", F.lit(5))
-    own = own.withColumn("block", F.when(F.col("is_top"), F.col("others") + F.pmod(salt, F.col("tops"))).otherwise(F.pmod(salt, F.col("others"))))
-    last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    own = own.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("no", "root", "mark", "n", "bins", (F.col("block") <= F.col("other")).alias("left")).alias("x"))
-    met = own.groupBy("bucket", "lo", "hi").agg(F.collect_list("x").alias("members")).where("size(members) > 1")
-    met = met.select((F.col("lo") == F.col("hi")).alias("same"), F.xxhash64("bucket", "lo", "hi").alias("group"), "members")
-    return met.mapInArrow(_block_batches, "a_no long, b_no long, group long").groupBy("a_no", "b_no").agg(F.min("group").alias("group"))
-
-
-def _verified_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """As ``_verified`` for written pairs (a, b, group): a group's pairs come from two blocks, so each of its texts is sent there once, not once for each pair."""
-    wanted = pairs.select("group", F.col("a").alias("key")).unionByName(pairs.select("group", F.col("b").alias("key"))).distinct()
-    wanted = spread_join(written(wanted, "wanted"), texts, ["key"], by=["group"])
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        text = dict(zip(right.column("key").to_pylist(), right.column("text").to_pylist(), strict=True))
-        known = align.Texts(LEAST, 1 << 40)
-        ok = [known.similar(text[a].encode(), text[b].encode()) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
-        return left.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.groupBy("group").cogroup(wanted.groupBy("group")).applyInArrow(verify, "a binary, b binary")
+    of_node = written(of_node, "rooted")
+    sizes = items.join(of_node.select("no", "root"), "no").groupBy("bucket").agg(F.count("*").alias("all"), F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = written(sizes.where("r != s and all > 2").select("bucket", "all"), "mixed")
+    member = written(spread_join(items, mixed, ["bucket"], by=["no"]), "members")
+    home = written(member.groupBy("no").agg(F.max(F.struct("all", "bucket")).getField("bucket").alias("home")), "homes")
+    member = written(member.select("bucket", "no").join(home, "no"), "members")
+    # how many of a home's nodes are in each bucket, and which homes have buckets in common
+    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
+    held = written(member.groupBy("bucket", "home").agg(F.count("*").alias("m")).join(sizes, "home"), "held")
+    low, high = (held.select("bucket", F.col("home").alias(end), F.col("m").alias(f"{end}_m"), F.col("size").alias(f"{end}_size")) for end in ("lo", "hi"))
+    common = written(spread_join(low, high, ["bucket"], by=["lo"]).where("lo <= hi"), "common")
+    met = common.groupBy("lo", "hi").agg((F.sum(F.col("lo_m") * F.col("hi_m")) >= F.first(F.col("lo_size") * F.col("hi_size"))).alias("dense"))
+    met = written(met.withColumn("dense", F.col("dense") | (F.col("lo") == F.col("hi"))), "met")
+    end = F.explode(F.array_distinct(F.array("lo", "hi"))).alias("home")
+    whole = spread_join(home, met.where("dense").select("lo", "hi", end), ["home"], by=["no"])
+    sparse = common.join(met.where("not dense"), ["lo", "hi"]).select("bucket", "lo", "hi", end)
+    sparse = spread_join(member, sparse, ["bucket", "home"], by=["no"])
+    own = whole.select("lo", "hi", "home", "no").unionByName(sparse.select("lo", "hi", "home", "no").distinct())
+    own = written(own.join(of_node, "no"), "own")
+    is_low = F.col("home") == F.col("lo")
+    blocks = lambda own: F.greatest(F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(F.sum(F.when(own, F.col("n"))) / BLOCK_WORDS), F.lit(1))
+    parts = own.groupBy("lo", "hi").agg(blocks(is_low).alias("lo_parts"), blocks(F.col("home") == F.col("hi")).alias("hi_parts"))
+    own = spread_join(own, parts, ["lo", "hi"], by=["no"]).join(nodes.select("no", "bins").dropDuplicates(["no"]), "no")
+    same = F.col("lo") == F.col("hi")
+    own = own.withColumn("part", F.pmod(F.xxhash64("no", F.lit(5)), F.when(is_low, F.col("lo_parts")).otherwise(F.col("hi_parts"))))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_low, F.col("hi_parts")).otherwise(F.col("lo_parts")) - 1)))
+    first = F.when(same, F.least("part", "other")).when(is_low, F.col("part")).otherwise(F.col("other"))
+    second = F.when(same, F.greatest("part", "other")).when(is_low, F.col("other")).otherwise(F.col("part"))
+    left = F.when(same, F.col("part") <= F.col("other")).otherwise(is_low)
+    own = own.select("lo", "hi", first.alias("x"), second.alias("y"), F.struct("no", "root", "n", "bins", left.alias("left")).alias("member"))
+    own = own.groupBy("lo", "hi", "x", "y").agg(F.collect_list("member").alias("members")).where("size(members) > 1")
+    own = own.select(F.xxhash64("lo", "hi", "x", "y").alias("group"), ((F.col("lo") == F.col("hi")) & (F.col("x") == F.col("y"))).alias("same"), "members")
+    return own.mapInArrow(_block_batches, "group long, no long, root long, partners array<long>")
+
+
+def _links(found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) that connect the nodes of each group of the written rows of ``_across``: a pair that earlier links of its group connect is not aligned."""
+    keyed = written(found.join(nodes.select("no", "key"), "no"), "found")
+    keyed = spread_join(keyed, texts, ["key"], by=["group"])
+
+    def verify(group: pa.Table) -> pa.Table:
+        no, root, key, partners = (group.column(c).to_pylist() for c in ("no", "root", "key", "partners"))
+        text = [x.encode() for x in group.column("text").to_pylist()]
+        at: dict[int, list[int]] = {}
+        for i, x in enumerate(no):
+            at.setdefault(x, []).append(i)
+        above = {x: x for x in root}
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        known, links = align.Texts(LEAST, 1 << 40), set()
+        for i, others in enumerate(partners):
+            for j in (j for x in others for j in at[x]):
+                p, q = top(root[i]), top(root[j])
+                if p != q and known.similar(text[i], text[j]):
+                    above[p] = q
+                    links.add((key[i], key[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return keyed.select("group", "no", "root", "partners", "key", "text").groupBy("group").applyInArrow(verify, "a binary, b binary")
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +237,7 @@ def classes(docs: DataFrame) -> DataFrame:
     there on. In each bucket every node is aligned with the least one, unless they are connected already. A node's first
     comparison is with the least leader of all its buckets, which joins most copies, so a group of n near copies takes
     about n comparisons, not one for each pair. In buckets that hold several components after that, all pairs
-    of nodes in different components are compared by length and histogram, and aligned where these allow it.
+    of nodes in different components are compared by length and histogram, and aligned where these allow it and no link found there before connects them.
 
     So any two alike texts that agree in a sketch come together. Nearly all do; the README has the measured recall by similarity. Documents that share a sketch without being alike, such as many with
     one long template, cost a comparison of lengths and histograms for each pair.
@@ -239,14 +265,8 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(_verified(first, texts))
     pairs = written(_apart(near.join(first, ["a", "b"], "left_anti"), roots), "pairs")
     roots = components(_verified(pairs, texts), roots)
-    # what is left: all pairs of a bucket across its components that were not aligned yet
-    rest = _across(items, roots, nodes)
-    for end in ("a", "b"):
-        rest = rest.join(nodes.select(F.col("no").alias(f"{end}_no"), F.col("key").alias(end)), f"{end}_no")
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "group")
-    for done in (first, pairs):
-        rest = rest.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    roots = components(_verified_blocks(written(rest, "pairs"), texts), roots)
+    # what is left: all pairs of a bucket across its components
+    roots = components(_links(written(_across(items, roots, nodes), "across"), nodes, texts), roots)
     member = nodes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left")
     member = written(member.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "members")
     named = member.groupBy("root").agg(F.min("doc_id").alias("class_id"))
