@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, quality, toxicity, warc
-from .common import table
+from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, quality, tokens, toxicity, warc
+from .common import scratch_path, table
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that is empty at first: every distinct text is encoded once."""
+    return tokens.counts(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_fair_queue_mix": op2_fair_queue_mix,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_minhash_containment": op8_minhash_containment,
     "op9_noisy_channel": op9_noisy_channel,
     "op10_warc_index": op10_warc_index,
+    "op12_digest_cache": op12_digest_cache,
 }
 
 ORACLE_SQL: dict[str, str] = {
