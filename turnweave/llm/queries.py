@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, quality, tokens, toxicity, warc
+from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, prefixes, quality, tokens, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -65,6 +65,11 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of its group's first."""
+    return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, through a cache that is empty at first: every distinct text is encoded once."""
     return tokens.counts(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"))
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_minhash_containment": op8_minhash_containment,
     "op9_noisy_channel": op9_noisy_channel,
     "op10_warc_index": op10_warc_index,
+    "op11_prefix_rollup": op11_prefix_rollup,
     "op12_digest_cache": op12_digest_cache,
 }
 
