@@ -175,5 +175,35 @@ select page_id, payload_bytes, p.payload_digest,
        case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
        case when response <> page_id then response end as refers_to
 from payloads p left join first f on p.payload_digest = f.payload_digest
+""",
+    "op11_prefix_rollup": r"""
+with recursive bits as (
+  select i, 0 as k, i::bigint as v from range(256) r(i)
+  union all
+  select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) as tbl from bits where k = 8),
+said as (
+  select conv_id, turn, unhex(md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:24] || lpad(hex(strlen(coalesce(text, ''))), 8, '0')) as id, strlen(coalesce(text, ''))::bigint as bytes
+  from conversations where conv_id is not null),
+own as (select conv_id, list(id order by turn nulls first, id) as ids, list(bytes order by turn nulls first, id) as sizes from said group by conv_id),
+counted as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)),
+                            lambda c, b: xor(tbl[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 9 as h
+  from own, crc),
+made as (
+  select c.conv_id, coalesce(b.ids[1:c.h], []) || c.ids[c.h + 1:] as ids, coalesce(b.sizes[1:c.h], []) || c.sizes[c.h + 1:] as sizes
+  from counted c left join own b on b.conv_id = c.conv_id - c.conv_id % 5),
+member as (select conv_id as c, d, md5(array_to_string(list_transform(ids[1:d], lambda x: hex(x)), ',')) as k, case when d > 0 then sizes[d] else 0 end as bytes, d = len(ids) as last from made, unnest(range(0, len(ids) + 1)) t(d)),
+node as (
+  select d, k, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * max(bytes) as w,
+         sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (last), '')) as ends_sha256
+  from member group by d, k),
+placed as (select m.c, n.* from member m join node n using (d, k)),
+linked as (select n.*, p.conv_id as parent from node n left join placed p on p.c = n.conv_id and p.d = n.d - 1),
+kids as (select parent as conv_id, d - 1 as d, count(*) as n_children from linked where d > 0 group by all),
+full_ as (select l.*, coalesce(n_children, 0) as n_children from linked l left join kids using (conv_id, d)),
+below as (select p.conv_id, p.d, sum(f.w) as saved, count(*) filter (f.n_children = 0) as n_leaves from full_ f join placed p on p.c = f.conv_id and p.d <= f.d group by p.conv_id, p.d)
+select conv_id, d as depth, parent as parent_conv_id, n_convs, n_children, n_leaves, saved::bigint as saved_tokens, ends_sha256
+from full_ join below using (conv_id, d)
 """,
 }
