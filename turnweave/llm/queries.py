@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, prefixes, quality, tokens, toxicity, warc
+from . import ann, chat, decontam, mixing, near_dedup, phrases, pii, prefixes, quality, spelling, tokens, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -75,6 +75,11 @@ def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"))
 
 
+def op13_spelling_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents and the commoner spellings one edit away."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_fair_queue_mix": op2_fair_queue_mix,
@@ -88,6 +93,7 @@ QUERIES = {
     "op10_warc_index": op10_warc_index,
     "op11_prefix_rollup": op11_prefix_rollup,
     "op12_digest_cache": op12_digest_cache,
+    "op13_spelling_trees": op13_spelling_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
