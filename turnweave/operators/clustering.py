@@ -7,61 +7,49 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.operators import linkage
 from turnweave.operators.speakers import mark_overlaps, silhouettes, single_speaker_score
+from turnweave.sources.scratch import written
 
-#: A recording's distance matrix is held in one task; 12,000 windows are 2.5 hours and 1.2 GB. More raise an error.
-MOST_WINDOWS = 12_000
+#: Windows whose distances are held in one task (200 MB); longer recordings are clustered in rounds by many.
+MOST_WINDOWS = 5_000
 
 
 def complete_linkage(x: np.ndarray, ks: list[int]) -> dict[int, np.ndarray]:
     """Labels of complete-linkage clusterings by cosine distance for each k, numbered by first row. Of equal
     distances the pair with the first rows merges first."""
     n = len(x)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1.0 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    of = np.arange(n)
-    near, far = d.argmin(axis=1), d.min(axis=1)
-    out = {}
-    live = n
-    while True:
-        if live in ks:
-            out[live] = np.unique(of, return_inverse=True)[1]
-        if live <= min(ks, default=1) or live == 1:
-            break
-        a = int(far.argmin())
-        b = int(near[a])
-        a, b = min(a, b), max(a, b)
-        of[of == b] = a
-        d[a] = d[:, a] = np.maximum(d[a], d[b])
-        d[b] = d[:, b] = np.inf
-        d[a, a] = np.inf
-        far[b] = np.inf
-        for i in np.flatnonzero((near == a) | (near == b) | (np.arange(n) == a)):
-            if np.isfinite(d[i]).any():
-                near[i] = d[i].argmin()
-                far[i] = d[i, near[i]]
-            else:
-                far[i] = np.inf
-        live -= 1
+    unit = linkage.unit_rows(x)
+    done = linkage.merge_matrix(linkage.cosine_distances(unit, unit), max(1, min(ks, default=1)))
+    of, out = np.arange(n), {}
+    for i in range(len(done) + 1):
+        if n - i in ks:
+            out[n - i] = np.unique(of, return_inverse=True)[1]
+        if i < len(done):
+            of[of == done[i][2]] = done[i][1]
     return out
 
 
 def agglomerative(windows: DataFrame, ks: list[int], limit: int = MOST_WINDOWS) -> DataFrame:
-    """rec, k, win_no, label for every k up to the recording's number of windows (rec, win_no, embedding).
+    """rec, k, win_no, label for every k up to the recording's number of windows (rec, win_no, embedding); win_no is unique in a recording.
 
-    A recording is one group: its clustering is sequential. Recordings run in parallel.
+    A recording of up to ``limit`` windows is one group, with its distance matrix; longer ones are merged in rounds (``linkage``), with the same labels.
     """
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"recording {pdf.rec.iloc[0]} has {len(pdf)} windows; at most {limit} are clustered at once")
         pdf = pdf.sort_values("win_no")
         n = len(pdf)
         labels = complete_linkage(np.stack(pdf.embedding.to_list()), sorted({max(1, min(k, n)) for k in ks}))
         return pd.concat([pd.DataFrame({"rec": pdf.rec, "k": k, "win_no": pdf.win_no, "label": v}) for k, v in labels.items()])
 
-    return windows.select("rec", "win_no", "embedding").groupBy("rec").applyInPandas(cluster, "rec long, k int, win_no long, label int")
+    rows = windows.select("rec", "win_no", "embedding")
+    long = rows.groupBy("rec").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("rec")
+    grouped = lambda df: df.groupBy("rec").applyInPandas(cluster, "rec long, k int, win_no long, label int")
+    if long.isEmpty():
+        return grouped(rows)
+    long = written(long, "long")
+    many = rows.join(long, "rec", "left_semi")
+    return grouped(rows.join(long, "rec", "left_anti")).unionByName(linkage.cut(many, linkage.merges(many, limit), ks))
 
 
 def choose_speakers(windows: DataFrame, low: int, high: int) -> DataFrame:

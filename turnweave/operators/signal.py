@@ -200,25 +200,6 @@ def limit(x: np.ndarray, ceiling: float) -> np.ndarray:
     return np.tanh(x / ceiling) * ceiling
 
 
-def spectral_gate(x: np.ndarray, strength: float, size: int = 1024, overlap: int = 768) -> np.ndarray:
-    """Attenuate bins near their 10th percentile over time: Hann STFT, gain clip((mag - 1.5 s noise) / mag, 0, 1), overlap-add."""
-    hop = size - overlap
-    if len(x) < size:
-        return x
-    w = np.hanning(size + 1)[:-1]
-    padded = np.pad(x, (size // 2, size // 2 + (-len(x)) % hop))
-    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * w
-    spec = np.fft.rfft(frames, axis=1)
-    mag = np.abs(spec)
-    gain = np.clip((mag - 1.5 * strength * np.percentile(mag, 10, axis=0)) / (mag + 1e-9), 0, 1)
-    back = np.fft.irfft(spec * gain, n=size, axis=1) * w
-    out, weight = np.zeros(len(padded)), np.zeros(len(padded))
-    for i in range(len(back)):
-        out[i * hop : i * hop + size] += back[i]
-        weight[i * hop : i * hop + size] += w * w
-    return (out / np.maximum(weight, 1e-8))[size // 2 : size // 2 + len(x)]
-
-
 def loudness(squares: DataFrame, hop_sec: float = 0.1) -> DataFrame:
     """Integrated loudness (rec, lufs) of K-weighted mean squares (rec, hop, ms) by two gates: -70 LUFS, then 10 LU under the mean of what is left.
 
@@ -286,31 +267,6 @@ def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame
     return joined.mapInPandas(run, "rec long, speaker int, channel int, block_no long, start_sample long, samples array<float>")
 
 
-def overlap_add(chunks: DataFrame, fade: int, size: int = 65_536) -> DataFrame:
-    """Join overlapping processed chunks (rec, channel, start_sample, samples) to blocks of ``size``: weights rise and fall over ``fade`` samples, sums are divided by their weights."""
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                x, i = np.asarray(r.samples, dtype=np.float64), np.arange(len(r.samples))
-                w = np.minimum(1.0, np.minimum(i + 1, len(x) - i) / (fade + 1))
-                for no in range(r.start_sample // size, -(-(r.start_sample + len(x)) // size)):
-                    lo, hi = max(0, no * size - r.start_sample), min(len(x), (no + 1) * size - r.start_sample)
-                    yield pd.DataFrame({"rec": [r.rec], "channel": [r.channel], "block_no": [no], "at": [r.start_sample + lo - no * size], "x": [(w * x)[lo:hi]], "w": [w[lo:hi]]})
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = max(r.at + len(r.x) for r in pdf.itertuples())
-        x, w = np.zeros(n), np.zeros(n)
-        for r in pdf.sort_values("at").itertuples():
-            x[r.at : r.at + len(r.x)] += r.x
-            w[r.at : r.at + len(r.x)] += r.w
-        no = int(pdf.block_no.iloc[0])
-        return pd.DataFrame({"rec": pdf.rec.iloc[:1], "channel": pdf.channel.iloc[:1], "block_no": no, "start_sample": no * size, "samples": [(x / np.maximum(w, 1e-12)).astype(np.float32)]})
-
-    pieces = chunks.select("rec", "channel", "start_sample", "samples").mapInPandas(deal, "rec long, channel int, block_no long, at long, x array<double>, w array<double>")
-    return pieces.groupBy("rec", "channel", "block_no").applyInPandas(add_up, BLOCKS)
-
-
 def stripped_spans(levels: DataFrame, frame_sec: float = 0.04, least_rms: float = 0.004, pad: float = 0.06, gap: float = 0.12) -> DataFrame:
     """Where a track (rec, frame, rms) is not silent: runs of loud frames, padded, merged."""
     from turnweave.operators.frames import boolean_runs
