@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -80,6 +81,20 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return left.withColumn("_deal", deal).join(right.withColumn("_deal", copies), [*on, "_deal"], how).drop("_deal")
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the used ones under names that no operator uses, and what gives them their names back (columns added after them stay)."""
+    names = docs.columns
+    back = lambda out: out.toDF(*names, *out.columns[len(names) :])
+    return docs.toDF(*(c if c in used else f"caller_{i}" for i, c in enumerate(names))), back
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as keep it apart from docs' columns."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes that stand for a text (md5); null for null."""
     return F.unhex(F.md5(F.encode(text, "UTF-8")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import as_bytes, slices, spread_join, text_key, written
+from .common import as_bytes, set_aside, slices, spread_join, text_key, written
 
 K, LEAST, MINIMA, SMALLEST = 5, 0.8, 64, 4
 #: The bitmap has 2 ** PLACES bits (8 MB), two for each code; rows to remove that are sent to all tasks at most.
@@ -190,9 +190,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = 3) -> DataFr
     An item of one or two words occurs in documents that know nothing of the test. What is removed is little as a rule, so the
     rows stay where they are; where it is more than two million texts, rows meet them in a shuffle by doc_id and text.
     """
+    docs, back = set_aside(docs, "doc_id", "text")
     words = F.size(F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[!-/:-@\[-`{-~]", ""), r"[\x20\x09-\x0D]+"), ""))
     found = _pairs(docs, benchmark.where("text is not null").where(words >= least_words))
     dirty = written(found.select(F.col("doc_id").alias("_dirty_id"), F.col("key").alias("_dirty_key")).distinct(), "dirty")
     few = dirty.count() <= FEW
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dirty_id")) & (text_key(F.col("text")) == F.col("_dirty_key"))
-    return docs.join(F.broadcast(dirty) if few else dirty, same, "left_anti")
+    return back(docs.join(F.broadcast(dirty) if few else dirty, same, "left_anti"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import align, wordhash
-from .common import as_bytes, heavy, slices, spread_join, text_key, written
+from .common import as_bytes, heavy, set_aside, slices, spread_join, text_key, written
 from .graph import components
 
 K, TAKEN, SKETCHES, LEAST, BINS = 4, 2, 96, 0.8, 256
@@ -293,10 +293,11 @@ def kept(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class: the one with the class's least doc_id.
 
     All columns stay. Of rows that share that doc_id and text, one stays; null texts stay. Of different texts of a class that share
-    its least doc_id, that with the least md5 stays.
+    its least doc_id, that with the least md5 stays. Columns may have any names.
     """
+    docs, back = set_aside(docs, "doc_id", "text")
     found = classes(docs).where("key is not null and doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "class_key")
     first = found.groupBy("class_key").agg(F.min("_key").alias("_key"), F.min("_id").alias("_id")).drop("class_key")
     keyed = docs.withColumn("_text_key", text_key(F.col("text")))
     chosen = keyed.join(first, F.col("_text_key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return chosen.drop("_text_key").unionByName(docs.where("text is null"))
+    return back(chosen.drop("_text_key").unionByName(docs.where("text is null")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, text_key, written
+from .common import free_name, set_aside, spread_join, text_key, written
 
 #: Titles by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н", "Κύριος", "κύριος")
@@ -47,6 +47,9 @@ ENDINGS = {
 #: Capital letters that initials are made of, by script.
 INITIALS = {"latin": "ABCDEFGHJKLMNOPRSTVW", "cyrillic": "АБВГДЕЗИКЛМНОПРСТФ", "greek": "ΑΒΓΔΕΖΗΘΚΛΜΝΠΡΣΤΦΧ"}
 
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
 #: A capitalised word of two letters at least, without a possessive 's.
 _NAME = r"(?=\p{Lu}[\p{L}'’-])\p{Lu}\p{L}*(?:['’-]\p{L}{2,})*"
 _PART = rf"(?:{_NAME}|\p{{Lu}}\.)"
@@ -62,7 +65,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\d.])(?:\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE + ANYONE)})\b\.? {_PART}(?: {_PART}){{0,3}}",
+    "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE + ANYONE)})\b\.? {_PART}(?: {_PART})*",
 }
 PATTERN = "|".join(PATTERNS.values())
 
@@ -213,7 +216,7 @@ def _parts(mentions: DataFrame) -> DataFrame:
     kept = (
         F.when(F.col("kind") == "name", title)
         .when(F.col("kind") == "secret", F.regexp_extract(mention, r'^.*?[=:]\s*"?', 0))
-        .when(F.col("kind") == "phone", F.regexp_extract(mention, r"^\+\d{1,3}(?=[ .(-])", 0))
+        .when(F.col("kind") == "phone", F.regexp_extract(mention, rf"^\+(?:{COUNTRY})", 0))
         .otherwise("")
     )
     rest = F.expr("substring(mention, length(kept) + 1)")
@@ -230,7 +233,19 @@ def _parts(mentions: DataFrame) -> DataFrame:
         return F.struct(i.alias("place"), named.alias("kind"), w.alias("thing"))
 
     other = F.array(F.struct(F.lit(0).alias("place"), F.col("kind"), F.lower(plain).alias("thing")))
-    return rows.select("mention", "kept", "rest", F.explode(F.when(F.col("kind") == "name", F.transform(words, of_name)).otherwise(other)).alias("x")).select("mention", "kept", "rest", "x.*")
+    parts = rows.select("mention", "kept", "rest", F.explode(F.when(F.col("kind") == "name", F.transform(words, of_name)).otherwise(other)).alias("x")).select("mention", "kept", "rest", "x.*")
+    return _one_gender(written(parts, "parts"))
+
+
+def _one_gender(parts: DataFrame) -> DataFrame:
+    """parts in which a given name is one thing whatever its title: of the gender that its titles tell, of any if they tell none or both."""
+    told = lambda g: F.max(F.when(F.col("kind").startswith(f"given_{g}_"), 1).otherwise(0)) == 1
+    script = F.regexp_extract("kind", "[a-z]+$", 0)
+    given = parts.where(F.col("kind").startswith("given_")).groupBy("thing", script.alias("script")).agg(told("male").alias("male"), told("female").alias("female"))
+    gender = F.when(F.col("male") & ~F.col("female"), "male").when(F.col("female") & ~F.col("male"), "female").otherwise("any")
+    given = given.select("thing", F.concat(F.lit("given_"), gender, F.lit("_"), "script").alias("of"), F.col("script").alias("in_script"))
+    joined = spread_join(parts.withColumn("in_script", F.when(F.col("kind").startswith("given_"), script)), given, ["thing", "in_script"], "left", ["mention"])
+    return joined.select("mention", "kept", "rest", "place", F.coalesce("of", "kind").alias("kind"), "thing")
 
 
 def _laid_out(template: Column, characters: Column) -> Column:
@@ -266,7 +281,7 @@ def replacements(mentions: DataFrame, key: str) -> DataFrame:
     is_name = F.col("kind").startswith("given_") | F.col("kind").startswith("family_")
     grown = (F.col("kind") == "email") & (F.length("surrogate") > F.length("rest"))
     new = F.when(is_name | initial | grown | (F.col("kind") == "ip"), F.col("surrogate")).otherwise(_laid_out(F.col("rest"), F.col("surrogate")))
-    followed = F.when(is_name & (F.length("thing") > 2), F.col("thing"))
+    followed = F.when(is_name, F.col("thing"))
     own = joined.select("mention", "kept", F.struct("place", new.alias("new"), followed.alias("thing")).alias("x"))
     whole = own.groupBy("mention", "kept").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     names = F.transform(F.filter("xs", lambda x: x.thing.isNotNull()), lambda x: F.struct(x.thing.alias("thing"), x.new.alias("new")))
@@ -279,12 +294,15 @@ def _woven(gaps: Column, between: Column) -> Column:
 
 
 def surrogates(docs: DataFrame, key: str = "surrogate key", column: str = "text") -> DataFrame:
-    """docs with every mention in ``column`` replaced, and n_replaced, the number of mentions; all other columns stay.
+    """docs with every mention in ``column`` replaced, and n_replaced, the number of mentions, as the last column (``free_name``: n_replaced_ beside
+    a column of that name); all other columns stay, whatever their names.
 
     Null and empty texts stay, with 0. Texts without a mention are not shuffled; of the others each distinct text is looked up
     once, and neither a mention that very many texts have nor a text of very many rows comes together in one task. Repeated rows get equal texts. The pattern reads whole texts. ``key`` is a secret of the caller:
     without it surrogates cannot be traced back, with it reruns agree.
     """
+    number = free_name(docs, "n_replaced")
+    docs, back = set_aside(docs, column)
     text = F.col(column)
     has = F.coalesce(text.rlike(MAY_HAVE) & text.rlike(PATTERN), F.lit(False))
     untouched = docs.where(~has).withColumn("n_replaced", F.lit(0).cast("long"))
@@ -307,4 +325,5 @@ def surrogates(docs: DataFrame, key: str = "surrogate key", column: str = "text"
     followed = F.when(F.col("_names").isNull(), gaps).otherwise(F.transform(gaps, follow))
     filled = _woven(followed, F.transform("_mentions", lambda m: F.element_at("_new", m)))
     joined = joined.withColumn("n_replaced", F.size("_mentions").cast("long")).withColumn(column, filled)
-    return untouched.unionByName(joined.drop("_key", "_row", "_mentions", "_new", "_names"))
+    out = untouched.unionByName(joined.drop("_key", "_row", "_mentions", "_new", "_names"))
+    return back(out.withColumnRenamed("n_replaced", number))

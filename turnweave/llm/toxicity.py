@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import held_out, slices, written
 
 #: At most this many labelled rows, those with the least hashes of doc_id, and this many terms, those of most weight, are learned.
-ROWS, TERMS, THRESHOLD, LONGEST = 30_000, 20_000, 0.3, 24
+ROWS, TERMS, THRESHOLD = 30_000, 20_000, 0.3
+#: Tokens up to this length are remembered; words inside a spaced run are read from each of its letters on as far as this, from its first letter on whole.
+REMEMBERED, SPAN = 96, 500
 #: Kinds of trigrams, the most common ones, that the letter model holds at most; all words of all documents count in them.
 GRAMS = 500_000
 #: A term counts if at least three toxic rows and this share of them have it: less can be one text with its copies.
@@ -155,7 +157,7 @@ class Restorer:
             word = decode(got, self.letters) if suspicious(got) else got
             if len(self.known) > 100_000:
                 self.known.clear()
-            if len(got) <= 4 * LONGEST:
+            if len(got) <= REMEMBERED:
                 self.known[got] = word
         return word
 
@@ -171,11 +173,11 @@ class Restorer:
             for w in word.split() if " " in word else (word,):
                 out[w] = out.get(w, 0) + n
         for m in _SINGLES.finditer(bytes([len(t) == 1 or len(t) == 2 and not t.isalpha() for t in tokens])):
-            run = "".join([t[0] for t in tokens[m.start() : m.end()]])
+            run = "".join([t[0] + t[1:].strip(SEPARATORS) for t in tokens[m.start() : m.end()]])
             # breaks are a guess of the letter model, so the run is also read as one word, from each of its letters on
             whole = decode(run, self.letters)
             parts = whole.split()
-            found = set(decode(run, self.letters, apart=True).split()) | {p[i : i + LONGEST] for p in parts for i in range(max(1, len(p) - 2))}
+            found = set(decode(run, self.letters, apart=True).split()) | set(parts) | {p[i : i + SPAN] for p in parts for i in range(max(1, len(p) - 2))}
             for w in found:
                 out[w] = out.get(w, 0) + 1
         return out
