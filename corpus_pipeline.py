@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.llm import decontam, mixing, near_dedup, pii, quality
-from turnweave.llm.common import table, written
+from turnweave.llm.common import set_aside, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents with surrogates for personal data and secrets; n_chars follows the text."""
     new = pii.surrogates(docs)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col(new.columns[-1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return new.select(docs.columns)
 
 
@@ -40,8 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).where("taken > 0").groupBy(F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"))
     plan = plan.agg(F.first("size").alias("size"), F.first("target").alias("target"), F.max("taken").alias("taken"))
     same = (mixing.shuffle_key(F.col("doc_id").cast("long"), F.col("text")) == F.col("_mix_key")) & F.col("source").eqNullSafe(F.col("_mix_source"))
-    joined = docs.drop("size", "target", "taken", "copies").join(plan, same)
-    return joined.withColumn("copies", (F.col("taken") / F.col("size")).cast("int")).drop("_mix_key", "_mix_source")
+    kept, back = set_aside(docs.drop("size", "target", "taken", "copies"), "doc_id", "text", "source")
+    joined = kept.join(plan, same).drop("_mix_key", "_mix_source")
+    return back(joined.withColumn("copies", (F.col("taken") / F.col("size")).cast("int")))
 
 
 STAGES = [
