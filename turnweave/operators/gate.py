@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.functions.vectors import dot
@@ -55,15 +55,7 @@ def gated_spans(decisions: DataFrame, slices: DataFrame, gap: float = 0.06) -> D
     return merge_gaps(cut, gap, ("rec", "speaker"))
 
 
-def speaker_counts(windows: DataFrame) -> DataFrame:
-    return windows.groupBy("rec").agg(F.countDistinct("speaker").alias("speakers"))
-
-
 def reasons(routed: DataFrame) -> DataFrame:
-    """How often each routing reason occurs, with median and greatest lead."""
-    return routed.groupBy("reason").agg(F.count("*").alias("n"), F.median("lead").alias("median_lead"), F.max("lead").alias("max_lead"))
-
-
-def top_two(sims: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("sim"), "other")
-    return sims.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    """How many chunks of routed sources have each reason (reason, n), with median and greatest of the chunks' least leads; chunks that are ``short`` have no lead."""
+    chunks = routed.groupBy("rec", "chunk").agg(F.first("reason").alias("reason"), F.min("lead").alias("lead"))
+    return chunks.groupBy("reason").agg(F.count("*").alias("n"), F.median("lead").alias("median_lead"), F.max("lead").alias("max_lead"))

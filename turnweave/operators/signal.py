@@ -190,8 +190,8 @@ def moving_average(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def compress(x: np.ndarray, sr: int, threshold_db: float, ratio: float, makeup_db: float = 0.0) -> np.ndarray:
-    """Gain from the level of each sample, in dB, averaged over 25 ms before it is applied."""
-    level = 20 * np.log10(np.abs(x) + 1e-9)
+    """Gain from the level of each sample, in dB, averaged over 25 ms before it is applied. Channels (rows of x) get one gain, from the loudest."""
+    level = 20 * np.log10((np.abs(x) if x.ndim == 1 else np.abs(x).max(axis=0)) + 1e-9)
     gain = -np.maximum(0.0, level - threshold_db) * (1 - 1 / max(ratio, 1.0))
     return x * 10 ** ((moving_average(gain, max(1, round(0.025 * sr))) + makeup_db) / 20)
 
@@ -239,7 +239,7 @@ def hop_squares(blocks: DataFrame, sr: int, hop_sec: float = 0.1) -> DataFrame:
 
 
 def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame:
-    """Each speaker's track: blocks (rec, ...) times the speaker's spans (rec, speaker, start, end), with moving-average fades of ``fade`` samples.
+    """Each speaker's track, as long as the recording: blocks (rec, ...) times the speaker's spans (rec, speaker, start, end), with moving-average fades of ``fade`` samples.
 
     Spans are dealt to the blocks they touch by an equi-join; the fade looks ``fade`` samples past a block's edges, which the spans, not
     neighbouring blocks, decide. Starts before 0 are clamped here.
@@ -249,14 +249,14 @@ def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame
     first, last = F.floor((F.col("start") * sr - fade) / size), F.floor((F.col("end") * sr + fade) / size)
     dealt = reach.withColumn("block_no", F.explode(F.sequence(F.greatest(F.lit(0), first), last)))
     listed = dealt.groupBy("rec", "speaker", "block_no").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("spans"))
-    joined = blocks.join(listed, ["rec", "block_no"])
+    joined = blocks.join(spans.select("rec", "speaker").distinct(), "rec").join(listed, ["rec", "speaker", "block_no"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples():
                 mask = np.zeros(len(r.samples) + 2 * fade)
-                for s, e in r.spans:
+                for s, e in r.spans if r.spans is not None else ():
                     a, z = (int(np.rint(t * sr)) - r.start_sample + fade for t in (s, e))
                     mask[max(0, a) : max(0, z)] = 1.0
                 if fade > 1:
@@ -267,16 +267,6 @@ def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame
     return joined.mapInPandas(run, "rec long, speaker int, channel int, block_no long, start_sample long, samples array<float>")
 
 
-def stripped_spans(levels: DataFrame, frame_sec: float = 0.04, least_rms: float = 0.004, pad: float = 0.06, gap: float = 0.12) -> DataFrame:
-    """Where a track (rec, frame, rms) is not silent: runs of loud frames, padded, merged."""
-    from turnweave.operators.frames import boolean_runs
-    from turnweave.operators.intervals import merge_gaps
-
-    runs = boolean_runs(levels.withColumn("loud", F.col("rms") > least_rms), "loud")
-    spans = runs.select("rec", F.greatest(F.lit(0.0), F.col("first") * F.lit(frame_sec) - pad).alias("start"), (F.col("past") * F.lit(frame_sec) + pad).alias("end"))
-    return merge_gaps(spans, gap).select("rec", "start", "end")
-
-
 def mel_bank(sr: int, size: int, bands: int) -> np.ndarray:
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(0, mel(sr / 2), bands + 2) / 2595) - 1)

@@ -73,7 +73,8 @@ def silhouettes(windows: DataFrame, keys: tuple[str, ...] = ("rec",), cluster: s
 def route_sources(sources: DataFrame, cents: DataFrame, margin: float) -> DataFrame:
     """Two separated sources of a chunk (rec, chunk, source, embedding) to speakers: best, lead and reason.
 
-    reason: ``short`` for both sources of a chunk where either has no voiceprint, as in chunks under 0.2 s (best and lead are null there); ``same`` if both are nearest to one speaker, else ``low`` where the lead over the next speaker is under the margin, else ``ok``.
+    A chunk has one reason: ``short`` where either source has no voiceprint, as in chunks under 0.2 s (best and lead are null there); ``same`` if both are nearest to one
+    speaker, else ``low`` where the lesser of the two leads over the next speaker is under the margin, else ``ok``.
     """
     silent = sources.groupBy("rec", "chunk").agg(F.max(F.col("embedding").isNull()).alias("_silent"))
     judged = sources.join(silent, ["rec", "chunk"])
@@ -84,4 +85,4 @@ def route_sources(sources: DataFrame, cents: DataFrame, margin: float) -> DataFr
     top = top.select("rec", "chunk", "source", F.col("other").alias("best"), (F.col("sim") - F.col("_next")).alias("lead"))
     both = Window.partitionBy("rec", "chunk")
     same = (F.count("*").over(both) > 1) & (F.min("best").over(both) == F.max("best").over(both))
-    return top.withColumn("reason", F.when(same, "same").when(F.col("lead") < margin, "low").otherwise("ok")).unionByName(short)
+    return top.withColumn("reason", F.when(same, "same").when(F.min("lead").over(both) < margin, "low").otherwise("ok")).unionByName(short)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.operators import activity, clustering, frames, gate, intervals, models, signal, speakers, windows
+from turnweave.operators import tracks as speaker_tracks
 from turnweave.settings import TARGET_SR, Settings
 from turnweave.sources.scratch import written
 
@@ -78,14 +79,17 @@ def diarize(blocks: DataFrame, cfg: Settings) -> Result:
 def turn_centroids(blocks: DataFrame, segs: DataFrame, cfg: Settings) -> DataFrame:
     """Centroids (rec, speaker, embedding, n) of another engine's segments (rec, speaker, start, end): windows over them, as over speech, and their mean voiceprints.
 
-    A speaker without any usable window has none.
+    A speaker without any usable window has the zero vector, of as many numbers as the others, and n 0.
     """
     duration = blocks.groupBy("rec").agg((F.sum(F.size("samples")) / TARGET_SR).alias("duration"))
     spans = segs.withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start", "end", "speaker")))
     wins = written(numbered(windows.sliding_windows(spans.join(duration, "rec"), cfg.window_sec, cfg.hop_sec, cfg.min_window_sec, "duration")), "windows")
     backend = models.resolve("embedding", cfg.embedding_backend, "mfcc")
     own = wins.join(spans.select("rec", "span_id", F.col("speaker").alias("label")), ["rec", "span_id"])
-    return speakers.centroids(own.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"]))
+    known = written(speakers.centroids(own.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"])), "centroids")
+    size = known.agg(F.max(F.size("embedding"))).first()[0] or 0
+    none = segs.select("rec", F.col("speaker").cast("int").alias("speaker")).distinct().join(known, ["rec", "speaker"], "left_anti")
+    return known.unionByName(none.select("rec", "speaker", F.array_repeat(F.lit(0.0), size).alias("embedding"), F.lit(0).cast("long").alias("n")))
 
 
 def kills(blocks: DataFrame, segs: DataFrame, over: DataFrame, cents: DataFrame, duration: DataFrame, backend: models.Backend, cfg: Settings) -> DataFrame:
@@ -101,23 +105,31 @@ def kills(blocks: DataFrame, segs: DataFrame, over: DataFrame, cents: DataFrame,
     return written(intervals.kill_union(gated, fixed), "kills")
 
 
-def tracks(blocks: DataFrame, result: Result, sr: int, cfg: Settings) -> DataFrame:
-    """Each speaker's samples: segments less kills, faded, filtered, compressed, brought to the target loudness and limited."""
+def tracks(blocks: DataFrame, result: Result, sr: int, cfg: Settings, injections: DataFrame | None = None) -> DataFrame:
+    """Each speaker's samples (rec, speaker, channel, block_no, start_sample, samples), as long as the recording: segments less kills, faded, with
+    separated speech put in (``injections``, as for ``tracks.injected``), and, unless ``cfg.enhance`` is off, filtered, compressed, brought to the target loudness and limited.
+
+    A track has one gain, measured on the mean of its channels, or towards the ceiling where it is too short or quiet to be measured.
+    """
     own = written(result.segments, "segments").withColumn("span_id", F.row_number().over(Window.partitionBy("rec", "speaker").orderBy("start")))
     per = own.select(F.xxhash64("rec", "speaker").alias("rec"), "span_id", "start", "end")
     cuts = result.kills.select(F.xxhash64("rec", "speaker").alias("rec"), "start", "end")
     names = own.select(F.xxhash64("rec", "speaker").alias("_k"), F.col("rec").alias("_rec"), "speaker").distinct()
     kept = intervals.subtract(per, cuts).withColumnRenamed("rec", "_k").join(names, "_k").select(F.col("_rec").alias("rec"), "speaker", "start", "end")
     out = signal.masked(blocks, written(kept, "kept"), sr, max(1, int(cfg.boundary_fade_ms / 1000 * sr)))
+    if injections is not None:
+        out = speaker_tracks.injected(written(out, "masked"), injections, sr)
+    if not cfg.enhance:
+        return out
     keyed = written(out.select(F.xxhash64("rec", "speaker").alias("rec"), "channel", "block_no", "start_sample", "samples"), "masked")
-    sections = [*signal.high_pass(sr, cfg.highpass_hz), signal.peaking(sr, cfg.presence_hz, cfg.presence_db, 1.0), signal.high_shelf(sr, min(cfg.air_hz, 0.45 * sr), cfg.air_db)]
+    sections = signal.high_pass(sr, cfg.highpass_hz) if cfg.highpass_hz > 0 else []
+    sections += [signal.peaking(sr, cfg.presence_hz, cfg.presence_db, 1.0)] if cfg.presence_db else []
+    sections += [signal.high_shelf(sr, min(cfg.air_hz, 0.45 * sr), cfg.air_db)] if cfg.air_db else []
     ceiling = 10 ** (cfg.ceiling_db / 20)
-    shaped = signal.map_blocks(signal.filter_blocks(keyed, sections), lambda x: signal.compress(x, sr, cfg.compressor_threshold_db, cfg.compressor_ratio))
-    # one gain for a track: to the target loudness, or to the ceiling where it is too quiet to be measured
-    lufs = signal.loudness(signal.hop_squares(signal.filter_blocks(keyed, signal.k_weighting(sr)), sr))
+    proxy, rate = speaker_tracks.loudness_proxy(keyed, sr)
+    lufs = signal.loudness(signal.hop_squares(signal.filter_blocks(proxy, signal.k_weighting(rate)), rate))
     peak = keyed.groupBy("rec").agg(F.max(F.array_max(F.transform("samples", F.abs))).alias("peak"))
     gain = F.coalesce(F.pow(F.lit(10.0), (cfg.target_lufs - F.col("lufs")) / 20), ceiling / (F.col("peak") + 1e-9))
-    gains = peak.join(lufs, "rec", "left").select("rec", gain.alias("gain"))
-    louder = shaped.join(written(gains, "gains"), "rec").withColumn("samples", F.transform("samples", lambda x: (x * F.col("gain")).cast("float")))
-    loud = signal.map_blocks(louder, lambda x: signal.limit(x, ceiling))
+    gains = written(peak.join(lufs, "rec", "left").select("rec", gain.alias("gain")), "gains")
+    loud = speaker_tracks.chain(keyed, gains, sr, sections, ceiling, cfg.compressor_threshold_db if cfg.compress else None, cfg.compressor_ratio)
     return loud.withColumnRenamed("rec", "_k").join(names, "_k").select(F.col("_rec").alias("rec"), "speaker", "channel", "block_no", "start_sample", "samples")

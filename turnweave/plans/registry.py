@@ -308,23 +308,34 @@ def silhouette_by_label(spark, sf_dir):
     return rounded(speakers.silhouettes(prints_of(spark, sf_dir)), "score")
 
 
-@query(
-    _with(
-        PRINTS,
-        "raw as (select rec, label, i, avg(v[i]) as x from prints, range(1, 65) t(i) where label >= 0 group by rec, label, i)",
-        "cents as (select rec, label as other, list(x order by i) as c, sqrt(sum(x * x)) as cn from raw group by rec, label)",
-        UNIT,
-        SIMS,
-        "led as (select *, row_number() over w as r, lead(sim) over w as nxt from sims window w as (partition by rec, win_no order by sim desc, other))",
-        "best as (select rec, floor(win_no / 2)::bigint as chunk, (win_no % 2)::int as source, other as best, sim - nxt as lead from led where r = 1)",
-        "pair as (select *, count(*) over w as c, min(best) over w as lo, max(best) over w as hi from best window w as (partition by rec, chunk))",
-    )
-    + "select rec, chunk, source, best, round(lead, 6) as lead, case when c > 1 and lo = hi then 'same' when lead < 0.1::double then 'low' else 'ok' end as reason from pair"
-)
+#: Two sources for each chunk; the chunk's lesser lead decides.
+ROUTED = """raw as (select rec, label, i, avg(v[i]) as x from prints, range(1, 65) t(i) where label >= 0 group by rec, label, i),
+cents as (select rec, label as other, list(x order by i) as c, sqrt(sum(x * x)) as cn from raw group by rec, label),
+""" + UNIT + """,
+""" + SIMS + """,
+led as (select *, row_number() over w as r, lead(sim) over w as nxt from sims window w as (partition by rec, win_no order by sim desc, other)),
+best as (select rec, floor(win_no / 2)::bigint as chunk, (win_no % 2)::int as source, other as best, sim - nxt as lead from led where r = 1),
+judged as (select *, count(*) over w as c, min(best) over w as lo, max(best) over w as hi, min(lead) over w as least from best window w as (partition by rec, chunk)),
+routed as (select rec, chunk, source, best, lead, case when c > 1 and lo = hi then 'same' when least < 0.1::double then 'low' else 'ok' end as reason from judged)"""
+
+
+@query(_with(PRINTS, ROUTED) + "select rec, chunk, source, best, round(lead, 6) as lead, reason from routed")
 def source_routing(spark, sf_dir):
+    return rounded(routed_of(spark, sf_dir), "lead")
+
+
+def routed_of(spark, sf_dir):
     prints = prints_of(spark, sf_dir)
     sources = prints.select("rec", F.floor(F.col("win_no") / 2).alias("chunk"), (F.col("win_no") % 2).cast("int").alias("source"), "embedding")
-    return rounded(speakers.route_sources(sources, speakers.centroids(prints), 0.10), "lead")
+    return speakers.route_sources(sources, speakers.centroids(prints), 0.10)
+
+
+@query(
+    _with(PRINTS, ROUTED, "chunks as (select rec, chunk, any_value(reason) as reason, min(lead) as lead from routed group by rec, chunk)")
+    + "select reason, count(*) as n, round(median(lead), 6) as median_lead, round(max(lead), 6) as max_lead from chunks group by reason"
+)
+def routing_reasons(spark, sf_dir):
+    return rounded(gate.reasons(routed_of(spark, sf_dir)), "median_lead", "max_lead")
 
 
 OWNED = """raw as (select rec, label, i, avg(v[i]) as x from prints, range(1, 65) t(i) where label >= 0 group by rec, label, i),

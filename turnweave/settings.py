@@ -47,11 +47,13 @@ class Settings:
     denoise_backend: str = "spectral"
     denoise_chunk_sec: float = 300.0
     denoise_strength: float = 0.85
+    enhance: bool = True
     highpass_hz: float = 80.0
     presence_db: float = 3.0
     presence_hz: float = 4000.0
     air_db: float = 1.5
     air_hz: float = 8_000.0
+    compress: bool = True
     compressor_threshold_db: float = -22.0
     compressor_ratio: float = 3.0
     target_lufs: float = -16.0
