@@ -206,7 +206,7 @@ def test_speaker_without_windows(spark):
     rng = np.random.default_rng(7)
     x = 0.1 * rng.normal(size=48_000)
     df = spark.createDataFrame([(1, 0, i, i * 16_000, [float(v) for v in x[i * 16_000 : (i + 1) * 16_000]]) for i in range(3)], signal.BLOCKS)
-    segs = spark.createDataFrame([(1, 0, 0.0, 2.5), (1, 1, 3.0, 3.0)], "rec long, speaker int, start double, end double")
-    got = {r.speaker: r for r in plan.turn_centroids(df, segs, Settings()).collect()}
-    assert got[1].embedding == [0.0] * len(got[0].embedding) and got[1].n == 0 and got[0].n > 0
-    assert abs(np.linalg.norm(got[0].embedding) - 1) < 1e-9
+    segs = spark.createDataFrame([(1, 0, 0.0, 2.5), (2, 0, 0.0, 2.0)], "rec long, speaker int, start double, end double")
+    got = {r.rec: r for r in plan.turn_centroids(df, segs, Settings()).collect()}
+    assert got[2].embedding == [0.0] * len(got[1].embedding) and got[2].n == 0 and got[1].n > 0
+    assert abs(np.linalg.norm(got[1].embedding) - 1) < 1e-9

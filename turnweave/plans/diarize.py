@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.operators import activity, clustering, frames, gate, intervals, models, signal, speakers, windows
+from turnweave.operators import activity, clustering, denoise, frames, gate, intervals, models, signal, speakers, windows
 from turnweave.operators import tracks as speaker_tracks
 from turnweave.settings import TARGET_SR, Settings
 from turnweave.sources.scratch import written
@@ -58,6 +58,16 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("win_no", F.row_number().over(Window.partitionBy("rec").orderBy("start", "end", "span_id", "win_no")).cast("long"))
 
 
+def prepared(blocks: DataFrame, sr: int, cfg: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, analysis, steps) of recordings in blocks at one rate: noise reduced as far as ``cfg`` says, its mono copy at 16 kHz, and what was done to each.
+
+    ``diarize`` takes the analysis copy, ``tracks`` the clean blocks.
+    """
+    clean, steps = denoise.denoised(blocks, sr, cfg)
+    clean = written(clean, "clean")
+    return clean, written(signal.analysis_copy(clean, sr), "analysis"), steps
+
+
 def diarize(blocks: DataFrame, cfg: Settings) -> Result:
     """Segments by speaker of mono blocks (rec, channel 0, block_no, start_sample, samples) at 16 kHz (``signal.analysis_copy``); blocks are best a table."""
     duration = written(blocks.groupBy("rec").agg((F.sum(F.size("samples")) / TARGET_SR).alias("duration")), "durations")

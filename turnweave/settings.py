@@ -45,6 +45,7 @@ class Settings:
     # cleaning and tracks
     denoise: bool = True
     denoise_backend: str = "spectral"
+    denoise_strict: bool = False
     denoise_chunk_sec: float = 300.0
     denoise_strength: float = 0.85
     enhance: bool = True
