@@ -81,9 +81,11 @@ def noise_floors(tiles: DataFrame, size: int, percent: float = PERCENT) -> DataF
             for r in b.itertuples():
                 mag = _magnitudes(r, size)
                 kind = mag.view(np.int64) >> CLASS_BITS
+                wanted_kinds = np.full((2, mag.shape[1]), -1)  # two ranks are in two classes at most
                 for p in r.picks:
-                    v, n = np.unique(mag[kind[:, p["bin"]] == p["kind"], p["bin"]], return_counts=True)
-                    yield pd.DataFrame({"rec": r.rec, "channel": r.channel, "bin": p["bin"], "kind": p["kind"], "value": v, "n": n})
+                    wanted_kinds[int(wanted_kinds[0, p["bin"]] >= 0), p["bin"]] = p["kind"]
+                frame, b_ = np.nonzero((kind == wanted_kinds[0]) | (kind == wanted_kinds[1]))
+                yield pd.DataFrame({"rec": r.rec, "channel": r.channel, "bin": b_, "kind": kind[frame, b_], "value": mag[frame, b_], "n": 1})
 
     found = long.join(picks, ["rec", "channel", "tile"]).select("rec", "channel", "tile", "start_sample", "samples", "total", "picks")
     found = found.mapInPandas(values, "rec long, channel int, bin int, kind long, value double, n long").groupBy("rec", "channel", "bin", "kind", "value").agg(F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.operators import activity, clustering, export, frames, gate, intervals, signal, speakers, transcript, windows
+from turnweave.operators import activity, clustering, export, frames, gate, intervals, signal, speakers, spectral, tiles, tracks, transcript, windows
 from turnweave.sources import tables
 from turnweave.sources.scratch import written
 from turnweave.streaming import sessions
@@ -509,42 +509,192 @@ def speaker_texts(spark, sf_dir):
     return export.speaker_texts(labelled_of(spark, sf_dir))
 
 
-# clustering and signals: sequential by recording, tested against numpy
+# clustering: labels from the order of merges
 
+LINKED = """unit_ as (select rec, win_no, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from prints),
+pairs as (
+  select 0 as step, a.rec, a.win_no as a, b.win_no as b, round(1 - list_sum(list_transform(range(1, 65), lambda i: a.u[i] * b.u[i])), 12) as d
+  from unit_ a join unit_ b on a.rec = b.rec and a.win_no < b.win_no
+  union all
+  select step + 1, rec, least(x, y), greatest(x, y), max(d)
+  from (select step, rec, case when a = hi then lo else a end as x, case when b = hi then lo else b end as y, d
+        from (select *, first_value(a) over w as lo, first_value(b) over w as hi from pairs window w as (partition by rec order by d, a, b)))
+  where x <> y group by step, rec, least(x, y), greatest(x, y)),
+merges_ as (select rec, step, arg_min(a, (d, a, b)) as lo, arg_min(b, (d, a, b)) as hi from pairs group by rec, step),
+sizes as (select rec, count(*) as n from prints group by rec),
+wanted as (select rec, n, unnest(list_distinct([least(k, n) for k in KS])) as k from sizes),
+walk_ as (
+  select rec, k, n, win_no, win_no as root from wanted join unit_ using (rec)
+  union all
+  select w.rec, w.k, w.n, w.win_no, m.lo from walk_ w join merges_ m on m.rec = w.rec and m.hi = w.root and m.step < w.n - w.k),
+labels as (select rec, k::int as k, win_no, (dense_rank() over (partition by rec, k order by min(root)) - 1)::int as label from walk_ group by rec, k, win_no)"""
 
-@query()
+
+@query(_with(PRINTS, LINKED.replace("KS", "[3]")) + "select rec, k, win_no, label from labels")
 def agglomerative_k(spark, sf_dir):
     return clustering.agglomerative(tables.voiceprints(spark, sf_dir), [3])
 
 
+@query(_with(PRINTS, LINKED.replace("KS", "[2, 5]")) + "select rec, k, win_no, label from labels")
+def linkage_rounds(spark, sf_dir):
+    """Recordings of over 30 windows are merged in rounds."""
+    return clustering.agglomerative(tables.voiceprints(spark, sf_dir), [2, 5], limit=30)
+
+
 @query()
 def auto_speaker_count(spark, sf_dir):
     return rounded(clustering.choose_speakers(tables.voiceprints(spark, sf_dir), 1, 4), "score")
 
 
-def event_blocks(spark, sf_dir, size: int = 32):
-    """A user's event levels in time order as one sample each, scaled to [-1, 1], in blocks."""
+# signals: a user's event levels in time order are samples, cut into blocks
+
+SIGNAL = "sig as (select user_id as rec, row_number() over (partition by user_id order by epoch_us(ts), event_id) - 1 as i, (value / 500)::float::double as x, floor(value) as whole, event_type as kind from events)"
+TOTAL = "total as (select rec, count(*) as total from sig group by rec)"
+
+
+def samples_of(spark, sf_dir, users: int = 1):
+    """rec, at, level, kind: one sample for each event; ``users`` users in a row share a recording."""
     from pyspark.sql import Window
 
-    rows = tables.event_spans(spark, sf_dir)
-    at = F.row_number().over(Window.partitionBy("rec").orderBy("start", "span_id")) - 1
-    rows = rows.select("rec", "level", at.alias("at")).withColumn("block_no", F.floor(F.col("at") / size))
-    listed = rows.groupBy("rec", "block_no").agg(F.array_sort(F.collect_list(F.struct("at", "level"))).alias("v"))
-    return listed.select("rec", F.lit(0).alias("channel"), "block_no", (F.col("block_no") * size).alias("start_sample"), F.transform("v", lambda v: (v["level"] / 500).cast("float")).alias("samples"))
+    rows = tables.event_spans(spark, sf_dir).withColumn("rec", F.floor(F.col("rec") / users).cast("long"))
+    return rows.select("rec", "level", "kind", (F.row_number().over(Window.partitionBy("rec").orderBy("start", "span_id")) - 1).alias("at"))
 
 
-@query()
+def blocks_of(samples: DataFrame, value, size: int = 32) -> DataFrame:
+    rows = samples.select("rec", "at", value.cast("float").alias("x"), F.floor(F.col("at") / size).alias("block_no"))
+    listed = rows.groupBy("rec", "block_no").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
+    return listed.select("rec", F.lit(0).alias("channel"), "block_no", (F.col("block_no") * size).alias("start_sample"), F.transform("v", lambda v: v["x"]).alias("samples"))
+
+
+def event_blocks(spark, sf_dir, size: int = 32):
+    """Levels scaled to [-1, 1]."""
+    return blocks_of(samples_of(spark, sf_dir), F.col("level") / 500, size)
+
+
+def exploded(blocks: DataFrame, *keys: str) -> DataFrame:
+    """keys, i, x: one row per sample."""
+    rows = blocks.select(*keys, "start_sample", F.posexplode("samples").alias("j", "x"))
+    return rounded(rows.select(*keys, (F.col("start_sample") + F.col("j")).alias("i"), F.col("x").cast("double").alias("x")), "x")
+
+
+def _filter_sql() -> str:
+    """A cascade of two sections as a walk along the samples, in transposed form."""
+    (b0, b1, b2, a1, a2), (c0, c1, c2, d1, d2) = (tuple(f"({float(v)!r}::double)" for v in s) for s in signal.high_pass(1000, 80.0))
+    y = f"({b0} * x + p1)"
+    z = f"({c0} * {y} + q1)"
+    step = f"{b1} * x - {a1} * {y} + p2 as p1, {b2} * x - {a2} * {y} as p2, {c1} * {y} - {d1} * {z} + q2 as q1, {c2} * {y} - {d2} * {z} as q2, {z} as z"
+    return f"""states as (
+  select rec, i, {step} from (select *, 0::double as p1, 0::double as p2, 0::double as q1, 0::double as q2 from sig where i = 0)
+  union all
+  select rec, i, {step} from (select s.rec, s.i, s.x, f.p1, f.p2, f.q1, f.q2 from states f join sig s on s.rec = f.rec and s.i = f.i + 1))"""
+
+
+@query(_with(SIGNAL, _filter_sql()) + "select rec, (i // 32)::bigint as block_no, (i % 32)::int as i, round(z::float::double, 6) as x from states")
 def signal_highpass(spark, sf_dir):
     out = signal.filter_blocks(event_blocks(spark, sf_dir), signal.high_pass(1000, 80.0))
     return rounded(out.select("rec", "block_no", F.posexplode("samples").alias("i", "x")).withColumn("x", F.col("x").cast("double")), "x")
 
 
-@query()
+@query(
+    _with(
+        SIGNAL, "hops as (select rec, i // 4 as hop, sum(x * x) / 4 as ms from sig group by all)",
+        "parts as (select rec, avg(ms) over w as z, count(*) over w as n from hops window w as (partition by rec order by hop rows between 3 preceding and current row))",
+        "loud as (select rec, z, -0.691::double + 10 * log10(z) as l from parts where n = 4 and z > 0 and -0.691::double + 10 * log10(z) > -70)",
+        "gate as (select rec, -0.691::double + 10 * log10(avg(z)) - 10 as lim from loud group by rec)",
+    )
+    + "select rec, round(-0.691::double + 10 * log10(avg(z)), 6) as lufs from loud join gate using (rec) where l > lim group by rec"
+)
 def signal_loudness(spark, sf_dir):
-    weighted = signal.filter_blocks(event_blocks(spark, sf_dir), signal.k_weighting(48_000))
-    return rounded(signal.loudness(signal.hop_squares(weighted, 40, 0.1)), "lufs")
+    """Gated loudness of hops of four samples, without weighting by frequency."""
+    return rounded(signal.loudness(signal.hop_squares(event_blocks(spark, sf_dir), 40, 0.1)), "lufs")
 
 
-@query()
+@query(
+    _with(SIGNAL, TOTAL, "levels as (select s.rec, f as frame, avg(x * x) as ms from total t, unnest(range(0, (total - 12) // 4 + 1)) u(f) join sig s on s.rec = t.rec and s.i between 4 * f and 4 * f + 11 where total >= 12 group by s.rec, f)")
+    + "select rec, 0 as channel, frame, round(20 * log10(sqrt(ms + 1e-10::double) + 1e-10::double), 6) as db from levels"
+)
 def signal_frames(spark, sf_dir):
     return rounded(signal.frame_levels(event_blocks(spark, sf_dir), 12, 4), "db")
+
+
+#: Chunks of 20 samples that share 6; up to 25 samples are one chunk.
+CHUNKED = """counted as (select rec, total, case when total <= 25 then 1 else ceil((total - 20) / 14)::bigint + 1 end as chunks from total),
+parts as (select rec, total, chunks, chunk, chunk * 14 as a, case when chunks = 1 then total else least(total, chunk * 14 + 20) end as b from counted, unnest(range(0, chunks)) u(chunk))"""
+
+
+@query(_with(SIGNAL, TOTAL, CHUNKED) + "select p.rec, chunk, chunks, a as start_sample, total, count(*) as n, sum(whole)::bigint as level from parts p join sig s on s.rec = p.rec and s.i >= a and s.i < b group by all")
+def track_chunks(spark, sf_dir):
+    parts = tiles.chunks(blocks_of(samples_of(spark, sf_dir), F.floor("level")), 20, 1.0)
+    return parts.select("rec", "chunk", "chunks", "start_sample", "total", F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("level"))
+
+
+@query(
+    _with(
+        SIGNAL, TOTAL, CHUNKED,
+        "weighed as (select p.rec, i, x * (chunk + 1) as x, case when a > 0 and i - a < 6 then (i - a) / 5.0::double else 1 end * case when b < total and b - 1 - i < 6 then (b - 1 - i) / 5.0::double else 1 end as w from parts p join sig s on s.rec = p.rec and s.i >= a and s.i < b)",
+    )
+    + "select rec, i, round((sum(x::float::double * w) / case when sum(w) = 0 then 1 else sum(w) end)::float::double, 6) as x from weighed group by rec, i"
+)
+def chunk_crossfade(spark, sf_dir):
+    """Chunks that a model has made louder by their number, faded into each other."""
+    parts = tiles.chunks(event_blocks(spark, sf_dir), 20, 1.0)
+    louder = F.transform("samples", lambda x: (x.cast("double") * (F.col("chunk") + 1)).cast("float"))
+    return exploded(tiles.crossfaded(parts.withColumn("samples", louder), 20, 16), "rec")
+
+
+#: Frames of 2 samples over 0.2; 1 sample on either side, joined over 2.
+AUDIBLE = """levels as (select rec, i // 2 as no, sqrt(avg(x * x)) as rms from sig group by rec, i // 2 having count(*) = 2),
+runs as (select rec, no, no - row_number() over (partition by rec order by no) as run from levels where rms > 0.2::double),
+heard as (select rec, greatest(0, min(no) * 2 - 1) as s, least(any_value(total), max(no) * 2 + 3) as e from runs join total using (rec) group by rec, run),
+""" + merged_sql("heard", 2, out="pieces") + """,
+kept as (select rec, s, e, coalesce(sum(e - s) over (partition by rec order by s rows between unbounded preceding and 1 preceding), 0) as t,
+         coalesce(e - s > 3 and lag(e - s) over w > 3, false) as rise, coalesce(e - s > 3 and lead(e - s) over w > 3, false) as fall from pieces window w as (partition by rec order by s)
+         union all select rec, 0, total, 0, false, false from total where total < 2)"""
+
+
+def track_of(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("speaker", F.lit(0))
+
+
+@query(_with(SIGNAL, TOTAL, AUDIBLE) + "select rec, 0 as speaker, s::bigint as start, e::bigint as end from kept")
+def track_audible(spark, sf_dir):
+    return tracks.audible(track_of(event_blocks(spark, sf_dir)), 100, 0.2, 0.02, 0.01, 0.02).withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@query(
+    _with(SIGNAL, TOTAL, AUDIBLE)
+    + "select k.rec, (t + i - s)::bigint as i, round((x * case when rise and i - s < 3 then (i - s) / 2.0::double else 1 end * case when fall and e - 1 - i < 3 then (e - 1 - i) / 2.0::double else 1 end)::float::double, 6) as x from kept k join sig g on g.rec = k.rec and g.i >= s and g.i < e"
+)
+def track_compact(spark, sf_dir):
+    out = tracks.compact(track_of(event_blocks(spark, sf_dir)), 100, 0.03, 16, least_rms=0.2, frame_sec=0.02, pad_sec=0.01, gap_sec=0.02)
+    return exploded(out, "rec")
+
+
+@query(
+    _with(SIGNAL, "adds as (select a.rec, a.i + b.i as i, sum(b.whole) as x from sig a join sig b on a.rec = b.rec and b.i < 8 where a.kind = 'error' group by all)")
+    + "select s.rec, s.i, s.whole + coalesce(a.x, 0) as x from sig s left join adds a on a.rec = s.rec and a.i = s.i"
+)
+def track_injected(spark, sf_dir):
+    """The first eight samples of a user's track, put in again at every error."""
+    samples = samples_of(spark, sf_dir)
+    blocks = blocks_of(samples, F.floor("level"))
+    signals = samples.where("kind = 'error'").select("rec", (F.col("at") / 10).alias("start")).join(blocks.where("block_no = 0").select("rec", F.slice("samples", 1, 8).alias("samples")), "rec")
+    signals = signals.select("rec", F.lit(0).alias("speaker"), "start", F.lit(0).alias("channel"), "samples")
+    return exploded(tracks.injected(track_of(blocks), signals, 10, 16), "rec")
+
+
+@query(
+    _with(
+        "sig as (select user_id // 30 as rec, row_number() over (partition by user_id // 30 order by epoch_us(ts), event_id) - 1 as i, (value / 500)::float::double as x from events)", TOTAL,
+        "framed as (select s.rec, f, s.i - f * 256 + 512 as j, x from total t, unnest(range(0, ((total + 255) // 256) + 1)) u(f) join sig s on s.rec = t.rec and s.i >= f * 256 - 512 and s.i < f * 256 + 512 where total >= 1024)",
+        "wave as (select j, 0.5::double - 0.5::double * cos(2 * pi() * j / 1024) as w from range(0, 1024) r(j))",
+        "turn as (select k, cos(2 * pi() * k / 1024) as c, sin(2 * pi() * k / 1024) as s from range(0, 1024) r(k))",
+        "mags as (select rec, f, b as bin, sqrt(sum(x * w * c) ^ 2 + sum(x * w * s) ^ 2) / 512 as mag from framed join wave using (j), range(0, 513) r(b) join turn on turn.k = (b * j) % 1024 group by rec, f, b)",
+    )
+    + "select rec, 0 as channel, bin::int as bin, round(quantile_cont(mag, 0.1), 6) as floor from mags group by rec, bin"
+)
+def noise_floors(spark, sf_dir):
+    """The tenth percentile of every bin's magnitudes; thirty users make a recording, as a frame takes 1,024 samples."""
+    blocks = blocks_of(samples_of(spark, sf_dir, 30), F.col("level") / 500, 500)
+    floors = spectral.noise_floors(written(spectral.tiles_of(blocks, 1024), "tiles"), 1024)
+    return rounded(floors.select("rec", "channel", F.posexplode("floors").alias("bin", "floor")), "floor")
