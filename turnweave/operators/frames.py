@@ -8,25 +8,39 @@ from pyspark.sql import functions as F
 from turnweave.settings import FRAME_SEC, OVERLAP, SILENCE
 
 
-def frame_votes(windows: DataFrame, frame: float = FRAME_SEC, duration: str | None = None) -> DataFrame:
-    """(rec, frame, label) of every frame that a window (rec, start, end, label) covers.
+def vote_runs(windows: DataFrame, frame: float = FRAME_SEC, duration: str | None = None) -> DataFrame:
+    """(rec, label, first, past): what each stretch of 10 ms frames goes to that windows (rec, start, end, label) cover; stretches end where a window begins or ends.
 
-    A frame goes to the speaker of most windows, the least label of equals; to overlap where overlap windows are at least as many. Frames that
-    nothing covers are not there: a jump in frame numbers is silence.
+    A stretch goes to the speaker of most windows, the least label of equals; to overlap where overlap windows are at least as many. What
+    nothing covers is not there: a jump in frame numbers is silence. A window counts once for each stretch that it covers, of which there are few, not for each frame.
     """
     first = F.greatest(F.lit(0), F.floor(F.col("start") / F.lit(frame)))
     last = F.ceil(F.col("end") / F.lit(frame))
     if duration is not None:
         last = F.least(last, F.greatest(F.lit(1), F.ceil(F.col(duration) / F.lit(frame))))
-    spread = windows.withColumn("_a", first).withColumn("_b", last).where("_b > _a and (label >= 0 or label = -2)").select("rec", "label", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("frame"))
-    counts = spread.groupBy("rec", "frame", "label").agg(F.count("*").alias("votes"))
+    spans = windows.select("rec", "label", first.alias("_a"), last.alias("_b")).where("_b > _a and (label >= 0 or label = -2)")
+    spans = spans.groupBy("rec", "label", "_a", "_b").agg(F.count("*").alias("votes"))
+    # the ends of all windows of a recording, numbered; a window covers the stretches between its own two
+    ends = spans.select("rec", "label", "_a", "_b", "votes", F.explode(F.array("_a", "_b")).alias("at"))
+    ends = ends.withColumn("no", F.dense_rank().over(Window.partitionBy("rec").orderBy("at")))
+    placed = ends.groupBy("rec", "label", "_a", "_b", "votes").agg(F.min("no").alias("lo"), F.max("no").alias("hi"))
+    covered = placed.select("rec", "label", "votes", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("no"))
+    counts = covered.groupBy("rec", "no", "label").agg(F.sum("votes").alias("votes"))
     speaker = F.when(F.col("label") >= 0, F.col("votes"))
-    best = counts.groupBy("rec", "frame").agg(
+    best = counts.groupBy("rec", "no").agg(
         F.max_by("label", F.when(F.col("label") >= 0, F.struct(F.col("votes").alias("v"), (-F.col("label")).alias("l")))).alias("speaker"),
         F.coalesce(F.max(speaker), F.lit(0)).alias("most"),
         F.coalesce(F.max(F.when(F.col("label") == OVERLAP, F.col("votes"))), F.lit(0)).alias("overlap"),
     )
-    return best.select("rec", "frame", F.when((F.col("overlap") > 0) & (F.col("overlap") >= F.col("most")), OVERLAP).otherwise(F.col("speaker")).cast("int").alias("label"))
+    places = ends.select("rec", "no", F.col("at").alias("first")).distinct()
+    places = places.withColumn("past", F.lead("first").over(Window.partitionBy("rec").orderBy("no")))
+    label = F.when((F.col("overlap") > 0) & (F.col("overlap") >= F.col("most")), OVERLAP).otherwise(F.col("speaker")).cast("int")
+    return best.join(places, ["rec", "no"]).select("rec", label.alias("label"), "first", "past")
+
+
+def frame_votes(windows: DataFrame, frame: float = FRAME_SEC, duration: str | None = None) -> DataFrame:
+    """``vote_runs`` frame by frame: (rec, frame, label)."""
+    return vote_runs(windows, frame, duration).select("rec", F.explode(F.sequence("first", F.col("past") - 1)).alias("frame"), "label")
 
 
 def label_runs(frames: DataFrame) -> DataFrame:
@@ -55,7 +69,7 @@ def smooth_short_runs(runs: DataFrame, least: int) -> DataFrame:
 
 
 def joined_runs(runs: DataFrame) -> DataFrame:
-    """Adjoining runs that have one label after smoothing become one."""
+    """Adjoining runs of one label become one."""
     order = Window.partitionBy("rec").orderBy("first")
     fresh = F.when((F.lag("label").over(order) == F.col("label")) & (F.lag("past").over(order) == F.col("first")), 0).otherwise(1)
     marked = runs.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -66,15 +80,25 @@ def seconds(runs: DataFrame, frame: float = FRAME_SEC) -> DataFrame:
     return runs.select("rec", F.col("label").alias("speaker"), (F.col("first") * F.lit(frame)).alias("start"), (F.col("past") * F.lit(frame)).alias("end"))
 
 
-def segments(frames: DataFrame, min_segment: float, frame: float = FRAME_SEC) -> DataFrame:
-    """Speaker segments of smoothed frames: rec, speaker, start, end."""
+def run_segments(runs: DataFrame, min_segment: float, frame: float = FRAME_SEC) -> DataFrame:
+    """Speaker segments of smoothed runs (``vote_runs``, ``label_runs``): rec, speaker, start, end."""
     least = max(1, round(min_segment / frame))
-    return seconds(joined_runs(smooth_short_runs(label_runs(frames), least)).where("label >= 0"), frame)
+    return seconds(joined_runs(smooth_short_runs(joined_runs(runs), least)).where("label >= 0"), frame)
 
 
-def overlap_spans(frames: DataFrame, frame: float = FRAME_SEC) -> DataFrame:
+def run_overlaps(runs: DataFrame, frame: float = FRAME_SEC) -> DataFrame:
     """Spans of simultaneous speech, before smoothing: rec, start, end."""
-    return seconds(label_runs(frames).where(F.col("label") == OVERLAP), frame).drop("speaker")
+    return seconds(joined_runs(runs).where(F.col("label") == OVERLAP), frame).drop("speaker")
+
+
+def segments(frames: DataFrame, min_segment: float, frame: float = FRAME_SEC) -> DataFrame:
+    """``run_segments`` of frames (rec, frame, label)."""
+    return run_segments(label_runs(frames), min_segment, frame)
+
+
+def overlap_spans(frames: DataFrame, frame: float = FRAME_SEC) -> DataFrame:
+    """``run_overlaps`` of frames (rec, frame, label)."""
+    return run_overlaps(label_runs(frames), frame)
 
 
 def canonical_ids(segs: DataFrame) -> DataFrame:
@@ -90,4 +114,4 @@ def boolean_runs(rows: DataFrame, flag: str) -> DataFrame:
     return label_runs(rows.where(flag).select("rec", "frame", F.lit(1).alias("label"))).drop("label")
 
 
-__all__ = ["OVERLAP", "SILENCE", "boolean_runs", "canonical_ids", "frame_votes", "joined_runs", "label_runs", "overlap_spans", "segments", "smooth_short_runs"]
+__all__ = ["OVERLAP", "SILENCE", "boolean_runs", "canonical_ids", "frame_votes", "joined_runs", "label_runs", "overlap_spans", "run_overlaps", "run_segments", "segments", "smooth_short_runs", "vote_runs"]

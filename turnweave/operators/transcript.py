@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+CUE_TYPES = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64())
+
 
 def assign_words(words: DataFrame, segments: DataFrame, bucket: float = 30.0) -> DataFrame:
     """words (rec, word_no, start, end, text) with speaker: of the first segment (rec, span_id, speaker, start, end), by start, that contains the
@@ -41,25 +46,32 @@ def cues(words: DataFrame, max_sec: float = 6.0, max_words: int = 14) -> DataFra
     """Greedy cues of labelled words: rec, cue_no, start, end, speaker, text, n_words.
 
     A word begins a cue if its speaker differs, the cue would exceed ``max_sec``, or it has ``max_words`` words. Where a cue breaks depends on
-    where the last one did, so the words of each run of one speaker are folded in order; runs are independent of each other, and few words long.
+    where the last one did, so the words of a recording pass in order through one fold, which holds the cue that is open and nothing else. Cues without text are numbered and left out.
     """
-    order = Window.partitionBy("rec").orderBy("word_no")
-    fresh = F.when(F.lag("speaker").over(order) == F.col("speaker"), 0).otherwise(1)
-    runs = words.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = runs.groupBy("rec", "_run", "speaker").agg(F.array_sort(F.collect_list(F.struct("word_no", "start", "end"))).alias("_w"))
-    kind = "struct<starts:array<bigint>,at:double,n:int>"
-    state = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0.0).alias("at"), F.lit(0).alias("n")).cast(kind)
 
-    def step(a, w):
-        new = (a["n"] == 0) | (w["end"] - a["at"] > max_sec) | (a["n"] >= max_words)
-        return F.struct(F.when(new, F.concat(a["starts"], F.array(w["word_no"].cast("bigint")))).otherwise(a["starts"]).alias("starts"), F.when(new, w["start"]).otherwise(a["at"]).alias("at"), F.when(new, F.lit(1)).otherwise(a["n"] + 1).alias("n")).cast(kind)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rec, no, cue, done = None, 0, None, []
+        for batch in batches:
+            for r, start, end, text, speaker in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cue is None or r != rec or speaker is None or speaker != cue[4] or end - cue[7] > max_sec or cue[6] >= max_words:
+                    if cue is not None:
+                        done.append(cue)
+                    no = no + 1 if r == rec else 1
+                    rec, cue = r, [r, no, start, end, speaker, [text or ""], 1, start]
+                else:
+                    cue[2], cue[3], cue[6] = min(cue[2], start), max(cue[3], end), cue[6] + 1
+                    cue[5].append(text or "")
+            yield batch_of(done)
+            done = []
+        if cue is not None:
+            yield batch_of([cue])
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        rows = [(*r[:5], "".join(r[5]).strip(" "), r[6]) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows if r[5]], t) for i, t in enumerate(CUE_TYPES)], ["rec", "cue_no", "start", "end", "speaker", "text", "n_words"])
 
-    begins = lists.select("rec", F.explode(F.aggregate("_w", state, step, lambda a: a["starts"])).alias("word_no"), F.lit(1).alias("_new"))
-    marked = words.join(begins, ["rec", "word_no"], "left")
-    marked = marked.withColumn("cue_no", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"])
-    out = marked.groupBy("rec", "cue_no", "speaker").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.trim(F.array_join(texts, "")).alias("text"), F.count("*").alias("n_words"))
-    return out.where("text != ''").select("rec", "cue_no", "start", "end", "speaker", "text", "n_words")
+    ordered = words.select("rec", "word_no", "start", "end", "text", "speaker").repartition("rec").sortWithinPartitions("rec", "word_no").drop("word_no")
+    return ordered.mapInArrow(fold, "rec long, cue_no long, start double, end double, speaker int, text string, n_words long")
 
 
 def turns(cue_rows: DataFrame) -> DataFrame:

@@ -77,9 +77,9 @@ def diarize(blocks: DataFrame, cfg: Settings) -> Result:
     backend = models.resolve("embedding", cfg.embedding_backend, "mfcc")
     prints = written(wins.join(models.embed(cut(blocks, wins), backend), ["rec", "win_no"]), "prints")
     labelled = written(clustering.cluster_windows(prints, cfg.num_speakers, cfg.min_speakers, cfg.max_speakers, cfg.remove_overlap, cfg.overlap_margin), "labelled")
-    voted = written(frames.frame_votes(labelled), "votes")
-    segs = written(frames.canonical_ids(frames.segments(voted, cfg.min_segment_sec)), "segments")
-    over = written(frames.overlap_spans(voted), "overlaps")
+    voted = written(frames.vote_runs(labelled), "votes")
+    segs = written(frames.canonical_ids(frames.run_segments(voted, cfg.min_segment_sec)), "segments")
+    over = written(frames.run_overlaps(voted), "overlaps")
     ids = segs.select("rec", F.col("was").alias("label"), "speaker").distinct()
     cents = written(speakers.centroids(labelled.join(ids, ["rec", "label"]).withColumn("label", F.col("speaker"))), "centroids")
     rows = written(segs.withColumn("span_id", F.row_number().over(Window.partitionBy("rec").orderBy("start"))), "spans")

@@ -190,8 +190,12 @@ def frames_of(spark, sf_dir):
     return frames.frame_votes(prints_of(spark, sf_dir))
 
 
+def runs_of(spark, sf_dir):
+    return frames.vote_runs(prints_of(spark, sf_dir))
+
+
 def segments_of(spark, sf_dir):
-    return frames.canonical_ids(frames.segments(frames_of(spark, sf_dir), MIN_SEGMENT))
+    return frames.canonical_ids(frames.run_segments(runs_of(spark, sf_dir), MIN_SEGMENT))
 
 
 @query(_with(PRINTS, VOTES) + "select rec, frame, label from voted")
@@ -201,12 +205,12 @@ def frame_vote(spark, sf_dir):
 
 @query(_with(PRINTS, VOTES, RUNS) + "select rec, label, first, past from runs")
 def label_runs(spark, sf_dir):
-    return frames.label_runs(frames_of(spark, sf_dir))
+    return frames.joined_runs(runs_of(spark, sf_dir))
 
 
 @query(_with(PRINTS, VOTES, RUNS, SMOOTH) + "select rec, label, first, past from smooth")
 def smooth_short_runs(spark, sf_dir):
-    return frames.smooth_short_runs(frames.label_runs(frames_of(spark, sf_dir)), 90)
+    return frames.smooth_short_runs(frames.joined_runs(runs_of(spark, sf_dir)), 90)
 
 
 @query(_with(*ALL_FRAMES) + "select rec, speaker, was, s as start, e as end from canon")
@@ -216,7 +220,7 @@ def canonical_segments(spark, sf_dir):
 
 @query(_with(PRINTS, VOTES, RUNS) + "select rec, first * 0.01::double as start, past * 0.01::double as end from runs where label = -2")
 def overlap_spans(spark, sf_dir):
-    return frames.overlap_spans(frames_of(spark, sf_dir))
+    return frames.run_overlaps(runs_of(spark, sf_dir))
 
 
 # exports
@@ -466,8 +470,7 @@ def labelled_of(spark, sf_dir):
 
 
 def cues_of(spark, sf_dir):
-    # cues look at the words twice
-    return transcript.cues(written(labelled_of(spark, sf_dir), "words"))
+    return transcript.cues(labelled_of(spark, sf_dir))
 
 
 @query(_with(WORDS) + "select rec, word_no, s as start, e as end, text, speaker from labelled")
