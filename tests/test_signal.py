@@ -242,15 +242,3 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.stop()
     want = {(r.rec, r.start, r.n) for r in sessions.sessions(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "6 hours").collect()}
     assert {(r.rec, r.start, r.n) for r in spark.table("sessions_out").collect()} == want
-
-
-def test_filter_stream(spark, tmp_path):
-    x = np.random.default_rng(3).normal(size=2000)
-    whole = blocks_of(spark, x, 250)
-    for i in range(4):
-        whole.where(F.floor(F.col("block_no") / 2) == i).coalesce(1).write.parquet(str(tmp_path / f"s/{i}"))
-    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "s"))
-    q = sessions.filter_stream(stream, signal.high_pass(16_000, 80.0)).writeStream.outputMode("append").format("memory").queryName("filtered_out").start()
-    q.processAllAvailable()
-    q.stop()
-    assert np.allclose(samples_of(spark.table("filtered_out"), "rec"), samples_of(signal.filter_blocks(whole, signal.high_pass(16_000, 80.0)), "rec"), atol=1e-5)

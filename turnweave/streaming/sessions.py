@@ -1,16 +1,10 @@
-"""Streams: sessions of events and filters that keep their state."""
+"""Streams: sessions of events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.operators.signal import run_section
-
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Events (ts, user_id, value) of a user less than ``gap`` apart: rec, start, end, n, level.
@@ -23,23 +17,3 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
         rows = rows.withWatermark("ts", late)
     w = rows.groupBy(F.col("user_id").alias("rec"), F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("level"))
     return w.select("rec", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "level")
-
-
-def filter_stream(blocks: DataFrame, sections: list[np.ndarray]) -> DataFrame:
-    """filter_blocks for a stream: each channel's filter state is kept between micro-batches."""
-    width = 2 * len(sections)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = np.array(state.get[0]) if state.exists else np.zeros(width)
-        states = list(kept.reshape(-1, 2))
-        rows = pd.concat(list(batches)).sort_values("block_no")
-        out = []
-        for samples in rows.samples:
-            x = np.asarray(samples, dtype=np.float64)
-            for i, s in enumerate(sections):
-                x, states[i] = run_section(x, s, states[i])
-            out.append(x.astype(np.float32))
-        state.update((np.concatenate(states).tolist(),))
-        yield rows.assign(samples=out)[["rec", "channel", "block_no", "start_sample", "samples"]]
-
-    return blocks.groupBy("rec", "channel").applyInPandasWithState(run, "rec long, channel int, block_no long, start_sample long, samples array<float>", "z array<double>", "append", "NoTimeout")
