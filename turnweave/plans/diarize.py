@@ -40,10 +40,10 @@ def speech(blocks: DataFrame, cfg: Settings) -> DataFrame:
     return activity.with_fallback(found, recs)
 
 
-def cut(blocks: DataFrame, wins: DataFrame, keys: tuple[str, ...] = ("rec", "win_no")) -> DataFrame:
+def cut(blocks: DataFrame, wins: DataFrame, keys: tuple[str, ...] = ("rec", "win_no"), sr: int = TARGET_SR) -> DataFrame:
     """windows with their samples, from audio_start to audio_end: joined by the blocks they touch, pieces put together in order."""
     size = blocks.agg(F.max(F.size("samples"))).first()[0] or 1
-    a, b = F.rint(F.col("audio_start") * TARGET_SR).cast("long"), F.rint(F.col("audio_end") * TARGET_SR).cast("long")
+    a, b = F.rint(F.col("audio_start") * sr).cast("long"), F.rint(F.col("audio_end") * sr).cast("long")
     dealt = wins.withColumn("_a", a).withColumn("_b", b).where("_b > _a")
     dealt = dealt.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor((F.col("_b") - 1) / size))))
     joined = dealt.join(blocks.select("rec", "block_no", "start_sample", "samples"), ["rec", "block_no"])

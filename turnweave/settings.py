@@ -30,6 +30,7 @@ class Settings:
     overlap_margin: float = 0.15
     overlap_mode: str = "separate"
     overlap_assign_margin: float = 0.10
+    separation_backend: str = "separation"
     sep_chunk_sec: float = 8.0
     # cross-talk
     crosstalk_gate: bool = True
