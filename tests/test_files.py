@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from turnweave.operators import denoise, models, signal, spectral
 from turnweave.plans import diarize as plan
+from turnweave.plans.export import export_all
 from turnweave.settings import Settings
 from turnweave.sources import audio
 
@@ -154,3 +155,55 @@ def test_prepared(spark):
     a, b = ([v for r in d.orderBy("rec", "start_sample").collect() for v in r.samples] for d in (clean, want))
     assert np.allclose(a, b) and len(a) == 15_000
     assert analysis.agg(F.sum(F.size("samples"))).first()[0] == 30_000
+
+
+def test_activity_back_end(spark, monkeypatch):
+    """Recording 1 is heard by the back end; 2 fails in it and 3 has too little, so both go by their levels."""
+    sr, r = 16_000, np.random.default_rng(8)
+    x = {rec: np.concatenate([0.0001 * r.normal(size=sr), 0.3 * r.normal(size=2 * sr), 0.0001 * r.normal(size=sr)]).astype(np.float32) for rec in (1, 2, 3)}
+    rows = [(rec, 0, i, i * 20_000, [float(v) for v in s[i * 20_000 : (i + 1) * 20_000]]) for rec, s in x.items() for i in range(4)]
+    df = spark.createDataFrame(rows, signal.BLOCKS).cache()
+    second, third = float(x[2][0]), float(x[3][0])
+
+    def load():
+        def f(s):
+            if s[0] == np.float32(second):
+                raise ValueError("broken")
+            return [(0.5, 0.6)] if s[0] == np.float32(third) else [(0.25, 1.0), (1.1, 1.5), (2.0, 2.1)]
+
+        return f
+
+    monkeypatch.setitem(models.REGISTRY, "activity", {"absent": models.Backend("absent", load, lambda: False), "own": models.Backend("own", load)})
+    got = {}
+    for s in plan.speech(df, Settings(vad_backend="auto")).orderBy("start").collect():
+        got.setdefault(s.rec, []).append((round(s.start, 2), round(s.end, 2)))
+    by_level = {}
+    for s in plan.speech(df, Settings()).orderBy("start").collect():
+        by_level.setdefault(s.rec, []).append((round(s.start, 2), round(s.end, 2)))
+    assert got[1] == [(0.25, 1.5)] and got[2] == by_level[2] and got[3] == by_level[3]
+    assert abs(by_level[2][0][0] - 1.0) < 0.05 and abs(by_level[2][-1][1] - 3.0) < 0.05
+    with pytest.raises(RuntimeError, match="own: broken"):
+        plan.speech(df, Settings(vad_backend="own", vad_strict=True))
+    with pytest.raises(RuntimeError, match="absent"):
+        plan.speech(df, Settings(vad_backend="absent", vad_strict=True))
+
+
+def test_export_all(spark, tmp_path):
+    sr, r = 8_000, np.random.default_rng(9)
+    x = (0.2 * r.normal(size=(2, 2 * sr))).astype(np.float32)
+    df = spark.createDataFrame([(7, c, i, i * 5000, [float(v) for v in x[c, i * 5000 : (i + 1) * 5000]]) for c in range(2) for i in range(4)], signal.BLOCKS)
+    segs = spark.createDataFrame([(7, 0, 0.0, 0.5), (7, 1, 0.5, 1.0), (7, 0, 1.5, 2.0)], "rec long, speaker int, start double, end double")
+    none = segs.limit(0)
+    result = plan.Result(segs, none, none, none, none)
+    files = {(f.speaker, f.kind): f for f in export_all(df, result, sr, Settings(), f"file://{tmp_path}/out").collect()}
+    assert set(files) == {(s, k) for s in (0, 1) for k in ("track", "compact")}
+    for (speaker, kind), f in files.items():
+        y, rate = audio.decode_wav(open(f.path.removeprefix("file://"), "rb").read())
+        assert rate == sr and y.shape == (f.n_samples, 2)
+        assert f.n_samples == 2 * sr if kind == "track" else f.n_samples < 2 * sr
+        if kind == "track":
+            on = slice(int(0.55 * sr), int(0.95 * sr))
+            assert y[on].any() == (speaker == 1)
+    assert os.listdir(tmp_path / "out/timelines/rttm/rec=7")
+    few = export_all(df, result, sr, Settings(export_per_speaker=False, export_compact=False), f"file://{tmp_path}/few")
+    assert few.count() == 0 and sorted(os.listdir(tmp_path / "few")) == ["timelines"]

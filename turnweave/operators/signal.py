@@ -242,10 +242,11 @@ def masked(blocks: DataFrame, spans: DataFrame, sr: int, fade: int) -> DataFrame
     """Each speaker's track, as long as the recording: blocks (rec, ...) times the speaker's spans (rec, speaker, start, end), with moving-average fades of ``fade`` samples.
 
     Spans are dealt to the blocks they touch by an equi-join; the fade looks ``fade`` samples past a block's edges, which the spans, not
-    neighbouring blocks, decide. Starts before 0 are clamped here.
+    neighbouring blocks, decide. Spans are clamped to the recording here.
     """
     size = blocks.agg(F.max(F.size("samples"))).first()[0] or 1
-    reach = spans.select("rec", "speaker", F.greatest(F.lit(0.0), "start").alias("start"), "end").where("end > start")
+    long = blocks.where("channel = 0").groupBy("rec").agg((F.sum(F.size("samples")) / sr).alias("_long"))
+    reach = spans.join(long, "rec").select("rec", "speaker", F.greatest(F.lit(0.0), "start").alias("start"), F.least("end", "_long").alias("end")).where("end > start")
     first, last = F.floor((F.col("start") * sr - fade) / size), F.floor((F.col("end") * sr + fade) / size)
     dealt = reach.withColumn("block_no", F.explode(F.sequence(F.greatest(F.lit(0), first), last)))
     listed = dealt.groupBy("rec", "speaker", "block_no").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("spans"))

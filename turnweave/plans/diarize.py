@@ -6,13 +6,17 @@ tree would grow by a factor with every step, and no part of it would be kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.operators import activity, clustering, denoise, frames, gate, intervals, models, signal, speakers, windows
 from turnweave.operators import tracks as speaker_tracks
+from turnweave.operators.tiles import chunks
 from turnweave.settings import TARGET_SR, Settings
 from turnweave.sources.scratch import written
 
@@ -29,11 +33,51 @@ class Result:
     kills: DataFrame
 
 
+def heard_by(blocks: DataFrame, backend: models.Backend, cfg: Settings) -> DataFrame:
+    """Merged spans of speech (rec, start, end) as an activity back end finds them in mono blocks at 16 kHz; a recording in which it fails in any chunk has none, or, with ``cfg.vad_strict``, is an error.
+
+    ``backend.load()`` gives f(signal), a list of (start, end) in seconds; it sees chunks of five minutes that share 0.3 s.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = backend.load()
+        for b in batches:
+            for r in b.itertuples():
+                found, error = [], None
+                try:
+                    found = f(np.asarray(r.samples, dtype=np.float32))
+                except Exception as e:
+                    error = f"{backend.name}: {e or type(e).__name__}"
+                at = r.start_sample / TARGET_SR
+                rows = [(r.rec, at + s, at + e, None) for s, e in found] if error is None else [(r.rec, None, None, error)]
+                yield pd.DataFrame(rows, columns=["rec", "start", "end", "error"])
+
+    raw = written(chunks(blocks, TARGET_SR, 300.0).select("rec", "start_sample", "samples").mapInPandas(run, "rec long, start double, end double, error string"), "heard")
+    failed = raw.where("error is not null").select("rec", "error")
+    if cfg.vad_strict and (first := failed.first()) is not None:
+        raise RuntimeError(f"recording {first.rec}: {first.error}")
+    spans = raw.where("error is null and end > start").join(failed.select("rec").distinct(), "rec", "left_anti")
+    return intervals.merge_gaps(spans, cfg.vad_min_silence_sec, least=cfg.vad_min_speech_sec).select("rec", "start", "end")
+
+
 def speech(blocks: DataFrame, cfg: Settings) -> DataFrame:
-    """Spans of activity (rec, start, end) of mono blocks at 16 kHz."""
+    """Spans of activity (rec, start, end) of mono blocks at 16 kHz.
+
+    ``cfg.vad_backend`` names an activity back end, or "auto" the first that is registered and there. Recordings in which it fails or finds under half a second, and all
+    without one or for "energy", go by their levels; those in which that too finds next to nothing, but that are not silent, are speech as a whole.
+    """
     levels = written(signal.frame_levels(blocks, FRAME, HOP), "levels")
     gated = activity.energy_gate(levels, cfg.energy_vad_threshold_db)
     found = activity.active_spans(gated, HOP / TARGET_SR, cfg.vad_min_silence_sec, cfg.vad_min_speech_sec)
+    names = list(models.REGISTRY["activity"]) if cfg.vad_backend == "auto" else [cfg.vad_backend] * (cfg.vad_backend != "energy")
+    backend = next((b for n in names if (b := models.REGISTRY["activity"].get(n)) is not None and b.available()), None)
+    if backend is None and cfg.vad_strict and names:
+        raise RuntimeError(f"no activity back end of {', '.join(names)} is available")
+    if backend is not None:
+        own = written(heard_by(blocks, backend, cfg), "heard")
+        enough = own.groupBy("rec").agg(F.sum(F.col("end") - F.col("start")).alias("s")).where("s >= 0.5").select("rec")
+        own = own.join(enough, "rec", "left_semi")
+        found = own if cfg.vad_strict else own.unionByName(found.join(enough, "rec", "left_anti"))
     squares = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     whole = blocks.groupBy("rec").agg(F.sum(F.size("samples")).alias("n"), F.sum(squares).alias("s"))
     recs = whole.select("rec", (F.col("n") / TARGET_SR).alias("duration"), F.sqrt(F.col("s") / F.greatest("n", F.lit(1))).alias("rms"))
@@ -126,7 +170,7 @@ def tracks(blocks: DataFrame, result: Result, sr: int, cfg: Settings, injections
     cuts = result.kills.select(F.xxhash64("rec", "speaker").alias("rec"), "start", "end")
     names = own.select(F.xxhash64("rec", "speaker").alias("_k"), F.col("rec").alias("_rec"), "speaker").distinct()
     kept = intervals.subtract(per, cuts).withColumnRenamed("rec", "_k").join(names, "_k").select(F.col("_rec").alias("rec"), "speaker", "start", "end")
-    out = signal.masked(blocks, written(kept, "kept"), sr, max(1, int(cfg.boundary_fade_ms / 1000 * sr)))
+    out = signal.masked(blocks, written(kept, "kept"), sr, max(1, round(cfg.boundary_fade_ms / 1000 * sr)))
     if injections is not None:
         out = speaker_tracks.injected(written(out, "masked"), injections, sr)
     if not cfg.enhance:

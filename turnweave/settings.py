@@ -63,6 +63,7 @@ class Settings:
     # back ends
     diarization_backend: str = "builtin"
     vad_backend: str = "energy"
+    vad_strict: bool = False
     embedding_backend: str = "mfcc"
     # output
     export_per_speaker: bool = True
