@@ -147,6 +147,39 @@ def test_ladder(spark, monkeypatch):
     assert same.count() == 9 and {r.step for r in none.collect()} == {"none"}
 
 
+def test_files_of_several_rates(spark, tmp_path):
+    """8, 16 and 44.1 kHz, one and two channels, from files to the mono copy in one call."""
+    r, x = np.random.default_rng(5), {}
+    for i, (sr, channels, n) in enumerate([(8_000, 1, 9001), (16_000, 2, 16_003), (44_100, 2, 30_000), (44_100, 1, 12_345)]):
+        x[f"{i}.wav"] = sr, r.uniform(-0.5, 0.5, (n, channels))
+        write(tmp_path / f"{i}.wav", x[f"{i}.wav"][1], sr)
+    blocks = audio.read_wav(spark, str(tmp_path), 0.3).cache()
+    names = {b.rec: b.path[-5:] for b in blocks.collect()}
+    for got in (signal.analysis_copy(blocks, "sr"), plan.prepared(blocks, "sr", Settings(denoise=False))[1]):
+        rows = {}
+        for b in got.orderBy("start_sample").collect():
+            assert b.start_sample == len(rows.setdefault(names[b.rec], []))
+            rows[names[b.rec]].extend(b.samples)
+        for name, (sr, whole) in x.items():
+            assert np.allclose(rows[name], signal.resample(whole.mean(axis=1), sr, 16_000), atol=1e-4), name
+
+
+def test_voice_statistics():
+    """MFCC means and deviations against sums written out."""
+    x, sr = np.random.default_rng(6).normal(size=1700), 16_000
+    frames = [x[i : i + 512] * np.hanning(512) for i in range(0, len(x) - 511, 160)]
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 8000 / 700), 42) / 2595) - 1)
+    rows = []
+    for f in frames:
+        power = [abs(sum(f[j] * np.exp(-2j * np.pi * k * j / 512) for j in range(512))) ** 2 for k in range(257)]
+        bands = [sum(power[k] * max(0.0, min((k * sr / 512 - a) / (b - a), (c - k * sr / 512) / (c - b))) for k in range(257)) for a, b, c in zip(edges, edges[1:], edges[2:])]
+        logs = np.log(np.array(bands) + 1e-10)
+        rows.append([np.sqrt(2 / 40) * sum(logs[m] * np.cos(np.pi / 40 * (m + 0.5) * n) for m in range(40)) for n in range(20)])
+    c = np.array(rows)
+    delta = np.array([(c[min(i + 1, len(c) - 1)] - c[max(i - 1, 0)]) / (min(i + 1, len(c) - 1) - max(i - 1, 0)) for i in range(len(c))])
+    assert np.allclose(signal.mfcc_stats(x), np.concatenate([c.mean(0), c.std(0), delta.mean(0), delta.std(0)]), atol=1e-6)
+
+
 def test_prepared(spark):
     _, df = noisy(spark)
     clean, analysis, steps = plan.prepared(df, 8000, Settings())

@@ -26,19 +26,22 @@ def resample(x: np.ndarray, old: int, new: int) -> np.ndarray:
     return np.interp(np.linspace(0, len(x) / old, n, endpoint=False), np.linspace(0, len(x) / old, len(x), endpoint=False), x).astype(np.float32)
 
 
-def resampled(blocks: DataFrame, old: int, new: int) -> DataFrame:
-    """Blocks at another rate, as ``resample`` of the whole channel would give: each block makes the samples that begin in it and needs one sample of the next."""
+def resampled(blocks: DataFrame, old: int | str, new: int) -> DataFrame:
+    """Blocks at another rate, as ``resample`` of the whole channel would give: each block makes the samples that begin in it and needs one sample of the next.
+
+    ``old`` is the rate of all, or the column that holds each recording's.
+    """
     if old == new:
         return blocks.select("rec", "channel", "block_no", "start_sample", "samples")
     total = blocks.groupBy("rec", "channel").agg(F.sum(F.size("samples")).alias("total"))
     order = Window.partitionBy("rec", "channel").orderBy("block_no")
-    rows = blocks.withColumn("after", F.lead(F.col("samples")[0]).over(order)).join(total, ["rec", "channel"])
+    rows = blocks.withColumn("after", F.lead(F.col("samples")[0]).over(order)).join(total, ["rec", "channel"]).withColumn("rate", F.col(old) if isinstance(old, str) else F.lit(old))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             starts, out = [], []
             for r in b.itertuples():
-                n = int(np.rint(r.total / old * new))
+                n = int(np.rint(r.total / r.rate * new))
                 step, x = r.total / max(1, n), np.asarray(r.samples, dtype=np.float64)
                 j = np.arange(int(np.ceil(r.start_sample / step)), min(n, int(np.ceil((r.start_sample + len(x)) / step))))
                 x = np.append(x, x[-1:] if pd.isna(r.after) else r.after)
@@ -58,9 +61,9 @@ def mono(blocks: DataFrame) -> DataFrame:
     return blocks.select("rec", "channel", "block_no", "start_sample", "samples").groupBy("rec", "block_no").applyInPandas(average, BLOCKS)
 
 
-def analysis_copy(blocks: DataFrame, sr: int) -> DataFrame:
-    """The mono copy at 16 kHz that activity and voiceprints are measured on."""
-    return resampled(mono(blocks), sr, TARGET_SR)
+def analysis_copy(blocks: DataFrame, sr: int | str) -> DataFrame:
+    """The mono copy at 16 kHz that activity and voiceprints are measured on; ``sr`` is the rate of all recordings, or the column that holds each one's."""
+    return mono(resampled(blocks, sr, TARGET_SR)) if isinstance(sr, str) else resampled(mono(blocks), sr, TARGET_SR)
 
 
 def frame_levels(blocks: DataFrame, size: int = 480, hop: int = 160) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,11 +103,18 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("win_no", F.row_number().over(Window.partitionBy("rec").orderBy("start", "end", "span_id", "win_no")).cast("long"))
 
 
-def prepared(blocks: DataFrame, sr: int, cfg: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clean, analysis, steps) of recordings in blocks at one rate: noise reduced as far as ``cfg`` says, its mono copy at 16 kHz, and what was done to each.
+def prepared(blocks: DataFrame, sr: int | str, cfg: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean, analysis, steps) of recordings in blocks: noise reduced as far as ``cfg`` says, its mono copy at 16 kHz, and what was done to each.
+
+    ``sr`` is the rate of all recordings, or the column that holds each one's; there are few different rates, and each is a plan of its own.
 
     ``diarize`` takes the analysis copy, ``tracks`` the clean blocks.
     """
+    if isinstance(sr, str):
+        parts = [prepared(blocks.where(F.col(sr) == r[0]), r[0], cfg) for r in sorted(blocks.select(sr).distinct().collect())]
+        if parts:
+            return tuple(reduce(DataFrame.unionByName, same) for same in zip(*parts, strict=True))
+        sr = TARGET_SR
     clean, steps = denoise.denoised(blocks, sr, cfg)
     clean = written(clean, "clean")
     return clean, written(signal.analysis_copy(clean, sr), "analysis"), steps
