@@ -291,6 +291,14 @@ def overlap_margin(spark, sf_dir):
     return rounded(speakers.overlap_margins(prints_of(spark, sf_dir)), "top1", "top2", "margin")
 
 
+@query(
+    _with(PRINTS, UNIT, PARTS, SIMS, RANKED, "near as (select rec, win_no from ranked group by rec, win_no having count(*) > 1 and max(sim) filter (r = 1) - max(sim) filter (r = 2) < 0.15::double)")
+    + "select rec, win_no, case when n.win_no is not null then -2 else label end::int as label from prints p left join near n using (rec, win_no)"
+)
+def mark_overlaps(spark, sf_dir):
+    return speakers.mark_overlaps(prints_of(spark, sf_dir), 0.15).select("rec", "win_no", "label")
+
+
 @query(
     _with(PRINTS, UNIT, "sums as (select rec, i, sum(v[i] / n) as x from unit, range(1, 65) t(i) group by rec, i)", "own as (select rec, sum(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))) as o, count(*) as m from unit group by rec)")
     + "select rec, round((sum(x * x) - any_value(o)) / greatest(1, any_value(m * m - m)) * 0.5::double, 6) as score from sums join own using (rec) group by rec"
@@ -544,7 +552,22 @@ def linkage_rounds(spark, sf_dir):
     return clustering.agglomerative(tables.voiceprints(spark, sf_dir), [2, 5], limit=30)
 
 
-@query()
+#: Silhouettes of the clusterings for 2 to 4, half the mean likeness for 1, the best of them.
+CHOSEN = """cosines as (select a.rec, a.win_no as x, b.win_no as y, list_sum(list_transform(range(1, 65), lambda i: a.v[i] / a.n * b.v[i] / b.n)) as c from unit a join unit b on a.rec = b.rec),
+apart as (
+  select c.rec, p.k, x, p.label as own, q.label as other, avg(1 - c) filter (x <> y) as m, count(*) as size
+  from cosines c join labels p on p.rec = c.rec and p.win_no = x join labels q on q.rec = c.rec and q.win_no = y and q.k = p.k group by all),
+sides as (select rec, k, x, max(m) filter (own = other) as a, min(m) filter (own <> other) as b, max(size) filter (own = other) as size, count(*) as found from apart group by rec, k, x),
+scored as (
+  select rec, k, case when max(found) < 2 or max(found) >= count(*) then -1 else avg(case when size = 1 then 0 else (b - a) / greatest(a, b) end) end as score from sides group by rec, k
+  union all
+  select rec, 1, 0.5::double * coalesce(sum(c) filter (x <> y), 0) / greatest(1, count(*) filter (x <> y)) from cosines group by rec)"""
+
+
+@query(
+    _with(PRINTS, LINKED.replace("KS", "[2, 3, 4]"), UNIT, CHOSEN)
+    + "select rec, arg_max(k, (score, -k))::int as k, round(max(score), 6) as score from scored join sizes using (rec) where n > 1 group by rec union all select rec, 1, null from sizes where n < 2"
+)
 def auto_speaker_count(spark, sf_dir):
     return rounded(clustering.choose_speakers(tables.voiceprints(spark, sf_dir), 1, 4), "score")
 
