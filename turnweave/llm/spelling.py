@@ -162,11 +162,9 @@ def near_vectors(sigs: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(leaves[i : i + 20_000], pa.int64()), pa.array(np.full(len(part), radius), pa.int32()), pa.array([text[k] for k in part])], ["leaf", "radius", "sig"])
 
     places = written(sigs.select("sig").mapInArrow(routed, "leaf long, radius int, sig string"), "leaves")
-    searched = places.where("radius > 0").groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("deals")).where("deals > 1").collect()
-    deals = F.lit(1).cast("long")
-    for r in searched:
-        deals = F.when(F.col("leaf") == r.leaf, r.deals).otherwise(deals)
-    places = places.withColumn("deals", deals)
+    # one row for each leaf: at most SAMPLE / FITTED and one for each length
+    deals = places.where("radius > 0").groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("deals"))
+    places = places.join(F.broadcast(deals), "leaf", "left").withColumn("deals", F.coalesce("deals", F.lit(1).cast("long")))
     one = F.array(F.pmod(F.xxhash64("sig", F.lit(17)), F.col("deals")))
     places = places.withColumn("deal", F.explode(F.when(F.col("radius") == 0, F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).otherwise(one)))
 
