@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import as_bytes, held_out, slices, written
+from .common import as_bytes, held_out, least, slices, written
 
 #: At most this many positives and unlabelled rows, those with the least hashes of doc_id, are fitted on. Both bounds are parameters of the
 #: fit alone: every document is scored. The risk is a mean over unlabelled text, and 20,000 rows give it to within half a percent.
@@ -147,7 +147,7 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 600) -> tuple[Network, float]
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    got = rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", F.xxhash64("x")).limit(most).select("x").toArrow().column("x").combine_chunks()
+    got = least(rows, most, F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), F.xxhash64("x")).select("x").toArrow().column("x").combine_chunks()
     return np.asarray(got.flatten(), dtype=np.float64).reshape(-1, N_FEATURES)
 
 
