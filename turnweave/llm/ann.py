@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import least, spread_join, written
 
-TOP, EVERY, TREES, LEAF, SAMPLE, BLOCK = 20, 20, 4, 64, 20_000, 8_192
+TOP, EVERY, TREES, LEAF, SAMPLE, BLOCK, QUERIES = 20, 20, 4, 64, 20_000, 8_192, 32_768
 #: Recall that the number of leaves is chosen for, by queries of the sample; vectors of the sample that a leaf has at least.
 RECALL, TRIED, FITTED = 0.94, 100, 16
 
@@ -116,7 +116,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     vectors that are null, empty, zero, of another length than most or not finite take no part; repeated rows
     count once. Among equal scores the lesser vec_id is first; fewer candidates than ``top`` give fewer rows. Only the fitting sample
     reaches the driver. Neighbouring leaves of a tree are dealt out together, 8,192 vectors at a time, and a larger leaf in
-    several blocks, so none is too large for a task.
+    several blocks; distinct queries are dealt out by 32,768, each lot with its own copy of the leaves. So neither side is too large for a task.
     """
     spark = vectors.sparkSession
     rows = written(valid(vectors).withColumn("code", F.xxhash64("embedding")), "vectors")
@@ -128,7 +128,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     items = items.withColumn("item", F.struct("item", F.xxhash64("embedding").alias("code")))
     n = items.count()
     longest = float(items.agg(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)"))).first()[0] or 0.0)
-    fit = items.orderBy(F.col("item.code"), F.col("item.item")).limit(sample).select("embedding").toArrow()
+    fit = least(items, sample, F.col("item.code"), F.col("item.item")).select("embedding").toArrow()
     wide = lambda x: np.column_stack([x, np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))])
     depth = max(0, min(math.floor(math.log2(max(1, sample / FITTED))), math.ceil(math.log2(max(1, n) / leaf))))
     fitted = wide(_matrix(fit.column("embedding").combine_chunks())) if n else None
@@ -166,10 +166,12 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     indexed = items.select("item", "embedding", F.pmod(F.col("item.code"), F.lit(blocks)).cast("int").alias("block"))
     indexed = indexed.mapInArrow(index, f"tree int, lot long, block int, leaf long, item {name}, embedding array<double>")
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    asked = written(asked.join(items.select("embedding", "item"), "embedding").select("vec_id", "item", "embedding"), "asked")
-    queries = asked.groupBy("item").agg(F.first("embedding").alias("embedding"))
+    asked = written(spread_join(asked, items.select("embedding", "item"), ["embedding"], by=["vec_id"]).select("vec_id", "item", "embedding"), "asked")
+    queries = written(asked.groupBy("item").agg(F.first("embedding").alias("embedding")), "queries")
+    deals = max(1, -(-queries.count() // QUERIES))
     queries = queries.mapInArrow(ask, f"tree int, lot long, query {name}, embedding array<double>, leaves array<long>")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("deal", F.pmod(F.col("query.code"), F.lit(deals)).cast("int"))
+    indexed = indexed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
     want = top + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -201,12 +203,13 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
             ss.append(exact[ok])
         return pa.table([right.column("query").take(np.concatenate(qs)), left.column("item").take(np.concatenate(cs)), pa.array(np.concatenate(ss))], schema=kind)
 
-    found = indexed.groupBy("tree", "lot", "block").cogroup(queries.groupBy("tree", "lot", "block")).applyInArrow(score, f"query {name}, item {name}, score double")
+    found = indexed.groupBy("tree", "lot", "block", "deal").cogroup(queries.groupBy("tree", "lot", "block", "deal")).applyInArrow(score, f"query {name}, item {name}, score double")
     found = found.groupBy("query", "item").agg(F.max("score").alias("score"))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item.item"))).where(F.col("n") <= want)
     best = best.join(items.select("item", "ids"), "item").select("query", "score", F.explode("ids").alias("vec_id"))
     nearer = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = written(best.withColumn("n", F.row_number().over(nearer)).where(F.col("n") <= 2 * want).drop("n"), "best")
-    out = asked.select(F.col("vec_id").alias("query_id"), "item").join(best.withColumnRenamed("query", "item"), "item").where("query_id != vec_id")
+    # one vector may be the query of very many ids
+    out = spread_join(asked.select(F.col("vec_id").alias("query_id"), "item"), best.withColumnRenamed("query", "item"), ["item"], by=["query_id"]).where("query_id != vec_id")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "item").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
