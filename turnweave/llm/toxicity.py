@@ -18,16 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, written
+from .common import held_out, least, slices, text_key, written
+from .near_dedup import classes
 
-#: At most this many labelled rows, those with the least hashes of doc_id, and this many terms, those of most weight, are learned.
-ROWS, TERMS, THRESHOLD = 30_000, 20_000, 0.3
+#: At most this many labelled rows, those with the least hashes of doc_id, are learned from.
+ROWS, THRESHOLD = 30_000, 0.3
 #: Tokens up to this length are remembered; words inside a spaced run are read from each of its letters on as far as this, from its first letter on whole.
 REMEMBERED, SPAN = 96, 500
-#: Kinds of trigrams, the most common ones, that the letter model holds at most; all words of all documents count in them.
-GRAMS = 500_000
-#: A term counts if at least three toxic rows and this share of them have it: less can be one text with its copies.
-SUPPORT = 0.01
+#: A term counts if at least this many toxic texts have it; near copies of one another count as one text.
+SUPPORT = 3
 #: Letters that a character can stand for, besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "%": "aeiou", "#": "aeiou"}
 SEPARATORS = ".-_*~'`^,:;/\\+ "
@@ -40,16 +39,42 @@ _TRIPLE = re.compile(r"(.)\1\1")
 _SINGLES = re.compile(rb"\x01{3,}")
 
 
+def packed(gram: str) -> int:
+    """A trigram as one number, 21 bits for each letter."""
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+
+
+class Counts:
+    """Numbers with their counts, twelve to sixteen bytes each."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, first = np.unique(keys, return_inverse=True)
+        self.counts = np.bincount(first, weights=counts, minlength=len(self.keys)).astype(np.int64)
+
+    def get(self, key: int) -> int:
+        i = int(self.keys.searchsorted(key))
+        return int(self.counts[i]) if i < len(self.keys) and self.keys[i] == key else 0
+
+
 class Letters:
-    """Trigram model over whatever letters its words have; the end of a word counts as a letter. Rare trigrams lean on their last two letters."""
+    """Trigram model over whatever letters its words have; the end of a word counts as a letter. Rare trigrams lean on their last two letters.
+
+    It holds every trigram that there is, as sorted numbers.
+    """
 
     def __init__(self, trigrams: Counter[str]):
-        self.three, self.two, self.last, self.middle, letters = dict(trigrams), Counter(), Counter(), Counter(), set()
-        for g, n in trigrams.items():
-            self.two[g[:2]] += n
-            self.last[g[1:]] += n
-            self.middle[g[1]] += n
-            letters.update(g)
+        self.fill(np.array([packed(g) for g in trigrams], dtype=np.int64), np.array(list(trigrams.values()), dtype=np.int64))
+
+    @classmethod
+    def of(cls, codes: np.ndarray, counts: np.ndarray) -> Letters:
+        out = cls.__new__(cls)
+        out.fill(codes, counts)
+        return out
+
+    def fill(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        low = (1 << 21) - 1
+        self.three, self.two, self.last, self.middle = Counts(codes, counts), Counts(codes >> 21, counts), Counts(codes & (1 << 42) - 1, counts), Counts(codes >> 21 & low, counts)
+        letters = np.unique(np.concatenate([codes >> 42, codes >> 21 & low, codes & low]))
         self.size = len(letters) + 1  # one more for all that was never seen
         self.known: dict[str, float] = {}
 
@@ -57,8 +82,9 @@ class Letters:
         g = a + b + c
         cost = self.known.get(g)
         if cost is None:
-            leant = 5.0 * (self.last.get(b + c, 0) + 0.1) / (self.middle.get(b, 0) + 0.1 * self.size)
-            cost = -math.log((self.three.get(g, 0) + 0.02 + leant) / (self.two.get(a + b, 0) + 0.02 * self.size + 5.0))
+            code = packed(g)
+            leant = 5.0 * (self.last.get(code & (1 << 42) - 1) + 0.1) / (self.middle.get(ord(b)) + 0.1 * self.size)
+            cost = -math.log((self.three.get(code) + 0.02 + leant) / (self.two.get(code >> 21) + 0.02 * self.size + 5.0))
             if len(self.known) > 1_000_000:
                 self.known.clear()
             self.known[g] = cost
@@ -195,7 +221,7 @@ def _trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             w = f"\n\n{word}\n"
             for i in range(len(w) - 2):
                 count[w[i : i + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed(g) for g in count], pa.int64()), pa.array(count.values(), pa.int64())], ["gram", "n"])
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +239,10 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def letter_model(docs: DataFrame) -> Letters:
-    """Counts all plain words of all documents; the trigrams of the most common 500,000 kinds reach the driver."""
+    """Counts all plain words of all documents. Every kind of trigram reaches the driver, in 16 bytes: as many as the letters of languages combine to, not as there are documents."""
     words = docs.select("text").mapInArrow(_word_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    grams = words.mapInArrow(_trigram_batches, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = grams.orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
-    return Letters(Counter(dict(zip(got.column("gram").to_pylist(), got.column("n").to_pylist(), strict=True))))
+    got = words.mapInArrow(_trigram_batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return Letters.of(*(got.column(c).to_numpy() for c in ("gram", "n")))
 
 
 class Model:
@@ -261,7 +286,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     letters = letter_model(docs)
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(ROWS)
+    known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labelled")
+    known = least(known, ROWS, F.xxhash64("doc_id", F.lit(23)), F.col("doc_id"))
     kept = spark.sparkContext.broadcast(letters)
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +295,17 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = [restorer.words(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("half"), part.column("toxic"), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int64()))], ["half", "toxic", "words", "times"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "class", "half", "toxic")), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int64()))], ["key", "class", "half", "toxic", "words", "times"])
 
-    # copies of a text fall into the same half
-    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")
     # the sample is bounded, so its broadcast is
-    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").select(half, "toxic", "text")
-    rows = written(rows.mapInArrow(restore, "half int, toxic int, words array<string>, times array<long>"), "restored")
+    rows = docs.where("text is not null").join(F.broadcast(known), "doc_id").withColumn("key", text_key(F.col("text")))
+    rows = written(rows, "labelled_texts")
+    # near copies of a toxic text are one text: they fall into the same half, and count once for a term
+    found = classes(rows.where("toxic > 0")).select("key", F.col("class_key").alias("class")).distinct()
+    rows = rows.join(F.broadcast(found), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    rows = rows.select("key", "class", F.pmod(F.xxhash64("class"), F.lit(2)).cast("int").alias("half"), "toxic", "text")
+    rows = written(rows.mapInArrow(restore, "key binary, class binary, half int, toxic int, words array<string>, times array<long>"), "restored")
+    once = rows.where("toxic = 0 or key = class").dropDuplicates(["key", "toxic"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,20 +317,20 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
                     bad.update(own)
             yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in all_], pa.int32()), pa.array([t[1] for t in all_], pa.string()), pa.array([bad[t] for t in all_], pa.int64()), pa.array(all_.values(), pa.int64())], ["half", "term", "bad", "all"])
 
-    total = {r.half: r for r in rows.groupBy("half").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).collect()}
+    total = {r.half: r for r in once.groupBy("half").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).collect()}
     n_bad = {h: r.bad or 0 for h, r in total.items()}
     n_all = {h: r["all"] for h, r in total.items()}
     if not sum(n_bad.values()) or sum(n_bad.values()) == sum(n_all.values()):
         return Model(letters, {}, np.array([4.0 if sum(n_bad.values()) else -4.0, 0, 0, 0]))
-    counted = rows.mapInArrow(spell, "half int, term string, bad long, all long").groupBy("term", "half").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
+    counted = once.mapInArrow(spell, "half int, term string, bad long, all long").groupBy("term", "half").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
     counted = written(counted, "terms")
 
     def weighed(halves: tuple[int, ...]) -> dict[str, float]:
         bad, all_ = (sum(n.get(h, 0) for h in halves) for n in (n_bad, n_all))
         own = counted.where(F.col("half").isin(*halves)).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
         weight = F.log((F.col("bad") + 0.1) / (bad + 0.2)) - F.log((F.col("all") - F.col("bad") + 0.1) / (all_ - bad + 0.2))
-        strong = own.where(F.col("bad") >= max(3, SUPPORT * bad)).withColumn("weight", weight).where("weight > 2.5")
-        return {r.term: float(r.weight) for r in strong.orderBy(F.desc(F.col("weight") * F.log("bad")), "term").limit(TERMS).collect()}
+        # the sample is bounded, so its terms are
+        return {r.term: float(r.weight) for r in own.where(F.col("bad") >= SUPPORT).withColumn("weight", weight).where("weight > 2.5").select("term", "weight").collect()}
 
     # the curve is fitted on what one half's weights make of the other half
     first, weights = weighed((0,)), weighed((0, 1))
