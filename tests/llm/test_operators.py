@@ -403,6 +403,43 @@ def test_long_and_joined_disguises():
     assert len(toxicity.decode("1 " * 20_000, rest.letters)) <= 40_000
 
 
+def test_rare_toxic_words_and_copies(spark):
+    r = random.Random(9)
+    text = lambda *own: " ".join(r.sample([f"w{r.randint(0, 400)}" for _ in range(25)] + list(own), 25 + len(own)))
+    rare, common, once = [text("zounderkite") for _ in range(6)], [text("idiot") for _ in range(900)], text("gardening", "idiot").split()
+    copies = [" ".join([*once[:i], "other", *once[i + 1 :]]) for i in range(len(once)) if once[i] != "gardening"] * 2
+    texts = [(t, 1) for t in rare + common + copies] + [(text(), 0) for _ in range(1200)]
+    docs = docs_of(spark, [(i, t, "s") for i, (t, _) in enumerate(texts)])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.learned(docs, labels)
+    assert "idiot\n" in model.weights and "zounderkite\n" in model.weights  # under 1 % of the toxic rows have it
+    assert "gardening\n" not in model.weights  # near copies of one text have it
+
+
+def test_letter_model_holds_every_trigram():
+    words = {f"{a}{b}x": 1 + i for i, (a, b) in enumerate((chr(0x4E00 + j), chr(0x4E00 + j // 7)) for j in range(3000))}
+    grams = trigrams(words)
+    letters = toxicity.Letters(grams)
+    assert len(letters.three.keys) == len(grams) and all(letters.three.get(toxicity.packed(g)) == n for g, n in grams.items())
+    for at, part in ((letters.two, lambda g: g[:2]), (letters.last, lambda g: g[1:]), (letters.middle, lambda g: g[1])):
+        want = Counter()
+        for g, n in grams.items():
+            want[part(g)] += n
+        assert len(at.keys) == len(want) and sum(at.counts) == sum(want.values())
+        assert all(at.get(toxicity.packed("\0" * (3 - len(k)) + k)) == n for k, n in want.items())
+    assert letters.three.get(toxicity.packed("abc")) == 0 and letters.size == len(set("".join(grams))) + 1
+
+
+def test_least_rows(spark):
+    from turnweave.llm.common import least
+
+    rows = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") % 3).alias("b")).repartition(20)
+    for h in (F.xxhash64("a"), F.xxhash64("b")):  # many ties in the second
+        for n in (0, 7, 700, 4999, 9000):
+            assert [r.a for r in least(rows, n, h, F.col("a")).collect()] == [r.a for r in rows.orderBy(h, "a").limit(n).collect()]
+    assert least(rows.where("a < 0"), 5, F.xxhash64("a")).count() == 0
+
+
 def test_prior():
     rng = np.random.default_rng(0)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 3000)
@@ -479,12 +516,24 @@ def test_archives(spark, monkeypatch):
 
 
 def test_records_are_warc():
-    data = warc.record(5, "http://a.org/", "response", b"<html>", "d" * 40, None, b"0" * 16)
+    data = warc.record(5, "http://a.org/", "response", b"<html>", "d" * 40)
     head, _, rest = gzip.decompress(data).partition(b"\r\n\r\n")
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
-    assert rest == b"<html>\r\n\r\n"
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Type: application/http; msgtype=response" in head
+    assert rest == b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 6\r\n\r\n<html>\r\n\r\n"
     headers, body = warc.parse(data)
     assert body == b"<html>" and headers["WARC-Target-URI"] == "http://a.org/"
+    again, none = warc.parse(warc.record(4, "http://b.org/", "revisit", b"<html>", "d" * 40, 5, "http://a.org/"))
+    assert none == b"" and again["WARC-Type"] == "revisit"
+    assert again["WARC-Refers-To"] == headers["WARC-Record-ID"] != again["WARC-Record-ID"]
+    assert again["WARC-Refers-To-Target-URI"] == "http://a.org/" and again["WARC-Refers-To-Date"] == headers["WARC-Date"]
+
+
+def test_revisits_name_a_response(spark):
+    rows = [(1, "http://a/", "x" * 1000), (2, "http://b/", "x" * 1000), (2, "http://c/", "x" * 1000), (3, None, "y" * 1000), (None, "http://d/", "y" * 1000), (4, "http://e/", "z")]
+    got = {(r.page_id, r.url): r for r in warc.marked(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    refers = {k: (r.refers_to, r.refers_uri) for k, r in got.items() if r.kind == "revisit"}
+    assert refers == {(1, "http://a/"): (2, "http://c/"), (None, "http://d/"): (3, None)}
+    assert all(r.refers_uri is None for r in got.values() if r.kind == "response")
 
 
 def test_lookup_of_keys(spark):
@@ -496,3 +545,12 @@ def test_lookup_of_keys(spark):
     directory = written(warc.write_index(captures, f"{root}/i"), "directory")
     keys = spark.createDataFrame([("org,h)/007",), ("org,h)/099",), ("org,nowhere)/",)], "surt string")
     assert sorted(r.page_id for r in warc.lookup(keys, directory, f"{root}/i", f"{root}/a").collect()) == [7, 99]
+
+
+def test_dealt_queries_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(700)] + [(20 * i, [1.0] * 6) for i in range(100, 400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(ann.search(vectors).collect())
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    assert sorted(ann.search(vectors).collect()) == want

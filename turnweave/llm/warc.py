@@ -26,8 +26,10 @@ from .common import scratch_path, slices, spread_join, written
 
 REVISIT_BYTES, BLOCK_LINES, ARCHIVE_BYTES = 1000, 2000, 256_000_000
 #: Captures and archive bytes that a part of the index stands for at most; repeated payloads whose digests are sent to all tasks at most.
-PART_LINES, PART_BYTES, FEW = 500_000, 512_000_000, 1_000_000
+PART_LINES, PART_BYTES, FEW = 500_000, 512_000_000, 250_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: When the pages were fetched is not known.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def surt(url: str | None) -> str:
@@ -43,22 +45,30 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def record(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None, own_digest: bytes) -> bytes:
-    """One gzip member. A revisit has the payload's digest and length, but no payload."""
-    body = payload if kind == "response" else b""
-    one_line = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=own_digest)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {one_line}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {'' if page_id is None else page_id}"]
+def one_line(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """A record's name follows from its page, so that revisits can name their response without looking for it. Repeated rows are one record written again."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {one_line(url)}')}>"
+
+
+def record(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None = None, refers_uri: str | None = None) -> bytes:
+    """One gzip member: an HTTP response, or a revisit with its HTTP head alone, which names the record that has the payload."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (payload if kind == "response" else b"")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {'' if page_id is None else page_id}"]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
-    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 4, mtime=0)
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_uri, digest)}", f"WARC-Refers-To-Target-URI: {one_line(refers_uri)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 4, mtime=0)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of one record."""
+    """Headers and payload of one record; a revisit has none."""
     head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
     headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+    return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -88,18 +98,16 @@ class _Archive:
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
-    """Write pages (page_id, url, html, digest, kind, refers_to) under root; a capture row each: surt, page_id, archive, start, length."""
+    """Write pages (page_id, url, html, digest, kind, refers_to, refers_uri) under root; a capture row each: surt, page_id, archive, start, length."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, serial, salt = None, 0, uuid.uuid4().bytes
+        archive = None
         for batch in batches:
             archive = archive or _Archive(root)
             for part in slices(batch, "html"):
                 keys, names, starts, lengths = [], [], [], []
                 for x in part.to_pylist():
-                    serial += 1
-                    own = hashlib.md5(salt + serial.to_bytes(8, "big")).digest()
-                    data = record(x["page_id"], x["url"], x["kind"], x["html"].encode(), x["digest"], x["refers_to"], own)
+                    data = record(x["page_id"], x["url"], x["kind"], x["html"].encode(), x["digest"], x["refers_to"], x["refers_uri"])
                     name, start = archive.add(data)
                     keys.append(surt(x["url"]))
                     names.append(name)
@@ -225,9 +233,11 @@ def lookup(keys: DataFrame, directory: DataFrame, index_root: str, archive_root:
             book.close()
         yield batch_of(out)
 
-    parts = [tuple(r) for r in directory.select("first", "last", "file").orderBy("first", "last").collect()]
+    known = [tuple(r) for r in directory.select("first", "last", "file").orderBy("first", "last").collect()]
+    kept = keys.sparkSession.sparkContext.broadcast(known)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = kept.value
         lasts = [p[1] for p in parts]  # parts follow each other in key order
         for batch in batches:
             files, keys_ = [], []
@@ -240,32 +250,32 @@ def lookup(keys: DataFrame, directory: DataFrame, index_root: str, archive_root:
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(keys_, pa.string())], ["file", "surt"])
 
     wanted = keys.select("surt").distinct().mapInArrow(route, "file string, surt string")
-    wanted = wanted.repartitionByRange(max(1, len(parts)), "file").sortWithinPartitions("file", "surt")
+    wanted = wanted.repartitionByRange(max(1, len(known)), "file").sortWithinPartitions("file", "surt")
     return wanted.mapInArrow(find, "surt string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, read_bytes long, read_digest string")
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with digest (SHA-1 of the UTF-8 payload), kind and refers_to.
+    """pages (page_id, url, html) with digest (SHA-1 of the UTF-8 payload), kind, refers_to and refers_uri.
 
     A null html is an empty payload. Rows tied at the largest page_id of equal payloads are all responses; a row without
     page_id is a response only if no equal payload has one. A null url has the empty key.
 
     Which payloads repeat is decided on digests alone. These are few as a rule, and the pages stay where they are; where they are more than
-    a million, pages meet them in a shuffle that deals out the copies of one payload. Payloads under 1,000 bytes take no part in it.
+    250,000, pages meet them in a shuffle that deals out the copies of one payload. Payloads under 1,000 bytes take no part in it.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     long_ = F.octet_length("html") >= REVISIT_BYTES
-    first = pages.where(long_).groupBy(F.unhex("digest").alias("d")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    first = written(first.select("d", "first"), "repeated")
+    first = pages.where(long_).groupBy(F.unhex("digest").alias("d")).agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1 and top.page_id is not null")
+    first = written(first.select("d", F.col("top.page_id").alias("first"), F.col("top.url").alias("uri")), "repeated")
     rows = pages.withColumn("d", F.when(long_, F.unhex("digest")))
     if first.count() <= FEW:
         joined = rows.join(F.broadcast(first), "d", "left")
     else:
         some = rows.where("d is not null")
-        joined = spread_join(some, first, ["d"], "left", ["page_id", "url"]).unionByName(rows.where("d is null").withColumn("first", F.lit(None).cast("long")))
+        joined = spread_join(some, first, ["d"], "left", ["page_id", "url"]).unionByName(rows.where("d is null").withColumn("first", F.lit(None).cast("long")).withColumn("uri", F.lit(None).cast("string")))
     later = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
-    return joined.select("page_id", "url", "html", "digest", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "digest", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to"), F.when(later, F.col("uri")).alias("refers_uri"))
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
