@@ -92,6 +92,36 @@ def test_pairs_near_the_limit_agree_in_a_sketch(n, edits, least):
     assert sum(bool(of(x) & of(y)) for x, y in pairs) >= least
 
 
+@pytest.mark.parametrize("n", [20, 45, 50, 100, 300, 1000])
+def test_every_fifth_word_changed(n):
+    """The hardest pairs that are links: no run of five words is left."""
+    r = random.Random(n)
+    of = lambda text: set(near_dedup.bands(near_dedup.wordhash.words([" ".join(text).encode()]).hash).tolist())
+    pairs = [(x, [f"x{r.randint(0, 9999)}" if i % 5 == 4 else w for i, w in enumerate(x)]) for x in (words(r, n) for _ in range(150))]
+    assert all(near_dedup.align.within(x, y, n // 5) for x, y in pairs[:5])
+    assert sum(bool(of(x) & of(y)) for x, y in pairs) >= 145
+
+
+def test_classes_are_held_together_by_links(spark, sf_dir):
+    """No class has a part that no link between different texts, or equal text, joins to the rest."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    classes = {}
+    for r in near_dedup.classes(docs).collect():
+        classes.setdefault(r.class_id, []).append(r.doc_id)
+    for members in classes.values():
+        left, reached = set(members[1:]), [members[0]]
+        for a in reached:
+            x = text[a]
+            for b in sorted(left):
+                y = text[b]
+                if x == y or near_dedup.align.within(x, y, int(0.2 * max(len(x), len(y)) + 1e-9)):
+                    left.discard(b)
+                    reached.append(b)
+        assert not left, (members, left)
+    assert any(len(m) > 2 for m in classes.values())
+
+
 def test_planted_pairs_near_the_limit(spark):
     r = random.Random(4)
     pairs = [(x, changed(r, x, int(n * 0.18), n < 10)) for n in (5, 7, 11, 20, 44, 49, 120, 300) for x in (words(r, n) for _ in range(20))]

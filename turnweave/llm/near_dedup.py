@@ -1,12 +1,12 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document's k-mers are its runs of four consecutive words (of two in texts of less than 50 words), each labelled with its number among
+A document's k-mers are its runs of three consecutive words (of two in texts of less than 50 words), each labelled with its number among
 equal k-mers of that document. For every hash function the two k-mers with the least hashes
 are taken and put back into text order; the sequence is one sketch (Marçais et al. 2019). Since
-order counts, two documents agree in a sketch about as often as their texts align. Documents that agree in any of 96
-sketches are candidates, and a link is a candidate pair whose banded word alignment leaves a similarity of 0.8 or more
-(1 - edits / longer length). A change in every sixth word leaves such a similarity but a third of the k-mers, hence
-many short sketches. Texts of 40 to 49 words have sketches of both kinds, so any two texts whose lengths allow a link share a kind. Lengths and word histograms bound the edits from below and spare most other candidates the alignment.
+order counts, two documents agree in a sketch about as often as their texts align. Documents that agree in any of 80
+sketches (96 of short texts) are candidates, and a link is a candidate pair whose banded word alignment leaves a similarity of 0.8 or more
+(1 - edits / longer length). A change in every fifth word leaves such a similarity but two k-mers of five, hence
+short k-mers and many sketches. Texts of 40 to 49 words have sketches of both kinds, so any two texts whose lengths allow a link share a kind. Lengths and word histograms bound the edits from below and spare most other candidates the alignment.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from . import align, wordhash
 from .common import as_bytes, heavy, set_aside, slices, spread_join, text_key, written
 from .graph import components
 
-K, TAKEN, SKETCHES, LEAST, BINS = 4, 2, 96, 0.8, 256
-#: Words of the k-mers of short texts, the length under which texts have them, and the length from which they have the others; texts of fewer words than LEAST_WORDS have none.
-SHORT_K, SHORT, LONG, LEAST_WORDS = 2, 50, 40, 5
+K, TAKEN, SKETCHES, LEAST, BINS = 3, 2, 80, 0.8, 256
+#: Words of the k-mers of short texts and their sketches, the length under which texts have them, and the length from which they have the others; texts of fewer words than LEAST_WORDS have none.
+SHORT_K, SHORT_SKETCHES, SHORT, LONG, LEAST_WORDS = 2, 96, 50, 40, 5
 #: Nodes of a block that are compared with those of another one at once, and their words.
 BLOCK, BLOCK_WORDS = 512, 1_000_000
 
@@ -70,7 +70,7 @@ def bands(hashes: np.ndarray) -> np.ndarray | None:
         if len(hashes) >= LONG:
             out.append(wordhash.mix(sketches(hashes) + np.arange(SKETCHES, dtype=np.uint64)))
         if len(hashes) < SHORT:
-            out.append(wordhash.mix(sketches(hashes, SHORT_K) + np.arange(SKETCHES, 2 * SKETCHES, dtype=np.uint64)))
+            out.append(wordhash.mix(sketches(hashes, SHORT_K, n=SHORT_SKETCHES) + np.arange(SKETCHES, SKETCHES + SHORT_SKETCHES, dtype=np.uint64)))
     return np.concatenate(out)
 
 
