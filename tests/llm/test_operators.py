@@ -554,3 +554,36 @@ def test_dealt_queries_find_the_same(spark, monkeypatch):
     want = sorted(ann.search(vectors).collect())
     monkeypatch.setattr(ann, "QUERIES", 5)
     assert sorted(ann.search(vectors).collect()) == want
+
+
+def rows_made(spark, node, run):
+    """What run returns, and how many rows the plan nodes of that name made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made, executions = 0, store.executionsList()
+    for i in range(before, executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for part in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (part.metrics().apply(k) for k in range(part.metrics().size())) if part.name() == node else ():
+                value = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and value.isDefined():
+                    made += int(value.get().replace(",", ""))
+    return out, made
+
+
+@pytest.mark.parametrize("sample", [300, 20_000])
+def test_lots_give_only_what_can_be_nearest(spark, monkeypatch, sample):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x[2000:3000] = np.sign(x[2000:3000])  # many equal scores
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    search = lambda: sorted(ann.search(vectors, sample=sample).collect())
+    want, _ = rows_made(spark, "FlatMapCoGroupsInArrow", search)
+    monkeypatch.setattr(ann, "BLOCK", 125)  # 32 lots in each tree
+    got, made = rows_made(spark, "FlatMapCoGroupsInArrow", search)
+    assert got == want and len(got) == 200 * 20
+    # one lot after another would give 21 rows to each query that searches it; a round gives 21 * WIDER in each tree at most, on average
+    assert 200 * 20 <= made <= 200 * 21 * ann.TREES * (1 if sample > 4000 else 2 * ann.WIDER)

@@ -5,6 +5,9 @@ rounds of two-means have moved apart. One priority queue over all trees gives ea
 nearest split first, as many as the fitting sample shows to be needed for the recall that is asked for; the leaves' vectors are then
 scored exactly, in double precision. Equal vectors are indexed once, with their least ids.
 
+Leaves are scored in rounds, nearest first, and what a query has found bounds what later rounds return: a lot of leaves gives the
+rows that can still be among the nearest, not its own nearest. The first bound comes from the fitting sample's vectors in the searched leaves.
+
 Inner products become angles by one more component, sqrt(M^2 - |x|^2) for the longest length M, 0 for queries.
 """
 
@@ -12,7 +15,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,10 @@ from .common import least, spread_join, written
 TOP, EVERY, TREES, LEAF, SAMPLE, BLOCK, QUERIES = 20, 20, 4, 64, 20_000, 8_192, 32_768
 #: Recall that the number of leaves is chosen for, by queries of the sample; vectors of the sample that a leaf has at least.
 RECALL, TRIED, FITTED = 0.94, 100, 16
+#: Up to a round of scoring, so many times the vectors are searched that the bound of that round comes from.
+WIDER = 4
+#: Queries whose leaves one task chooses.
+PLANNED = 1_024
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -117,6 +125,8 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     count once. Among equal scores the lesser vec_id is first; fewer candidates than ``top`` give fewer rows. Only the fitting sample
     reaches the driver. Neighbouring leaves of a tree are dealt out together, 8,192 vectors at a time, and a larger leaf in
     several blocks; distinct queries are dealt out by 32,768, each lot with its own copy of the leaves. So neither side is too large for a task.
+    Rounds, of four times the leaves of all before, return what is not behind the bound of the query only: a few dozen rows for each round and query,
+    where vectors lie in the sample as they do in the table, however many lots it searches.
     """
     spark = vectors.sparkSession
     rows = written(valid(vectors).withColumn("code", F.xxhash64("embedding")), "vectors")
@@ -128,7 +138,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     items = items.withColumn("item", F.struct("item", F.xxhash64("embedding").alias("code")))
     n = items.count()
     longest = float(items.agg(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)"))).first()[0] or 0.0)
-    fit = least(items, sample, F.col("item.code"), F.col("item.item")).select("embedding").toArrow()
+    fit = least(items, sample, F.col("item.code"), F.col("item.item")).select("embedding", "item.item").toArrow()
     wide = lambda x: np.column_stack([x, np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))])
     depth = max(0, min(math.floor(math.log2(max(1, sample / FITTED))), math.ceil(math.log2(max(1, n) / leaf))))
     fitted = wide(_matrix(fit.column("embedding").combine_chunks())) if n else None
@@ -139,28 +149,65 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
         asked_of = fitted[own].copy()
         asked_of[:, -1] = 0.0
         most = forest.needed(fitted, asked_of, own, top, recall)
-    kept = spark.sparkContext.broadcast(forest)
+    want = top + 1
+    width, inner = 2**depth, 2**depth - 1
+    # leaves are numbered through all trees; of the sample, to find bounds: vectors, ids, leaves
+    known = (fitted[:, :-1], fit.column("item").to_numpy(), forest.leaves(fitted) - inner + np.arange(trees)[:, None] * width) if n else None
+    kept = spark.sparkContext.broadcast((forest, known))
     blocks = max(1, -(-n // (2**depth * BLOCK)))
     together = max(1, min(2**depth, BLOCK * 2**depth // max(1, n)))  # leaves that are dealt out as one
-    inner = 2**depth - 1
+    number = np.min_scalar_type(trees * width)
+    slack = lambda v: 1e-12 * math.sqrt(longest) * np.linalg.norm(v, axis=-1) + 1e-300  # noqa: E731  how far equal scores can differ
+    ends = [0]
+    while ends[-1] < most:
+        ends.append(min(most, max(ends[-1] + 1, most * fit.num_rows * WIDER ** len(ends) // max(1, n))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = kept.value.leaves(wide(_matrix(batch.column("embedding"))))
+            at = kept.value[0].leaves(wide(_matrix(batch.column("embedding"))))
             for t in range(1 if depth == 0 else trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array((at[t] - inner) // together, pa.int64()), batch.column("block"), pa.array(at[t], pa.int64()), batch.column("item"), batch.column("embedding")], ["tree", "lot", "block", "leaf", "item", "embedding"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            forest, (near, ids, at) = kept.value
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 x = _matrix(part.column("embedding"))
-                found: dict = {}
-                for i, v in enumerate(x):
-                    for t, node in kept.value.search(np.append(v, 0.0), most):
-                        found.setdefault((i, t, (node - inner) // together), []).append(node)
-                i, t, lot = (pa.array([f[j] for f in found], pa.int64()) for j in range(3))
-                yield pa.RecordBatch.from_arrays([t.cast(pa.int32()), lot, part.column("item").take(i), part.column("embedding").take(i), pa.array(list(found.values()), pa.list_(pa.int64()))], ["tree", "lot", "query", "embedding", "leaves"])
+                leaves, bounds, bound_ids = [], [], []
+                for v, rough in zip(x, x @ near.T, strict=True):
+                    leaves.append(np.array([t * width + node - inner for t, node in forest.search(np.append(v, 0.0), most)]))
+                    searched = np.zeros(trees * width, dtype=bool)
+                    searched[leaves[-1]] = True
+                    own = np.flatnonzero(searched[at].any(axis=0))
+                    if len(own) < want:
+                        bounds.append(None)
+                        bound_ids.append(None)
+                        continue
+                    limit = np.partition(rough[own], len(own) - want)[len(own) - want]
+                    own = own[rough[own] >= limit - slack(v)]
+                    exact = (v * near[own]).sum(axis=1)
+                    last = np.lexsort((ids[own], -exact))[want - 1]
+                    bounds.append(exact[last])
+                    bound_ids.append(ids[own[last]])
+                yield pa.RecordBatch.from_arrays([part.column("query"), part.column("embedding"), pa.array([x.astype(number).tobytes() for x in leaves], pa.binary()), pa.array(bounds, pa.float64()), pa.array(bound_ids, pa.int64())], ["query", "embedding", "leaves", "bound", "bound_id"])
+
+    def ask(start: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    rows, keys, lists = [], [], []
+                    for i, leaves in enumerate(part.column("leaves").to_pylist()):
+                        leaves = np.sort(np.frombuffer(leaves, number)[start:end].astype(np.int64))
+                        own, starts = np.unique(leaves // width * width + leaves % width // together, return_index=True)
+                        rows.append(np.full(len(own), i))
+                        keys.append(own)
+                        lists += [x % width + inner for x in np.split(leaves, starts[1:])]
+                    rows, keys = pa.array(np.concatenate(rows)), np.concatenate(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys // width, pa.int32()), pa.array(keys % width), *(part.column(c).take(rows) for c in ("query", "embedding", "bound", "bound_id")), pa.array(lists, pa.list_(pa.int64()))], ["tree", "lot", "query", "embedding", "bound", "bound_id", "leaves"])
+
+        return dealt
 
     name = "struct<item:long,code:long>"
     indexed = items.select("item", "embedding", F.pmod(F.col("item.code"), F.lit(blocks)).cast("int").alias("block"))
@@ -168,44 +215,58 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
     asked = written(spread_join(asked, items.select("embedding", "item"), ["embedding"], by=["vec_id"]).select("vec_id", "item", "embedding"), "asked")
     queries = written(asked.groupBy("item").agg(F.first("embedding").alias("embedding")), "queries")
-    deals = max(1, -(-queries.count() // QUERIES))
-    queries = queries.mapInArrow(ask, f"tree int, lot long, query {name}, embedding array<double>, leaves array<long>")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("deal", F.pmod(F.col("query.code"), F.lit(deals)).cast("int"))
+    different = queries.count()
+    deals = max(1, -(-different // QUERIES))
+    queries = queries.withColumnRenamed("item", "query").repartition(max(1, -(-different // PLANNED)), "query")
+    queries = written(queries.mapInArrow(plan, f"query {name}, embedding array<double>, leaves binary, bound double, bound_id long"), "plans")
     indexed = indexed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    want = top + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("query", pa.struct([("item", pa.int64()), ("code", pa.int64())])), ("item", pa.struct([("item", pa.int64()), ("code", pa.int64())])), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return kind.empty_table()
         x, q = _matrix(left.column("embedding").combine_chunks()), _matrix(right.column("embedding").combine_chunks())
+        bound, bound_id = right.column("bound").fill_null(-math.inf).to_numpy(), right.column("bound_id").fill_null(0).to_numpy()
         first = left.column("item").combine_chunks().field("item").to_numpy()
         own, leaf_of = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
         keep = min(want, len(x))
         qs, cs, ss = [], [], []
         # all lengths at most 1, so that single precision neither overflows nor is off by more than this
         unit = lambda v, n: (v / n).astype(np.float32)
-        rough, off = unit(x, np.linalg.norm(x, axis=1).max()), 2.5e-7 * x.shape[1]
+        largest = np.linalg.norm(x, axis=1).max()
+        rough, off = unit(x, largest), 2.5e-7 * x.shape[1]
         for lo in range(0, len(q), 128):
-            s = unit(q[lo : lo + 128], np.linalg.norm(q[lo : lo + 128], axis=1, keepdims=True)) @ rough.T
+            length = np.linalg.norm(q[lo : lo + 128], axis=1, keepdims=True)
+            s = unit(q[lo : lo + 128], length) @ rough.T
             searched = np.array([np.isin(own, at) for at in right.column("leaves").slice(lo, 128).to_pylist()])
             s[~searched[:, leaf_of]] = -np.inf
-            # these products are rough, so all that could be among the best are scored again
+            # these products are rough, so all that could be among the best, and not behind the bound, are scored again
             limit = np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep]
+            least_score = bound[lo : lo + 128] - slack(q[lo : lo + 128])
+            limit = np.maximum(limit, least_score / length[:, 0] / largest)
             row, col = np.nonzero(s >= np.maximum(limit - 2 * off, -2.0)[:, None])
             exact = (q[lo + row] * x[col]).sum(axis=1)
             order = np.lexsort((first[col], -exact, row))
             row, col, exact = row[order], col[order], exact[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            ok = place < keep
+            ok = (place < keep) & ((exact > bound[lo + row]) | (exact >= least_score[row]) & (first[col] <= bound_id[lo + row]))
             qs.append(lo + row[ok])
             cs.append(col[ok])
             ss.append(exact[ok])
         return pa.table([right.column("query").take(np.concatenate(qs)), left.column("item").take(np.concatenate(cs)), pa.array(np.concatenate(ss))], schema=kind)
 
-    found = indexed.groupBy("tree", "lot", "block", "deal").cogroup(queries.groupBy("tree", "lot", "block", "deal")).applyInArrow(score, f"query {name}, item {name}, score double")
-    found = found.groupBy("query", "item").agg(F.max("score").alias("score"))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item.item"))).where(F.col("n") <= want)
+    best = None
+    for start, end in pairwise(ends):
+        if best is not None:
+            so_far = best.where(F.col("n") == want).select("query", F.col("score").alias("closer"), F.col("item.item").alias("closer_id"))
+            queries = queries.join(so_far, "query", "left").withColumns({"bound": F.coalesce("closer", "bound"), "bound_id": F.coalesce("closer_id", "bound_id")}).drop("closer", "closer_id")
+        lots = queries.mapInArrow(ask(start, end), f"tree int, lot long, query {name}, embedding array<double>, bound double, bound_id long, leaves array<long>")
+        lots = lots.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("deal", F.pmod(F.col("query.code"), F.lit(deals)).cast("int"))
+        found = indexed.groupBy("tree", "lot", "block", "deal").cogroup(lots.groupBy("tree", "lot", "block", "deal")).applyInArrow(score, f"query {name}, item {name}, score double")
+        found = found if best is None else found.unionByName(best.drop("n"))
+        found = found.groupBy("query", "item").agg(F.max("score").alias("score"))
+        best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item.item"))).where(F.col("n") <= want)
+        best = best if end == most else written(best, "found")
     best = best.join(items.select("item", "ids"), "item").select("query", "score", F.explode("ids").alias("vec_id"))
     nearer = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = written(best.withColumn("n", F.row_number().over(nearer)).where(F.col("n") <= 2 * want).drop("n"), "best")
