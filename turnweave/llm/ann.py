@@ -28,7 +28,7 @@ from .common import least, spread_join, written
 TOP, EVERY, TREES, LEAF, SAMPLE, BLOCK, QUERIES = 20, 20, 4, 64, 20_000, 8_192, 32_768
 #: Recall that the number of leaves is chosen for, by queries of the sample; vectors of the sample that a leaf has at least.
 RECALL, TRIED, FITTED = 0.94, 100, 16
-#: Up to a round of scoring, so many times the vectors are searched that the bound of that round comes from.
+#: The first round of scoring searches about as many vectors as the fitting sample has in all searched leaves; with each further one it is so many times as many.
 WIDER = 4
 #: Queries whose leaves one task chooses.
 PLANNED = 1_024
@@ -125,7 +125,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     count once. Among equal scores the lesser vec_id is first; fewer candidates than ``top`` give fewer rows. Only the fitting sample
     reaches the driver. Neighbouring leaves of a tree are dealt out together, 8,192 vectors at a time, and a larger leaf in
     several blocks; distinct queries are dealt out by 32,768, each lot with its own copy of the leaves. So neither side is too large for a task.
-    Rounds, of four times the leaves of all before, return what is not behind the bound of the query only: a few dozen rows for each round and query,
+    Rounds, each up to four times as many leaves as all before, return only what is not behind the query's bound: a few dozen rows for each round and query,
     where vectors lie in the sample as they do in the table, however many lots it searches.
     """
     spark = vectors.sparkSession
@@ -160,7 +160,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
     slack = lambda v: 1e-12 * math.sqrt(longest) * np.linalg.norm(v, axis=-1) + 1e-300  # noqa: E731  how far equal scores can differ
     ends = [0]
     while ends[-1] < most:
-        ends.append(min(most, max(ends[-1] + 1, most * fit.num_rows * WIDER ** len(ends) // max(1, n))))
+        ends.append(min(most, max(ends[-1] + 1, most * fit.num_rows * WIDER ** (len(ends) - 1) // max(1, n))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,10 +241,11 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, trees: int =
             searched = np.array([np.isin(own, at) for at in right.column("leaves").slice(lo, 128).to_pylist()])
             s[~searched[:, leaf_of]] = -np.inf
             # these products are rough, so all that could be among the best, and not behind the bound, are scored again
-            limit = np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep]
             least_score = bound[lo : lo + 128] - slack(q[lo : lo + 128])
-            limit = np.maximum(limit, least_score / length[:, 0] / largest)
-            row, col = np.nonzero(s >= np.maximum(limit - 2 * off, -2.0)[:, None])
+            limit = np.maximum(least_score / length[:, 0] / largest - 2 * off, -2.0).astype(np.float32)
+            many = np.flatnonzero((s >= limit[:, None]).sum(axis=1) > keep)
+            limit[many] = np.maximum(limit[many], np.partition(s[many], len(x) - keep, axis=1)[:, len(x) - keep] - 2 * off)
+            row, col = np.nonzero(s >= limit[:, None])
             exact = (q[lo + row] * x[col]).sum(axis=1)
             order = np.lexsort((first[col], -exact, row))
             row, col, exact = row[order], col[order], exact[order]
