@@ -1,5 +1,7 @@
 """What crosses blocks, against the same on whole arrays."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,52 @@ def test_chunks_and_back(spark):
     assert tiles.chunks(spark.createDataFrame([], tiles.BLOCKS), sr, 1.0).count() == 0
 
 
+@pytest.mark.parametrize(("size", "hop", "sr", "block", "batch", "lot"), [(20, 14, 20, 16, 3, 1), (9, 3, 20, 2, 10_000, 50), (8, 7, 1, 5, 1, 1 << 18), (40, 10, 100, 100, 7, 1 << 18)])
+def test_crossfade_over_batches(spark, monkeypatch, size, hop, sr, block, batch, lot):
+    """Batches and lots of any length give the same: chunks that come back short, long or empty, samples in three or four chunks, fades of one sample."""
+    r, fade, parts, want = np.random.default_rng(4), max(1, int(0.3 * sr)), [], {}
+    for rec, n in enumerate([1, size, *map(int, r.integers(2, 200, 20))]):
+        for channel in (0, 1):
+            out, weight, seen = np.zeros(n), np.zeros(n), set()
+            for s in range(0, n, hop):
+                x = r.normal(size=max(0, min(n, s + size) - s + int(r.choice([0, 0, -1, 3, -50])))).astype(np.float32)
+                parts.append((rec, channel, s, n, [float(v) for v in x]))
+                x = x[: n - s]
+                w, f = np.ones(len(x)), min(fade, len(x))
+                if s > 0:
+                    w[:f] *= np.linspace(0, 1, f)
+                if s + len(x) < n:
+                    w[len(x) - f :] *= np.linspace(1, 0, f)
+                out[s : s + len(x)] += w * x
+                weight[s : s + len(x)] += w
+                seen |= {(rec, channel, no) for no in range(s // block, -(-(s + len(x)) // block))}
+            out /= np.where(weight == 0, 1, weight)
+            want |= {k: out[k[2] * block : (k[2] + 1) * block] for k in seen}
+    df = spark.createDataFrame(parts, "rec long, channel int, start_sample long, total long, samples array<float>").repartition(3)
+    monkeypatch.setattr(tiles, "LOT", lot)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = tiles.crossfaded(df, sr, block).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) == len(want) and {(g.rec, g.channel, g.block_no) for g in rows} == set(want)
+    for g in rows:
+        assert g.start_sample == g.block_no * block and np.allclose(g.samples, want[g.rec, g.channel, g.block_no], atol=1e-6)
+
+
+def test_crossfade_of_many_blocks(spark):
+    """Short blocks cost by the sample: 30,000 of them, where a call and a frame of pandas for each took minutes."""
+    chunk = spark.range(6000).select(F.col("id").alias("rec"), F.lit(0).alias("channel"), F.lit(20).cast("long").alias("total"), F.explode(F.expr("array(0L, 9L)")).alias("start_sample"))
+    parts = chunk.withColumn("samples", F.transform(F.sequence(F.col("start_sample"), F.least(F.col("start_sample") + 11, F.lit(19))), lambda i: (i + F.col("rec")).cast("float")))
+    out = tiles.crossfaded(parts, 10, 4)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    t = time.perf_counter()
+    got = out.select("rec", "start_sample", F.posexplode("samples").alias("j", "x")).selectExpr("count(*)", "count_if(abs(x - rec - start_sample - j) < 1e-3)").first()
+    assert tuple(got) == (120_000, 120_000)
+    assert time.perf_counter() - t < 40
+
+
 def test_spectral_gate_over_blocks(spark):
     r = np.random.default_rng(0)
     tone = np.sin(np.arange(9000) / 9) * (np.arange(9000) % 4000 > 2000)

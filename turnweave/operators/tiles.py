@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ("rec", "channel")
 BLOCKS = "rec long, channel int, block_no long, start_sample long, samples array<float>"
+#: Samples of chunks that are weighed at once.
+LOT = 1 << 18
 
 
 def lengths(blocks: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -78,32 +80,60 @@ def crossfaded(parts: DataFrame, sr: int, size: int, fade_sec: float = 0.3) -> D
     """Blocks of ``size`` from processed chunks (rec, channel, start_sample, total, samples): the way back from ``chunks``.
 
     Weights rise and fall in a straight line over ``fade_sec`` at the edges inside the recording only; sums are divided by their weights. A
-    chunk that came back shorter counts as far as it goes, a longer one is cut at the recording's end.
+    chunk that came back shorter counts as far as it goes, a longer one is cut at the recording's end. A task's blocks come sorted and are
+    added up many at a time, so that short blocks cost by the sample too.
     """
     fade = max(1, int(fade_sec * sr))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weighed(b: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The blocks whose first rows are given, about ``LOT`` samples at a time."""
+        if b.column("piece").null_count:
+            raise ValueError("a chunk without samples")
+        start, total, n, no, a = (b.column(c).to_numpy() for c in ("start_sample", "total", "n", "block_no", "a"))
+        length, flat = b.column("piece").value_lengths().to_numpy().astype(np.int64), b.column("piece").flatten()
+        f, ends, bounds, i = np.minimum(fade, n), np.append(0, np.cumsum(length)), np.append(first, b.num_rows), 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(ends[bounds], ends[bounds[i]] + LOT, "right")) - 1)
+            heads, lo, hi = first[i:j], ends[bounds[i]], ends[bounds[j]]
+            # of every sample: its row and its place in the chunk
+            row = np.repeat(np.arange(bounds[i], bounds[j]), length[bounds[i] : bounds[j]])
+            at, w = np.arange(lo, hi) + (a - ends[:-1])[row], np.ones(hi - lo)
+            k = np.flatnonzero((start > 0)[row] & (at < f[row]))
+            w[k] *= at[k] / np.maximum(1, f - 1)[row[k]]
+            # a fade of one sample rises only
+            k = np.flatnonzero((f > 1)[row] & (start + n < total)[row] & (at >= (n - f)[row]))
+            w[k] *= (n[row[k]] - 1 - at[k]) / (f - 1)[row[k]]
+            # its place among the samples of these blocks
+            offsets = np.append(0, np.cumsum(np.minimum(size, total[heads] - no[heads] * size)))
+            at += (start - no * size)[row] + np.repeat(offsets[:-1], np.diff(ends[bounds[i : j + 1]]))
+            x = flat.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.float64)
+            x, w = np.bincount(at, x * w, offsets[-1]), np.bincount(at, w, offsets[-1])
+            samples = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), (x / np.where(w == 0, 1, w)).astype(np.float32))
+            keys = [b.column(c).take(pa.array(heads)) for c in (*KEYS, "block_no")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(no[heads] * size), samples], [*KEYS, "block_no", "start_sample", "samples"])
+            i = j
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last block of a batch waits for the next batch."""
+        left = None
         for b in batches:
-            for r in b.itertuples():
-                x = np.asarray(r.samples, dtype=np.float64)[: r.total - r.start_sample]
-                w = np.ones(len(x))
-                f = min(fade, len(x))
-                if r.start_sample > 0:
-                    w[:f] *= np.linspace(0, 1, f)
-                if r.start_sample + len(x) < r.total:
-                    w[len(x) - f :] *= np.linspace(1, 0, f)
-                for no in range(r.start_sample // size, -(-(r.start_sample + len(x)) // size)):
-                    lo, hi = max(0, no * size - r.start_sample), min(len(x), (no + 1) * size - r.start_sample)
-                    yield pd.DataFrame({"rec": [r.rec], "channel": [r.channel], "block_no": [no], "at": [r.start_sample + lo - no * size], "total": [r.total], "x": [(w * x)[lo:hi]], "w": [w[lo:hi]]})
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        no = int(pdf.block_no.iloc[0])
-        n = min(size, int(pdf.total.iloc[0]) - no * size)
-        x, w = np.zeros(n), np.zeros(n)
-        for r in pdf.sort_values("at").itertuples():
-            x[r.at : r.at + len(r.x)] += r.x
-            w[r.at : r.at + len(r.x)] += r.w
-        return pd.DataFrame({"rec": pdf.rec.iloc[:1], "channel": pdf.channel.iloc[:1], "block_no": no, "start_sample": no * size, "samples": [(x / np.where(w == 0, 1, w)).astype(np.float32)]})
-
-    pieces = parts.select("rec", "channel", "start_sample", "total", "samples").mapInPandas(deal, "rec long, channel int, block_no long, at long, total long, x array<double>, w array<double>")
-    return pieces.groupBy("rec", "channel", "block_no").applyInPandas(add_up, BLOCKS)
+            if b.num_rows:
+                b = b if left is None else pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
+                fresh = np.arange(b.num_rows) == 0
+                for c in (*KEYS, "block_no"):
+                    for v in (b.column(c).fill_null(0).to_numpy(), b.column(c).is_null().to_numpy(zero_copy_only=False)):
+                        fresh[1:] |= v[1:] != v[:-1]
+                first = np.flatnonzero(fresh)
+                yield from weighed(b.slice(0, first[-1]), first[:-1])
+                left = b.slice(first[-1])
+        if left is not None:
+            yield from weighed(left, np.array([0]))
+
+    n, start, no = F.least(F.array_size("samples"), F.col("total") - F.col("start_sample")), F.col("start_sample"), F.col("block_no")
+    keep = [F.col(c).cast(t).alias(c) for c, t in (("rec", "long"), ("channel", "int"), ("start_sample", "long"), ("total", "long"))]
+    rows = parts.select(*keep, F.greatest(F.lit(0), n).cast("long").alias("n"), "samples").where((F.col("n") > 0) | (start % size != 0))
+    # a row for each block that a chunk touches, sorted so that a block's chunks follow each other
+    rows = rows.withColumn("block_no", F.explode(F.sequence(F.floor(start / size), F.ceil((start + F.col("n")) / size) - 1)))
+    a, b = F.greatest(F.lit(0), no * size - start), F.least(F.col("n"), (no + 1) * size - start)
+    pieces = rows.select(*KEYS, "block_no", "start_sample", "total", "n", a.alias("a"), F.slice("samples", (a + 1).cast("int"), (b - a).cast("int")).alias("piece"))
+    return pieces.repartition(*KEYS, "block_no").sortWithinPartitions(*KEYS, "block_no", "start_sample").mapInArrow(add_up, BLOCKS)
